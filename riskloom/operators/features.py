@@ -175,7 +175,7 @@ class MissingFiller(Estimator):
         total = lost.pop("*", 0)
         columns = {
             c: {
-                "strategy": "median" if c in medians or c in numbers else "most_frequent",
+                "strategy": "median" if c in numbers else "most_frequent",
                 "missing_count": lost[c],
                 "missing_pct": round(lost[c] / total * 100, 2) if total else 0.0,
                 "imputed_value": fills[c],
@@ -195,11 +195,14 @@ class MissingFillerModel(Model, _Stateful):
 
     def stats(self, spark) -> DataFrame:
         rows = [
-            (c, s["strategy"], s["missing_count"], s["missing_pct"], str(s["imputed_value"]))
+            (c, s["strategy"], s["missing_count"], s["missing_pct"],
+             None if isinstance(s["imputed_value"], str) else float(s["imputed_value"]),
+             s["imputed_value"] if isinstance(s["imputed_value"], str) else None)
             for c, s in self.learnt["columns"].items()
         ]
         return spark.createDataFrame(
-            rows, "column string, strategy string, missing_count long, missing_pct double, imputed_value string"
+            rows, "column string, strategy string, missing_count long, missing_pct double, "
+            "imputed_number double, imputed_text string",
         )
 
 
