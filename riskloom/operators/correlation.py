@@ -16,6 +16,7 @@ from riskloom.functions.expressions import correlation, number
 from riskloom.operators.selection import exact_quantiles
 
 MISSING_SKIP = 0.99
+FLAT = 1e-10
 
 
 def target_correlation(df: DataFrame, top_n: int = 20, label: str = d.LABEL) -> DataFrame | None:
@@ -142,7 +143,9 @@ def pairwise_correlation(df: DataFrame, names: Sequence[str], centre: np.ndarray
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    r = F.when((F.col("n") > 1) & (vx > 0) & (vy > 0), cov / (F.sqrt(vx) * F.sqrt(vy)))
+    # a feature constant on the shared rows leaves only rounding noise here
+    varies = (vx > FLAT * F.col("sxx")) & (vy > FLAT * F.col("syy"))
+    r = F.when((F.col("n") > 1) & varies, cov / (F.sqrt(vx) * F.sqrt(vy)))
     return total.select(
         name_of(names, F.col("i")).alias("feature_x"), name_of(names, F.col("j")).alias("feature_y"),
         F.round(r, 4).alias("correlation"),

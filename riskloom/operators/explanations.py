@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from riskloom import domain as d
 from riskloom.functions import expressions as X
-from riskloom.functions.text import narrative
+from riskloom.functions.text import driver_phrases, feature_label, mitigants, narrative
 from riskloom.operators.correlation import importance_table
 
-DRIVER = "array<struct<feature:string,impact:double,feature_value:double>>"
-
 
 def _names(features: Sequence[str]) -> Column:
     return F.array(*[F.lit(f) for f in features])
@@ -32,30 +30,41 @@ def global_importance(shap: DataFrame, features: Sequence[str], top_n: int | Non
     return importance_table(means, top_n)
 
 
-def _drivers(features: Sequence[str], sign: int, top_n: int) -> Column:
-    """Strongest drivers of one sign, ties in feature order; zero impacts belong to neither side."""
+def _drivers(features: Sequence[str], labels: Mapping[str, str] | None, sign: int, top_n: int) -> Column:
+    """Strongest drivers of one sign, ties in feature order; zero impacts belong to neither side.
+
+    Labels depend on the feature alone, so they are literals folded at planning time.
+    """
     cells = F.arrays_zip(
-        _names(features).alias("feature"), F.col("shap_values").alias("v"), F.col("feature_values").alias("x")
+        _names(features).alias("feature"),
+        F.array(*[feature_label(F.lit(f), labels) for f in features]).alias("label"),
+        F.col("shap_values").alias("v"), F.col("feature_values").alias("x"),
     )
     ranked = F.transform(
         cells,
         lambda c, i: F.struct((c["v"] * -sign).alias("k"), i.alias("i"), c["feature"].alias("feature"),
-                              c["v"].alias("impact"), c["x"].alias("feature_value")),
+                              c["label"].alias("label"), c["v"].alias("impact"), c["x"].alias("feature_value")),
     )
     top = F.slice(F.array_sort(F.filter(ranked, lambda c: c["k"] < 0)), 1, top_n)
     return F.transform(top, lambda c: F.struct(
-        c["feature"].alias("feature"), F.round(c["impact"], 6).alias("impact"),
+        c["feature"].alias("feature"), c["label"].alias("label"), F.round(c["impact"], 6).alias("impact"),
         F.round(c["feature_value"], 6).alias("feature_value"),
     ))
 
 
-def local_explanation(shap: DataFrame, features: Sequence[str], top_n: int = 10) -> DataFrame:
+def _bare(drivers: str) -> Column:
+    return F.transform(drivers, lambda c: F.struct(c["feature"], c["impact"], c["feature_value"]))
+
+
+def local_explanation(
+    shap: DataFrame, features: Sequence[str], top_n: int = 10, labels: Mapping[str, str] | None = None
+) -> DataFrame:
     """Predicted probability (base + sum, kept within 0..1) and signed top drivers per row."""
     total = F.aggregate("shap_values", F.lit(0.0), lambda a, v: a + v)
     return shap.withColumns({
         "predicted_probability": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("expected_value") + total)),
-        "positive_drivers": _drivers(features, 1, top_n),
-        "negative_drivers": _drivers(features, -1, top_n),
+        "positive_drivers": _drivers(features, labels, 1, top_n),
+        "negative_drivers": _drivers(features, labels, -1, top_n),
     })
 
 
@@ -87,17 +96,16 @@ def explain_scores(
     labels: Mapping[str, str] | None = None, with_values: bool = False,
 ) -> DataFrame:
     """Score, band, drivers and narrative per row of shap(key, probability_1, shap_values, …)."""
-    local = local_explanation(shap, features, top_n).withColumns({
-        "risk_score": X.risk_score(F.col("probability_1")), "risk_band": X.risk_band(F.col("probability_1")),
+    p = F.col("probability_1")
+    local = local_explanation(shap, features, top_n, labels).withColumns({
+        "risk_score": X.risk_score(p), "risk_band": X.risk_band(p),
+        "phrases": driver_phrases(F.col("positive_drivers")), "relief": mitigants(F.col("negative_drivers")),
     })
-    text = narrative(
-        F.col("risk_band"), F.col("probability_1"), F.col("risk_score"),
-        F.col("positive_drivers"), F.col("negative_drivers"), labels,
-    )
+    text = narrative(F.col("risk_band"), p, F.col("risk_score"), F.col("phrases"), F.col("relief"))
     extra = [F.transform("shap_values", lambda v: F.round(v, 6)).alias("shap_values")] if with_values else []
     return local.select(
         key, F.round("probability_1", 6).alias("default_probability"), "risk_score", "risk_band",
-        F.col("positive_drivers").alias("positive_risk_drivers"),
-        F.col("negative_drivers").alias("negative_risk_drivers"),
+        _bare("positive_drivers").alias("positive_risk_drivers"),
+        _bare("negative_drivers").alias("negative_risk_drivers"),
         F.round("expected_value", 6).alias("expected_value"), text.alias("business_narrative"), *extra,
     )

@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 
 from riskloom import domain as d
 from riskloom.functions import expressions as X
-from riskloom.functions.columns import col, is_missing, name_of, numeric_columns, text_columns, text_long
+from riskloom.functions.columns import col, is_missing, numeric_columns, numeric_long, text_columns, text_long
 from riskloom.operators.profile import CHUNK
 from riskloom.operators.quality import SchemaValidationError
-from riskloom.operators.selection import exact_quantiles
+from riskloom.operators.selection import quantiles_and_counts
 
 MAX_CATEGORIES = 1000
 
@@ -168,11 +168,14 @@ class MissingFiller(Estimator):
     def _fit(self, dataset: DataFrame) -> MissingFillerModel:
         numbers = numeric_columns(dataset, exclude=(self._key, self._label))
         texts = text_columns(dataset, exclude=(self._key, self._label))
-        medians = exact_quantiles(dataset, numbers, [0.5])
-        fills: dict[str, float | str] = {c: medians.get(c, [0.0])[0] for c in numbers}
-        fills |= {c: v for c, v in zip(texts, commonest_values(dataset, texts))}
-        lost = missing_counts(dataset, [*numbers, *texts])
-        total = lost.pop("*", 0)
+        found, seen = ({}, {}) if not numbers else quantiles_and_counts(numeric_long(dataset, numbers), [0.5])
+        fills: dict[str, float | str] = {c: found[g][0] if g in found else 0.0 for g, c in enumerate(numbers)}
+        top, present, total = commonest_values(dataset, texts)
+        fills |= dict(zip(texts, top))
+        if not texts:
+            total = dataset.count()
+        lost = {c: total - seen.get(g, 0) for g, c in enumerate(numbers)}
+        lost |= {c: total - k for c, k in zip(texts, present)}
         columns = {
             c: {
                 "strategy": "median" if c in numbers else "most_frequent",
@@ -206,23 +209,25 @@ class MissingFillerModel(Model, _Stateful):
         )
 
 
-def commonest_values(df: DataFrame, names: Sequence[str], fallback: str = "MISSING") -> list[str]:
-    """Most frequent value of each text column, ties to the smallest. Counts are combined per value first."""
+def commonest_values(
+    df: DataFrame, names: Sequence[str], fallback: str = "MISSING"
+) -> tuple[list[str], list[int], int]:
+    """Most frequent value (ties to the smallest) and non-null count per text column, and the row count.
+
+    Values are counted first, so a frequent one is combined before the shuffle.
+    """
     if not names:
-        return []
-    counts = text_long(df, names).where("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("n"))
-    found = counts.groupBy("g").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top")).collect()
-    top = {r.g: r.top for r in found}
-    return [top.get(i, fallback) for i in range(len(names))]
-
-
-def missing_counts(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i in range(0, len(names), CHUNK):
-        part = names[i : i + CHUNK]
-        row = df.agg(F.count("*").alias("*"), *[F.count_if(is_missing(df, c)).alias(c) for c in part]).first()
-        out |= row.asDict()
-    return out
+        return [], [], 0
+    counts = text_long(df, names).groupBy("g", "v").agg(F.count("*").alias("n"))
+    present = F.col("v").isNotNull()
+    found = counts.groupBy("g").agg(
+        F.min_by("v", F.when(present, F.struct(-F.col("n"), F.col("v")))).alias("top"),
+        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("seen"), F.sum("n").alias("total"),
+    ).collect()
+    rows = {r.g: r for r in found}
+    top = [rows[i].top if i in rows and rows[i].top is not None else fallback for i in range(len(names))]
+    seen = [rows[i].seen if i in rows else 0 for i in range(len(names))]
+    return top, seen, found[0].total if found else 0
 
 
 # ---- encoding --------------------------------------------------------------------------------

@@ -1,10 +1,10 @@
 """Exact order statistics without sorting or gathering a column.
 
 Spark's exact `percentile` keeps every distinct value of a group in one task. Here each pass is an
-ordinary aggregation whose state is bounded: a quantile sketch brackets the wanted ranks, counts
-certify the bracket, and only when the rows strictly inside a bracket fit `limit` are they gathered
-and indexed. Copies of one value sit on a bracket edge, where they are only counted, so a value that
-fills a third of the table costs nothing extra.
+ordinary aggregation whose state is bounded: a quantile sketch brackets the wanted ranks, and narrower
+sketches follow until few values are left inside. The last pass counts rows per value inside the brackets
+and per gap between them, and running sums over those few rows give the ranks. Copies of one value are
+only ever counted, so a value that fills a third of the table costs nothing extra.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import numeric_long
 
-GRID = 1000
-ACCURACY = 10_000
-LIMIT = 100_000
+GRID = 400
+ACCURACY = 2_000
+LIMIT = 1_000_000
+WHOLE = 10_000
 _INF = float("inf")
 
 
@@ -52,10 +53,6 @@ def _grid(value: Column) -> Column:
     return F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], ACCURACY)
 
 
-def _matching(values: Column, test: Callable[[Column], Column]) -> Column:
-    return F.size(F.filter(values, test))
-
-
 def _per_group(values: Mapping[int, float]) -> Column:
     """Literal lookup g -> value; g is a small dense integer."""
     top = max(values)
@@ -74,6 +71,7 @@ def order_statistics(
     """
     cells = long.where("v IS NOT NULL")
     limit = max(limit, 64)  # below this a bracket of grid cells no longer shrinks
+    whole = min(WHOLE, limit)
     first = cells.groupBy("g").agg(F.count("v").alias("n"), _grid(F.col("v")).alias("grid")).collect()
     counts = {r.g: r.n for r in first}
     wanted = {g: list(rs) for g, rs in ranks(dict(counts)).items() if len(rs)}
@@ -82,7 +80,7 @@ def order_statistics(
         if r.g not in wanted:
             continue
         targets[r.g] = [_Target(k, inside=r.n) for k in wanted[r.g]]
-        if r.n > limit:
+        if r.n > whole:
             for t in targets[r.g]:
                 t.narrow(r.grid, 0, r.n, slack)
     if not targets:
@@ -114,62 +112,49 @@ def order_statistics(
                 else:
                     t.inside = r[f"inside{i}"]
 
-    aggs, picks = [], []
+    v, kept, below = F.col("v"), F.lit(False), F.lit(-_INF)
     for i in range(width):
         lo, hi = edges(i)
-        rank = _per_group({g: ts[min(i, len(ts) - 1)].rank for g, ts in targets.items()}).cast("int")
-        v = F.col("v")
-        aggs += [
-            F.count_if(v < lo).alias(f"under{i}"),
-            F.count_if(v <= lo).alias(f"before{i}"),
-            F.sort_array(F.collect_list(F.when((v > lo) & (v < hi), v))).alias(f"in{i}"),
-            F.count_if((v == hi) & (hi > lo)).alias(f"at{i}"),
-        ]
-        values, at = F.col(f"in{i}"), (rank - F.col(f"before{i}")).cast("int")
-        hit = F.get(values, at)
-        picks += [
-            f"under{i}", f"before{i}", f"at{i}", F.size(values).alias(f"size{i}"),
-            hit.alias(f"hit{i}"), F.get(values, at + 1).alias(f"next{i}"),
-            _matching(values, lambda x: x < hit).alias(f"less{i}"),
-            _matching(values, lambda x: x == hit).alias(f"same{i}"),
-        ]
+        kept = kept | ((v >= lo) & (v <= hi))
+        below = F.greatest(below, F.when(v > hi, hi))
+    ladder = cells.groupBy("g", F.when(kept, v).otherwise(below).alias("v"), (~kept).alias("gap")).agg(
+        F.count("*").alias("n")
+    )
+    upto = F.sum("n").over(Window.partitionBy("g").orderBy("v", "gap"))  # values inside brackets only
+    asked = F.element_at(F.array(*[
+        F.array(*[F.lit(k) for t in targets.get(g, []) for k in (t.rank, t.rank + 1)] or [F.lit(-1)])
+        for g in range(max(targets) + 1)
+    ]), F.col("g") + 1)
+    rows = ladder.withColumn("upto", upto).where(
+        F.exists(asked, lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n")))
+    ).collect()
+
+    def at(g: int, rank: int):
+        return next((r for r in rows if r.g == g and r.upto - r.n <= rank < r.upto and not r.gap), None)
+
     out: dict[int, list[OrderStat]] = {}
-    for r in cells.groupBy("g").agg(*aggs).select("g", *picks).collect():
-        stats = [_read(r, i, t, counts[r.g]) for i, t in enumerate(targets[r.g])]
-        if None in stats:  # a sketch missed its rank: widen the brackets and go again
-            if slack > GRID // 8:
-                raise RuntimeError("order statistics did not converge")
-            return order_statistics(long, ranks, limit, slack * 4)
-        out[r.g] = stats
+    for g, ts in targets.items():
+        out[g] = []
+        for t in ts:
+            here, after = at(g, t.rank), at(g, t.rank + 1)
+            if here is None or (after is None and t.rank + 1 < counts[g]):
+                if slack > GRID // 8:
+                    raise RuntimeError("order statistics did not converge")
+                return order_statistics(long, ranks, limit, slack * 4)  # a sketch missed: widen and go again
+            out[g].append(OrderStat(here.v, after.v if after else None, here.upto - here.n, here.n))
     return counts, out
 
 
-def _read(r, i: int, t: _Target, n: int) -> OrderStat | None:
-    before, size, at = r[f"before{i}"], r[f"size{i}"], r[f"at{i}"]
-
-    def value(rank: int) -> float | None:
-        if rank < r[f"under{i}"]:
-            return None
-        if rank < before:
-            return t.lo
-        if rank < before + size:
-            return r[f"hit{i}"] if rank == t.rank else r[f"next{i}"]
-        return t.hi if rank < before + size + at else None
-
-    here, following = value(t.rank), value(t.rank + 1)
-    if here is None or (following is None and t.rank + 1 < n):
-        return None
-    if t.rank < before:
-        return OrderStat(here, following, r[f"under{i}"], before - r[f"under{i}"])
-    if t.rank < before + size:
-        return OrderStat(here, following, before + r[f"less{i}"], r[f"same{i}"])
-    return OrderStat(here, following, before + size, at)
-
-
 def exact_quantiles_long(
     long: DataFrame, probabilities: Sequence[float], limit: int = LIMIT
 ) -> dict[int, list[float]]:
-    """Linearly interpolated quantiles per group; groups without values are absent."""
+    return quantiles_and_counts(long, probabilities, limit)[0]
+
+
+def quantiles_and_counts(
+    long: DataFrame, probabilities: Sequence[float], limit: int = LIMIT
+) -> tuple[dict[int, list[float]], dict[int, int]]:
+    """Linearly interpolated quantiles and the non-null count per group; groups without values are absent."""
 
     def ranks(counts: dict[int, int]) -> dict[int, list[int]]:
         return {g: [math.floor(p * (n - 1)) for p in probabilities] for g, n in counts.items() if n}
@@ -183,7 +168,7 @@ def exact_quantiles_long(
             share = position - math.floor(position)
             row.append(s.value if share == 0 else s.value + (s.following - s.value) * share)
         out[g] = row
-    return out
+    return out, counts
 
 
 def exact_quantiles(
