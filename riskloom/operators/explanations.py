@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import domain as d
@@ -30,28 +30,34 @@ def global_importance(shap: DataFrame, features: Sequence[str], top_n: int | Non
     return importance_table(means, top_n)
 
 
-def _drivers(features: Sequence[str], labels: Mapping[str, str] | None, sign: int, top_n: int) -> Column:
-    """Strongest drivers of one sign, ties in feature order; zero impacts belong to neither side.
+def feature_labels(
+    spark: SparkSession, features: Sequence[str], labels: Mapping[str, str] | None = None
+) -> list[str]:
+    """Labels of the model's features, found once per feature instead of once per row."""
+    named = spark.createDataFrame([(i, f) for i, f in enumerate(features)], "i int, feature string")
+    found = named.select("i", feature_label(F.col("feature"), labels).alias("label")).collect()
+    return [r.label for r in sorted(found)]
 
-    Labels depend on the feature alone, so they are literals folded at planning time.
-    """
+
+def _impacts(features: Sequence[str], labels: Sequence[str], values: Column, given: Column) -> Column:
+    """One struct per feature, led by its sort keys."""
     cells = F.arrays_zip(
-        _names(features).alias("feature"),
-        F.array(*[feature_label(F.lit(f), labels) for f in features]).alias("label"),
-        F.col("shap_values").alias("v"), F.col("feature_values").alias("x"),
+        _names(features).alias("feature"), _names(labels).alias("label"), values.alias("v"), given.alias("x")
     )
-    ranked = F.transform(
-        cells,
-        lambda c, i: F.struct((c["v"] * -sign).alias("k"), i.alias("i"), c["feature"].alias("feature"),
-                              c["label"].alias("label"), c["v"].alias("impact"), c["x"].alias("feature_value")),
-    )
-    top = F.slice(F.array_sort(F.filter(ranked, lambda c: c["k"] < 0)), 1, top_n)
-    return F.transform(top, lambda c: F.struct(
-        c["feature"].alias("feature"), c["label"].alias("label"), F.round(c["impact"], 6).alias("impact"),
-        F.round(c["feature_value"], 6).alias("feature_value"),
+    return F.transform(cells, lambda c, i: F.struct(
+        c["v"].alias("k"), i.alias("i"), c["feature"].alias("feature"), c["label"].alias("label"),
+        F.round(c["v"], 6).alias("impact"), F.round(c["x"], 6).alias("feature_value"),
     ))
 
 
+def _strongest(cells: Column, sign: int, top_n: int) -> Column:
+    """Top drivers of one sign, ties in feature order; zero impacts belong to neither side."""
+    if sign < 0:
+        return F.slice(F.sort_array(F.filter(cells, lambda c: c["k"] < 0)), 1, top_n)
+    flipped = F.transform(F.filter(cells, lambda c: c["k"] > 0), lambda c: c.withField("k", -c["k"]))
+    return F.slice(F.sort_array(flipped), 1, top_n)
+
+
 def _bare(drivers: str) -> Column:
     return F.transform(drivers, lambda c: F.struct(c["feature"], c["impact"], c["feature_value"]))
 
@@ -60,12 +66,16 @@ def local_explanation(
     shap: DataFrame, features: Sequence[str], top_n: int = 10, labels: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Predicted probability (base + sum, kept within 0..1) and signed top drivers per row."""
+    texts = feature_labels(shap.sparkSession, features, labels)
     total = F.aggregate("shap_values", F.lit(0.0), lambda a, v: a + v)
-    return shap.withColumns({
+    staged = shap.withColumn(
+        "_cells", _impacts(features, texts, F.col("shap_values"), F.col("feature_values"))
+    )
+    return staged.withColumns({
         "predicted_probability": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("expected_value") + total)),
-        "positive_drivers": _drivers(features, labels, 1, top_n),
-        "negative_drivers": _drivers(features, labels, -1, top_n),
-    })
+        "positive_drivers": _strongest(F.col("_cells"), 1, top_n),
+        "negative_drivers": _strongest(F.col("_cells"), -1, top_n),
+    }).drop("_cells")
 
 
 def contribution_table(shap: DataFrame, features: Sequence[str], key: str = d.ID) -> DataFrame:
