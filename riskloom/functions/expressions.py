@@ -93,7 +93,7 @@ KEY_RANGE = float(1 << 52)
 
 def order_digest(key: Column, seed: int) -> Column:
     """Seeded shuffle key: sorting by it is a reproducible random order in any engine."""
-    return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
 
 
 def order_number(digest: Column) -> Column:

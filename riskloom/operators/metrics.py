@@ -32,18 +32,23 @@ def score_ladder(
         .groupBy(*groups, col(score).cast("double").alias("score"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
-    size = steps.agg(F.count("*").alias("n")).first().n
+    steps = settle(steps, "score-steps")  # read several times from here on; scoring is done once
+    size = steps.count()
     wanted = min(MAX_BUCKETS, size // per_bucket)
-    if wanted > 1:
-        steps = settle(steps, "score-steps")  # read three times from here on
-        points = [i / wanted for i in range(1, wanted)]
-        inner = sorted(set(steps.agg(F.percentile_approx("score", points, 10_000).alias("q")).first().q))
-        cuts = Bucketizer(
-            splits=[-float("inf"), *inner, float("inf")], inputCol="score", outputCol="bucket"
+    if wanted <= 1:  # at most 2 * per_bucket rows in all
+        best_first = Window.partitionBy(*groups).orderBy(F.desc("score"))
+        upto = best_first.rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*groups)
+        return steps.select(
+            *groups, "score", "pos", "neg",
+            F.sum("pos").over(whole).alias("p_all"), F.sum("neg").over(whole).alias("n_all"),
+            F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"),
+            F.lead("pos").over(best_first).alias("next_pos"), F.lead("neg").over(best_first).alias("next_neg"),
         )
-        steps = cuts.transform(steps)
-    else:
-        steps = steps.withColumn("bucket", F.lit(0.0))
+    points = [i / wanted for i in range(1, wanted)]
+    inner = sorted(set(steps.agg(F.percentile_approx("score", points, 10_000).alias("q")).first().q))
+    cuts = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="score", outputCol="bucket")
+    steps = cuts.transform(steps)
 
     down = Window.partitionBy(*groups).orderBy(F.desc("bucket"))  # at most MAX_BUCKETS rows per group
     before = down.rowsBetween(Window.unboundedPreceding, -1)

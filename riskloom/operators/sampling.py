@@ -41,6 +41,8 @@ def assign_buckets(
     plan: dict[int, list[int]] = {}
 
     def cut_ranks(counts: dict[int, int]) -> dict[int, list[int]]:
+        if any(g is None or g < 0 for g in counts):
+            raise ValueError(f"'{label}' must hold non-negative integers, without NULLs")
         plan.update({g: list(s) for g, s in sizes(counts).items()})
         for g, s in plan.items():
             if sum(s) != counts[g] or min(s) < 0:

@@ -40,6 +40,8 @@ def test_quotas_add_up(counts, size, want):
 def test_split_errors(spark):
     with pytest.raises(ValueError, match="at least 2"):
         sampling.stratified_split(table(spark, 50, 1))
+    with pytest.raises(ValueError, match="without NULLs"):
+        sampling.stratified_split(spark.createDataFrame([(1, 0), (2, None)], "SK_ID_CURR int, TARGET int"))
     with pytest.raises(ValueError, match="column required"):
         sampling.stratified_split(spark.range(5).withColumnRenamed("id", "SK_ID_CURR"))
 
@@ -67,3 +69,10 @@ def test_a_third_of_rows_share_one_key(spark):
         assert parts.select("row").distinct().count() == 900
     folds = sampling.stratified_folds(df).groupBy("fold").count().collect()
     assert sorted(r["count"] for r in folds) == [180] * 5
+
+
+def test_rows_without_a_key_are_kept(spark):
+    df = spark.range(100).selectExpr("if(id < 40, null, id) as SK_ID_CURR", "0 as TARGET", "id as row")
+    assert sampling.sample_rows(df, 25).count() == 25
+    parts = sampling.split_flag(df, 0.2)
+    assert parts.where("is_test").count() == 20 and parts.select("row").distinct().count() == 100
