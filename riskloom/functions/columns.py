@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.expressions import number
-
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     skip = set(exclude)
@@ -40,15 +38,42 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return col(name).isNull() | F.isnan(col(name)) if floating else col(name).isNull()
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_array(values: Sequence[str]) -> str:
+    """SQL array of string literals. Long literal lists are written as one SQL text: building them from
+    Column objects costs a gateway round trip per element."""
+    return "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
+
+
+def number_array(values: Iterable[float]) -> str:
+    """SQL array of double literals."""
+
+    def one(v: float) -> str:
+        return f"double('{v}')" if v in (float("inf"), float("-inf")) else f"{float(v)!r}D"
+
+    return "array(" + ", ".join(one(v) for v in values) + ")"
+
+
 def numeric_long(df: DataFrame, names: Sequence[str], keep: Sequence[Column | str] = ()) -> DataFrame:
-    """One row per cell: (g = position in `names`, v = double). The plan stays small however wide the table."""
-    cells = F.array(*[number(col(c)) for c in names])
-    return df.select(*keep, F.posexplode(cells).alias("g", "v"))
+    """One row per cell: (g = position in `names`, v = double, NULL for NaN). The plan stays small however
+    wide the table."""
+
+    def cell(c: str) -> str:
+        value = f"cast({quoted(c)} as double)"
+        floating = isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))
+        return f"nanvl({value}, cast(null as double))" if floating else value
+
+    cells = ", ".join(cell(c) for c in names)
+    return df.select(*keep, F.expr(f"posexplode(array({cells}))").alias("g", "v"))
 
 
 def text_long(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.select(F.posexplode(F.array(*[col(c) for c in names])).alias("g", "v"))
+    cells = ", ".join(quoted(c) for c in names)
+    return df.select(F.expr(f"posexplode(array({cells}))").alias("g", "v"))
 
 
-def name_of(names: Sequence[str], g: Column | str = "g") -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col(g) + 1 if isinstance(g, str) else g + 1)
+def name_of(names: Sequence[str], g: str = "g") -> Column:
+    return F.expr(f"element_at({text_array(names)}, {g} + 1)")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import domain as d
-from riskloom.functions.columns import col, name_of, numeric_columns, numeric_long
+from riskloom.functions.columns import col, name_of, number_array, numeric_columns, numeric_long
 from riskloom.functions.expressions import correlation, number
 from riskloom.operators.selection import exact_quantiles
 
@@ -28,9 +28,9 @@ def target_correlation(df: DataFrame, top_n: int = 20, label: str = d.LABEL) ->
     if not names:
         return None
     medians = exact_quantiles(df.where(col(label).isNotNull()), names, [0.5])
-    fill = F.array(*[F.lit(float(medians.get(c, [0.0])[0])) for c in names])
+    fill = F.expr(f"element_at({number_array(medians.get(c, [0.0])[0] for c in names)}, g + 1)")
     y = F.col("y")
-    filled = F.when(y.isNotNull(), F.coalesce("v", F.element_at(fill, F.col("g") + 1)))
+    filled = F.when(y.isNotNull(), F.coalesce("v", fill))
     rows = (
         numeric_long(df, names, keep=[number(col(label)).alias("y")])
         .groupBy("g")
@@ -147,7 +147,7 @@ def pairwise_correlation(df: DataFrame, names: Sequence[str], centre: np.ndarray
     varies = (vx > FLAT * F.col("sxx")) & (vy > FLAT * F.col("syy"))
     r = F.when((F.col("n") > 1) & varies, cov / (F.sqrt(vx) * F.sqrt(vy)))
     return total.select(
-        name_of(names, F.col("i")).alias("feature_x"), name_of(names, F.col("j")).alias("feature_y"),
+        name_of(names, "i").alias("feature_x"), name_of(names, "j").alias("feature_y"),
         F.round(r, 4).alias("correlation"),
     )
 

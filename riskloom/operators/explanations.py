@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from riskloom import domain as d
 from riskloom.functions import expressions as X
+from riskloom.functions.columns import text_array
 from riskloom.functions.text import driver_phrases, feature_label, mitigants, narrative
 from riskloom.operators.correlation import importance_table
 
 
 def _names(features: Sequence[str]) -> Column:
-    return F.array(*[F.lit(f) for f in features])
+    return F.expr(text_array(features))
 
 
 def global_importance(shap: DataFrame, features: Sequence[str], top_n: int | None = None) -> DataFrame:

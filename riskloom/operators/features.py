@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from riskloom import domain as d
 from riskloom.functions import expressions as X
-from riskloom.functions.columns import col, is_missing, numeric_columns, numeric_long, text_columns, text_long
-from riskloom.operators.profile import CHUNK
+from riskloom.functions.columns import col, numeric_columns, numeric_long, text_columns, text_long
+from riskloom.operators.profile import column_facts
 from riskloom.operators.quality import SchemaValidationError
 from riskloom.operators.selection import quantiles_and_counts
 
@@ -95,20 +95,9 @@ class ColumnSelector(Estimator):
     def _fit(self, dataset: DataFrame) -> ColumnSelectorModel:
         limit = self.getOrDefault(self.missingLimit)
         names = _features(dataset, self._key, self._label)
-        missing: dict[str, float] = {}
-        constant: set[str] = set()
-        for i in range(0, len(names), CHUNK):
-            part = names[i : i + CHUNK]
-            facts = dataset.agg(F.count("*").alias("n"), *[
-                F.struct(
-                    F.count_if(is_missing(dataset, c)), F.min(_present(dataset, c)) == F.max(_present(dataset, c))
-                ).alias(c) for c in part
-            ]).first()
-            for c in part:
-                lost, same = facts[c]
-                missing[c] = lost / facts.n if facts.n else 1.0
-                if same is None or same:
-                    constant.add(c)
+        facts = {r.column: r for r in column_facts(dataset, names).collect()} if names else {}
+        missing = {c: facts[c].missing / facts[c].n if c in facts and facts[c].n else 1.0 for c in names}
+        constant = {c for c in names if c not in facts or facts[c].same}
         high = [c for c in names if missing[c] > limit]
         flat = [c for c in names if c in constant and c not in high]
         dropped = {*high, *flat}
@@ -126,10 +115,6 @@ class ColumnSelector(Estimator):
         })
 
 
-def _present(df: DataFrame, name: str) -> Column:
-    return F.when(~is_missing(df, name), col(name))
-
-
 class ColumnSelectorModel(Model, _Stateful):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         state = self.learnt
@@ -142,17 +127,12 @@ class ColumnSelectorModel(Model, _Stateful):
 
 def selection_report(df: DataFrame, limit: float = d.MISSING_LIMIT, key: str = d.ID, label: str = d.LABEL) -> DataFrame:
     """What the selector decides about each column, as a table."""
-    from riskloom.operators.profile import per_column
-
-    table = per_column(df, _features(df, key, label), lambda c: [
-        F.count_if(is_missing(df, c)).alias("missing"), F.count("*").alias("n"),
-        (F.min(_present(df, c)) == F.max(_present(df, c))).alias("same"),
-    ])
+    table = column_facts(df, _features(df, key, label))
     share = F.try_divide(F.col("missing").cast("double"), F.col("n").cast("double"))
     return table.select(
         "column", F.round(share * 100, 2).alias("missing_pct"),
-        F.when(share > limit, "high_missing").when(F.coalesce("same", F.lit(True)), "zero_variance")
-        .otherwise("kept").alias("decision"),
+        F.when(share > limit, "high_missing").when(F.col("same"), "zero_variance").otherwise("kept")
+        .alias("decision"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from riskloom import domain as d
 from riskloom.functions.columns import (
-    col, is_missing, kind, name_of, numeric_columns, numeric_long, text_columns, text_long,
+    col, is_missing, kind, name_of, number_array, numeric_columns, numeric_long, text_columns, text_long,
 )
 from riskloom.functions.expressions import class_share
 from riskloom.operators.selection import exact_quantiles_long
@@ -34,6 +34,33 @@ def per_column(df: DataFrame, names: Sequence[str], row: Callable[[str], list[Co
     return out
 
 
+def column_facts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column, n, missing, same): rows, missing values, and whether at most one value occurs.
+
+    Numbers go through the long form in their own type, where minimum and maximum are generated code; text
+    has no fixed width, so it is aggregated without grouping (grouping would sort it).
+    """
+    parts = []
+    for family, cast in _families(df.select(*[col(c) for c in names])):
+        if cast == "string":
+            parts.append(per_column(df, family, lambda c: [
+                F.count("*").alias("n"), F.count_if(is_missing(df, c)).alias("missing"),
+                (F.min(col(c).cast("string")) == F.max(col(c).cast("string"))).alias("same"),
+            ]))
+            continue
+        cells = F.array(*[F.when(~is_missing(df, c), col(c).cast(cast)) for c in family])
+        parts.append(
+            df.select(F.posexplode(cells).alias("g", "v")).groupBy("g")
+            .agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"),
+                 (F.min("v") == F.max("v")).alias("same"))
+            .select(name_of(family).alias("column"), "n", "missing", "same")
+        )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("same", F.coalesce("same", F.lit(True)))
+
+
 def dimensions(df: DataFrame) -> DataFrame:
     k = len(df.columns)
     return df.agg(F.count("*").alias("rows")).select(
@@ -185,16 +212,15 @@ def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame | None:
     )
     if exact:
         quartiles = exact_quantiles_long(cells, [0.25, 0.5, 0.75])
-        literal = F.array(*[
-            F.array(*[F.lit(x).cast("double") for x in quartiles.get(g, [None] * 3)]) for g in range(len(names))
-        ])
+        found = (number_array(quartiles[g]) if g in quartiles else "cast(null as array<double>)" for g in range(len(names)))
+        literal = ", ".join(found)
         distinct = (
             cells.where(v.isNotNull()).groupBy("g", "v").agg(F.lit(1).alias("_one"))
             .groupBy("g").agg(F.count("*").alias("unique_count"))
         )
         # one row per column on either side
         moments = moments.join(F.broadcast(distinct), "g", "left").withColumn(
-            "_q", F.element_at(literal, F.col("g") + 1)
+            "_q", F.expr(f"element_at(array({literal}), g + 1)")
         )
     flat = F.col("std") == 0
     skew = F.when(n < 3, None).when(flat, 0.0).otherwise(F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import numeric_long
+from riskloom.functions.columns import number_array, numeric_long
 
 GRID = 400
 ACCURACY = 2_000
@@ -49,14 +49,16 @@ class _Target:
         self.inside = math.ceil(inside * (min(b, GRID) - max(a, 0)) / GRID)
 
 
-def _grid(value: Column) -> Column:
-    return F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], ACCURACY)
+FRACTIONS = number_array(i / GRID for i in range(GRID + 1))
+
+
+def _grid(name: str) -> Column:
+    return F.expr(f"percentile_approx({name}, {FRACTIONS}, {ACCURACY})")
 
 
 def _per_group(values: Mapping[int, float]) -> Column:
     """Literal lookup g -> value; g is a small dense integer."""
-    top = max(values)
-    return F.element_at(F.array(*[F.lit(float(values.get(g, 0.0))) for g in range(top + 1)]), F.col("g") + 1)
+    return F.expr(f"element_at({number_array(values.get(g, 0.0) for g in range(max(values) + 1))}, g + 1)")
 
 
 def order_statistics(
@@ -72,7 +74,7 @@ def order_statistics(
     cells = long.where("v IS NOT NULL")
     limit = max(limit, 64)  # below this a bracket of grid cells no longer shrinks
     whole = min(WHOLE, limit)
-    first = cells.groupBy("g").agg(F.count("v").alias("n"), _grid(F.col("v")).alias("grid")).collect()
+    first = cells.groupBy("g").agg(F.count("v").alias("n"), _grid("v").alias("grid")).collect()
     counts = {r.g: r.n for r in first}
     wanted = {g: list(rs) for g, rs in ranks(dict(counts)).items() if len(rs)}
     targets: dict[int, list[_Target]] = {}
@@ -96,16 +98,16 @@ def order_statistics(
         )
 
     while max(t.inside for ts in targets.values() for t in ts) > limit:
-        aggs = []
+        inner, aggs = {}, []
         for i in range(width):
             lo, hi = edges(i)
-            within = (F.col("v") > lo) & (F.col("v") < hi)
+            inner[f"w{i}"] = F.when((F.col("v") > lo) & (F.col("v") < hi), F.col("v"))
             aggs += [
                 F.count_if(F.col("v") <= lo).alias(f"before{i}"),
-                F.count_if(within).alias(f"inside{i}"),
-                _grid(F.when(within, F.col("v"))).alias(f"grid{i}"),
+                F.count(f"w{i}").alias(f"inside{i}"),
+                _grid(f"w{i}").alias(f"grid{i}"),
             ]
-        for r in cells.groupBy("g").agg(*aggs).collect():
+        for r in cells.withColumns(inner).groupBy("g").agg(*aggs).collect():
             for i, t in enumerate(targets[r.g]):
                 if r[f"inside{i}"] > limit:
                     t.narrow(r[f"grid{i}"], r[f"before{i}"], r[f"inside{i}"], slack)
@@ -121,12 +123,12 @@ def order_statistics(
         F.count("*").alias("n")
     )
     upto = F.sum("n").over(Window.partitionBy("g").orderBy("v", "gap"))  # values inside brackets only
-    asked = F.element_at(F.array(*[
-        F.array(*[F.lit(k) for t in targets.get(g, []) for k in (t.rank, t.rank + 1)] or [F.lit(-1)])
+    asked = ", ".join(
+        "array(" + ", ".join(f"{k}L" for t in targets.get(g, []) for k in (t.rank, t.rank + 1)) + ")"
         for g in range(max(targets) + 1)
-    ]), F.col("g") + 1)
+    )
     rows = ladder.withColumn("upto", upto).where(
-        F.exists(asked, lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n")))
+        f"exists(element_at(array({asked}), g + 1), k -> k < upto AND k >= upto - n)"
     ).collect()
 
     def at(g: int, rank: int):

@@ -4,6 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from riskloom.operators import features as fe
+from riskloom.operators import profile
 from riskloom.operators.quality import SchemaValidationError
 
 
@@ -66,10 +67,15 @@ def test_selector_threshold_and_all_null(spark):
 
 def test_selector_in_chunks(spark, rows, monkeypatch):
     whole = fe.ColumnSelector().fit(rows).learnt
-    monkeypatch.setattr(fe, "CHUNK", 3)
+    monkeypatch.setattr(profile, "CHUNK", 2)
     assert fe.ColumnSelector().fit(rows).learnt == whole
 
 
+def test_large_integers_that_differ_are_not_constant(spark):
+    df = spark.createDataFrame([(1, 2**60), (2, 2**60 + 1)], "SK_ID_CURR int, big long")
+    assert fe.ColumnSelector().fit(df).learnt["selected"] == ["big"]
+
+
 def test_filler(spark):
     df = spark.createDataFrame(
         [(1, 1.0, "b", None, None), (2, None, "a", None, None), (3, 4.0, None, None, None), (4, 2.0, "b", None, None), (5, 3.0, "a", None, None)],
