@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -156,13 +157,11 @@ def read_train_test(
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's checkpoint folder, or under a temp folder when none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        import tempfile
-
         root = tempfile.mkdtemp(prefix="riskloom-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

@@ -129,3 +129,28 @@ def test_alignment(spark):
     assert out.schema["a"].dataType == T.DoubleType()
     with pytest.raises(SchemaValidationError):
         align_to_schema(df, {})
+
+
+class _Session:
+    """Just the two settings `work_path` reads."""
+
+    def __init__(self, setting):
+        self.setting, self.folder, self.conf, self.sparkContext = setting, None, self, self
+
+    def get(self, key, default):
+        assert key == "spark.checkpoint.dir"
+        return self.setting
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_work_goes_to_the_folder_the_cluster_names():
+    shared = _Session("hdfs://shared/checkpoints")
+    assert tables.work_path(shared, "x").startswith("hdfs://shared/checkpoints/x-") and shared.folder is None
+    unset = _Session(None)
+    first, second = tables.work_path(unset, "x"), tables.work_path(unset, "x")
+    assert first != second and first.startswith(unset.folder) and second.startswith(unset.folder)
