@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -156,15 +159,26 @@ def read_train_test(
 # ---- places for intermediate data ------------------------------------------------------------
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's checkpoint folder, or under a temp folder when none is set."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """A fresh path under the folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local session, whose driver and executors are one process, may do without that setting: it gets one temporary
+    folder, removed when Python ends. No setting of the session is changed.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="riskloom-")
-        context.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_folder()
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _local_folder() -> str:
+    root = tempfile.mkdtemp(prefix="riskloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Write and read back: cuts lineage and survives the loss of any executor."""
     path = write_table(df, work_path(df.sparkSession, name))
