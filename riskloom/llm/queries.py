@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import ngram_join, quality_rank
+from riskloom.llm import ngram_join, quality_rank, quality_rules
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -24,3 +24,8 @@ def op2_quality_classifier(spark, sf):
 @query
 def op7_ngram_join(spark, sf):
     return ngram_join.link_documents(read(spark, sf, "documents"), size=4, threshold=0.85)
+
+
+@query
+def op8_quality_rules(spark, sf):
+    return quality_rules.rate(read(spark, sf, "documents"))
