@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import ngram_join, quality_rank, quality_rules
+from riskloom.llm import ngram_join, quality_rank, quality_rules, secret_scan
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -21,6 +21,11 @@ def op2_quality_classifier(spark, sf):
     return quality_rank.classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+@query
+def op4_secret_scan(spark, sf):
+    return secret_scan.digest(read(spark, sf, "documents"))
+
+
 @query
 def op7_ngram_join(spark, sf):
     return ngram_join.link_documents(read(spark, sf, "documents"), size=4, threshold=0.85)
