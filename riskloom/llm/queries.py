@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import ngram_join, quality_rank, quality_rules, secret_scan
+from riskloom.llm import chat_format, mixture, ngram_join, quality_rank, quality_rules, secret_scan
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -16,6 +16,11 @@ def query(f):
     return f
 
 
+@query
+def op1_mixture(spark, sf):
+    return mixture.allot(read(spark, sf, "documents"))
+
+
 @query
 def op2_quality_classifier(spark, sf):
     return quality_rank.classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
@@ -34,3 +39,9 @@ def op7_ngram_join(spark, sf):
 @query
 def op8_quality_rules(spark, sf):
     return quality_rules.rate(read(spark, sf, "documents"))
+
+
+@query
+def op9_chat_format(spark, sf):
+    rows = chat_format.with_hostile(read(spark, sf, "conversations"))
+    return chat_format.digest(chat_format.format_turns(rows))
