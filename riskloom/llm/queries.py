@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat_format, mixture, ngram_join, quality_rank, quality_rules, secret_scan
+from riskloom.llm import chat_format, html_text, mixture, ngram_join, quality_rank, quality_rules, secret_scan
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -31,6 +31,11 @@ def op4_secret_scan(spark, sf):
     return secret_scan.digest(read(spark, sf, "documents"))
 
 
+@query
+def op5_html_text(spark, sf):
+    return html_text.extract(read(spark, sf, "pages"))
+
+
 @query
 def op7_ngram_join(spark, sf):
     return ngram_join.link_documents(read(spark, sf, "documents"), size=4, threshold=0.85)
