@@ -44,6 +44,7 @@ LABELLED = np.array([
     (1, 0, 70, 0, 90, 0, 1, 0, 1), (2, 0, 3, 0, 2, 0, 1, 0, 1), (45, 0.1, 80, 0, 8, 0, 1, 0, 1),
     (3, 1, 60, 0, 60, 0, 1, 0, 1), (9, 0.6, 20, 0, 10, 0, 1, 0, 1), (150, 0.02, 1, 0, 5, 0, 1, 0, 1),
     (4, 0, 120, 0, 0, 0, 1, 0, 1), (1, 0, 1, 0, 0, 0, 1, 0, 1), (30, 0, 30, 0, 30, 0, 1, 0, 1),
+    (1, 1, 50, 0, 2, 1, 1, 0, 1), (1, 1, 0, 0, 0, 0, 1, 0, 1), (2, 1, 1, 1, 1, 1, 1, 0, 1), (8, 1, 9, 1, 9, 1, 1, 0, 1),
     # menus, headers, footers, adverts, forms, comments, wherever they stand
     (1, 1, 0, 0, 1, 1, -1, 1, 0), (2, 1, 1, 1, 1, 1, -1, 1, 0), (8, 0, 2, 1, 7, 0, -1, 1, 0),
     (40, 0, 1, 1, 9, 0, -1, 1, 0), (5, 0, 60, 0, 0, 0, -1, 1, 0), (25, 0.1, 60, 0, 30, 0, 1, 1, 0),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat_format, html_text, mixture, ngram_join, quality_rank, quality_rules, secret_scan
+from riskloom.llm import chat_format, html_text, mixture, ngram_join, quality_rank, quality_rules, secret_scan, suffix_dedup
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -26,6 +26,11 @@ def op2_quality_classifier(spark, sf):
     return quality_rank.classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+@query
+def op3_suffix_dedup(spark, sf):
+    return suffix_dedup.deduplicate(read(spark, sf, "documents")).drop("kept")
+
+
 @query
 def op4_secret_scan(spark, sf):
     return secret_scan.digest(read(spark, sf, "documents"))
