@@ -44,6 +44,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of words without punctuation.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,13 +82,16 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, A-Z lower-cased, in order, and for each text where its words start (and the end)."""
+def word_hashes(column: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, A-Z lower-cased, in order, and for each text where its words start (and the end).
+
+    `between` says for each byte whether it separates words.
+    """
     data, offsets = raw_bytes(column)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     first = np.zeros(len(data), bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = inside & (first | np.concatenate(([True], ~inside[:-1])))
@@ -114,3 +119,38 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield mix(np.array([np.sum(hashes[a:b] * scale[: b - a])], np.uint64) + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
+
+
+# ---- tables of numbers summed over all tasks -------------------------------------------------
+
+def sum_tables(df: DataFrame, make, shape: tuple[int, ...], kind: str, chunk: int = 1 << 16) -> np.ndarray:
+    """Sum of the arrays that `make` gives for the batches of each task; `shape`, not the input, bounds the result.
+
+    Arrays travel in chunks, so that many tasks add up, and the driver receives one array.
+    """
+    size = int(np.prod(shape))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = make(batches)
+        if table is not None:
+            flat = table.ravel()
+            for i in range(0, size, chunk):
+                if flat[i: i + chunk].any():
+                    yield pa.RecordBatch.from_pydict({
+                        "chunk": pa.array([i], pa.int64()), "part": pa.array([flat[i: i + chunk].tobytes()], pa.binary())})
+
+    def total(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at = None, None
+        for batch in group:
+            at = batch.column("chunk")[0].as_py()
+            for c in batch.column("part"):
+                part = np.frombuffer(c.as_buffer(), kind).astype(np.float64)
+                out = part if out is None else out + part
+        yield pa.RecordBatch.from_pydict({
+            "chunk": pa.array([at], pa.int64()), "part": pa.array([out.tobytes()], pa.binary())})
+
+    kinds, whole = "chunk long, part binary", np.zeros(size)
+    for row in df.mapInArrow(own, kinds).groupBy("chunk").applyInArrow(total, kinds).collect():
+        part = np.frombuffer(row["part"])
+        whole[row["chunk"]: row["chunk"] + len(part)] = part
+    return whole.reshape(shape)

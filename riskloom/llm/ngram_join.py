@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import blocks, mix, shingle_sets, store, text_of
+from riskloom.llm.common import blocks, mix, shingle_sets, store, sum_tables, text_of
 from riskloom.llm.components import components
 
 #: Counters of the frequency sketch; it costs each task so many bytes, and the driver one bit each.
 COUNTERS = 1 << 22
-CHUNK = 1 << 16
 #: An n-gram counts as frequent beyond so many occurrences more than an average counter holds.
 FREQUENT = 48
 #: Independent least hashes by which members of dense groups first meet a centre.
@@ -39,7 +38,7 @@ def _ratio(threshold: float) -> tuple[int, int]:
 def _frequent(docs: DataFrame, size: int) -> np.ndarray:
     """Which counters of a sketch over all n-grams of all documents are high, as bytes of bits."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         table, waiting, rows = np.zeros(COUNTERS, np.uint8), [], 0
 
         def add() -> None:
@@ -55,27 +54,9 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
                     waiting, rows = [], 0
         if waiting:
             add()
-        if table.any():
-            chunks = table.reshape(-1, CHUNK)
-            for i in range(0, len(chunks), 16):
-                yield pa.RecordBatch.from_pydict({
-                    "chunk": pa.array(range(i, i + 16), pa.int32()),
-                    "counts": pa.array([c.tobytes() for c in chunks[i:i + 16]], pa.binary())})
-
-    def total(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, chunk = np.zeros(CHUNK, np.int64), None
-        for batch in group:
-            chunk = batch.column("chunk")[0].as_py()
-            for c in batch.column("counts"):
-                whole += np.frombuffer(c.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()),
-                                          "counts": pa.array([whole.tobytes()], pa.binary())})
-
-    parts = docs.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(
-        total, "chunk int, counts binary")
-    high = np.zeros(COUNTERS, np.int64)
-    for row in parts.toLocalIterator():  # COUNTERS numbers, whatever the input
-        high[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
+        return table
+
+    high = sum_tables(docs.select("text"), count, (COUNTERS,), "uint8")
     mean = high.sum() / COUNTERS
     return np.packbits(high > mean + max(FREQUENT, 8 * math.sqrt(mean)))
 

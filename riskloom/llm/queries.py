@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat_format, html_text, mixture, ngram_join, quality_rank, quality_rules, secret_scan, suffix_dedup
+from riskloom.llm import chat_format, decontamination, html_text, mixture, ngram_join, quality_rank, quality_rules, secret_scan, suffix_dedup
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -41,6 +41,11 @@ def op5_html_text(spark, sf):
     return html_text.extract(read(spark, sf, "pages"))
 
 
+@query
+def op6_decontamination(spark, sf):
+    return decontamination.find(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 @query
 def op7_ngram_join(spark, sf):
     return ngram_join.link_documents(read(spark, sf, "documents"), size=4, threshold=0.85)
