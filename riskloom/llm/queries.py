@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat_format, decontamination, html_text, mixture, ngram_join, quality_rank, quality_rules, secret_scan, suffix_dedup
+from riskloom.llm import (
+    chat_format, decontamination, html_text, license_scan, mixture, ngram_join, quality_rank, quality_rules,
+    secret_scan, suffix_dedup,
+)
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -60,3 +63,11 @@ def op8_quality_rules(spark, sf):
 def op9_chat_format(spark, sf):
     rows = chat_format.with_hostile(read(spark, sf, "conversations"))
     return chat_format.digest(chat_format.format_turns(rows))
+
+
+@query
+def op10_license_scan(spark, sf):
+    return license_scan.digest(read(spark, sf, "documents"))
+
+
+ORACLE["op10_license_scan"] = license_scan.DIGEST_SQL
