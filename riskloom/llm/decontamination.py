@@ -59,7 +59,7 @@ def term_weights(docs: DataFrame) -> np.ndarray:
 
     table = sum_tables(docs.select("text"), count, (TERMS + 1,), "int32")
     n, found = table[TERMS], table[:TERMS]
-    weights = np.log((n + 1) / (found + 1))
+    weights = np.log((n + 1) / (found + 1)) + 1
     weights[found > max(10, STOP_SHARE * n)] = 0
     return weights.astype(np.float32)
 
@@ -226,5 +226,5 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no benchmark item; rows with a null doc_id stay only if no such row holds one."""
-    found = find(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    found = find(docs, benchmark).select(F.col("doc_id").alias("held")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["held"]), "left_anti")

@@ -63,13 +63,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     known = sorted({(name, tuple(template_bigrams(t))) for name, t in templates if template_bigrams(t)})
     bounds = [size_bounds(len(b), least) for _, b in known]
     low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
-    rows = docs.drop("licences").withColumn("_lines", F.split(F.regexp_replace(
-        F.lower(text_of()), r"[^\p{L}\p{N}\n]+", " "), "\n"))
+    rows = docs.drop("licences").select(F.struct("*").alias("row"), F.split(F.regexp_replace(
+        F.lower(text_of()), r"[^\p{L}\p{N}\n]+", " "), "\n").alias("lines"))
     # more words than bigrams by at least one, so a line with too few words is out before any bigram is made
-    rows = rows.withColumn("_lines", F.filter(F.transform("_lines", lambda x, i: F.struct(
+    rows = rows.withColumn("lines", F.filter(F.transform("lines", lambda x, i: F.struct(
         (i + 1).alias("line"), F.trim(x).alias("text"))), lambda x: (
             F.length(x["text"]) - F.length(F.replace(x["text"], F.lit(" "), F.lit(""))) >= low)))
-    rows = rows.withColumn("_lines", F.filter(F.transform("_lines", lambda x: F.struct(
+    rows = rows.withColumn("lines", F.filter(F.transform("lines", lambda x: F.struct(
         x["line"].alias("line"), _bigrams(x["text"]).alias("pairs"))), lambda x: F.size(x["pairs"]).between(low, high)))
 
     def dice(pairs: Column) -> Column:
@@ -78,12 +78,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
             F.lit(name).alias("licence"))) for (name, t), b in zip(known, bounds)]
         return F.array_min(F.array_compact(F.array(*tried)))
 
-    best = F.transform("_lines", lambda x: F.struct(x["line"].alias("line"), dice(x["pairs"]).alias("b")))
-    rows = rows.withColumn("_best", F.when(F.size("_lines") > 0, best))
-    found = F.transform(F.filter("_best", lambda x: x["b"]["d"] <= -least), lambda x: F.struct(
+    best = F.transform("lines", lambda x: F.struct(x["line"].alias("line"), dice(x["pairs"]).alias("b")))
+    rows = rows.withColumn("best", F.when(F.size("lines") > 0, best))
+    found = F.transform(F.filter("best", lambda x: x["b"]["d"] <= -least), lambda x: F.struct(
         x["line"].alias("line"), x["b"]["licence"].alias("licence"), (-x["b"]["d"]).alias("dice")))
     none = F.array().cast("array<struct<line:int,licence:string,dice:double>>")
-    return rows.withColumn("licences", F.coalesce(found, none)).drop("_lines", "_best")
+    return rows.select("row.*", F.coalesce(found, none).alias("licences"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -109,25 +109,24 @@ def scan(docs: DataFrame, table: list[float]) -> DataFrame:
     Positions are code points, ends open. A null text has no spans. A candidate that overlaps a span of the fixed
     patterns adds none. A column named spans is replaced.
     """
-    rows = docs.drop("spans").withColumn("_text", text_of())
     kinds = list(KINDS)
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    rows = docs.drop("spans").select(F.struct("*").alias("row"), text_of().alias("text"))
     for k, (pattern, group, least) in KINDS.items():
-        rows = rows.withColumn(f"_{k}", find(F.col("_text"), pattern, group, least))
-    rows = rows.withColumn("_candidates", F.when(F.col("_text").rlike(CANDIDATE), F.filter(
-        find(F.col("_text"), CANDIDATE),
-        lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))).otherwise(
-        F.array().cast("array<struct<start:int,end:int,value:string>>")))
+        rows = rows.withColumn(k, find(F.col("text"), pattern, group, least))
+    rows = rows.withColumn("candidates", F.when(F.col("text").rlike(CANDIDATE), F.filter(
+        find(F.col("text"), CANDIDATE),
+        lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))).otherwise(none))
 
     def named(column: str, rank: int, kind: str) -> Column:
         return F.transform(column, lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    rows = rows.withColumn("_base", F.array_sort(F.concat(*[named(f"_{k}", i, k) for i, k in enumerate(kinds)])))
-    fresh = F.filter("_candidates", lambda s: (randomness(s["value"], table) >= MARGIN) & ~F.exists(
-        "_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = rows.withColumn("_random", F.when(F.size("_candidates") > 0, fresh).otherwise(F.col("_candidates")))
-    rows = rows.withColumn("spans", F.array_sort(F.concat("_base", named("_random", len(kinds), "random"))))
-    return rows.drop("_text", "_candidates", "_base", "_random", *[f"_{k}" for k in kinds])
+    rows = rows.withColumn("base", F.array_sort(F.concat(*[named(k, i, k) for i, k in enumerate(kinds)])))
+    fresh = F.filter("candidates", lambda s: (randomness(s["value"], table) >= MARGIN) & ~F.exists(
+        "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    rows = rows.withColumn("random", F.when(F.size("candidates") > 0, fresh).otherwise(F.col("candidates")))
+    return rows.select("row.*", F.array_sort(F.concat("base", named("random", len(kinds), "random"))).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -135,23 +134,36 @@ def written(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, table: list[float], mark: str = "[secret]") -> DataFrame:
-    """`docs` with every span of its texts replaced by `mark`; overlapping spans become one. Nulls stay null."""
-    found = scan(docs, table).withColumn("_cuts", F.aggregate(
-        "spans", F.array().cast("array<struct<start:int,end:int>>"), lambda done, s: F.when(
-            (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= s["start"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(
-                F.get(done, F.size(done) - 1)["start"].alias("start"),
-                F.greatest(F.get(done, F.size(done) - 1)["end"], s["end"]).alias("end"))))
-        ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).cast(
-            "array<struct<start:int,end:int>>")))
-    text, cuts = F.col("text").cast("string"), F.col("_cuts")
-    parts = F.transform(cuts, lambda c, i: F.concat(
-        F.substring(text, F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0)) + 1,
-                    c["start"] - F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0))), F.lit(mark)))
-    tail = F.substring(text, F.get(cuts, F.size(cuts) - 1)["end"] + 1, F.length(text))
-    return found.withColumn("text", F.when(F.size(cuts) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(
-        text)).drop("spans", "_cuts")
+def redact(docs: DataFrame, table: list[float], mark: str = "[secret]", length: str | None = None) -> DataFrame:
+    """`docs` with every span of its texts replaced by `mark`; overlapping spans become one. Nulls stay null.
+
+    Of changed texts the code points are counted anew in the column `length`, if one is named.
+    """
+    kind = "array<struct<start:int,end:int>>"
+
+    def join(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (last["end"] >= s["start"]), F.concat(
+            F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.concat(
+                done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).cast(kind)
+
+    found = scan(docs, table).select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("old"),
+        F.aggregate("spans", F.array().cast(kind), join).alias("cuts"))
+
+    def end(i: Column) -> Column:
+        return F.coalesce(F.get("cuts", i)["end"], F.lit(0))
+
+    parts = F.transform("cuts", lambda c, i: F.concat(
+        F.substring("old", end(i - 1) + 1, c["start"] - end(i - 1)), F.lit(mark)))
+    tail = F.substring("old", end(F.size("cuts") - 1) + 1, F.length("old"))
+    changed = F.size("cuts") > 0
+    found = found.withColumn("new", F.when(changed, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("old")))
+    new = {"text": F.col("new")}
+    if length:
+        new[length] = F.when(changed, F.length("new").cast("long")).otherwise(F.col(f"row.`{length}`"))
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
