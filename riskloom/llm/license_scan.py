@@ -43,7 +43,8 @@ def template_bigrams(notice: str) -> list[str]:
 def size_bounds(n: int, least: float = LEAST_DICE) -> tuple[int, int]:
     """Fewest and most bigrams of a line that can reach `least` with a template of n: its bigrams all shared, or all of
     the template's."""
-    return -int(-n * least / (2 - least) // 1), int(n * (2 - least) / least)
+    t = round(100 * least)
+    return -(-n * t // (200 - t)), n * (200 - t) // t
 
 
 def _bigrams(line: Column) -> Column:
