@@ -6,7 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from riskloom.functions import expressions as X
 from riskloom.functions.columns import col
 from riskloom.functions.text import feature_label
 from riskloom.operators import (
-    correlation, distribution, explanations, features, insights, metrics, models, profile, quality, sampling,
+    correlation, distribution, explanations, extras, features, insights, metrics, models, profile, quality, sampling,
     scoring, shapley,
 )
 from riskloom.plans import eda, preprocess
@@ -56,6 +58,14 @@ def csv_scan(spark, sf):
     return back.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in app.schema])
 
 
+@query
+def csv_types(spark, sf):
+    """The types that are inferred from the applications written as CSV."""
+    path = tables.write_table(application(spark, sf), tables.work_path(spark, "applications"), "csv")
+    found = [(f.name, f.dataType.simpleString()) for f in tables.read_table(spark, path).schema]
+    return spark.createDataFrame(found, "column string, type string")
+
+
 @query
 def src_catalog_counts(spark, sf):
     listed = [tables.Dataset(n, f"{n}.parquet", n == "orders") for n in ("orders", "customer", "lineitem", "absent")]
@@ -239,6 +249,33 @@ def _encoded(a: DataFrame, names: list[str]) -> DataFrame:
 _on_application("encode_label", lambda a: _encoded(a, ["CODE_GENDER", "FLAG_OWN_CAR"]))
 _on_application("encode_onehot", lambda a: _encoded(a, ["NAME_CONTRACT_TYPE", "NAME_INCOME_TYPE"]))
 
+
+@query
+def typed_features(spark, sf):
+    """Booleans and dates as features: made plain, then filled."""
+    k = col(d.ID)
+    rows = application(spark, sf).select(
+        d.ID, d.LABEL, F.when(k % 7 != 0, col("FLAG_OWN_CAR") == "Y").alias("OWNS_CAR"),
+        F.when(k % 11 != 0, F.date_add(F.lit("2020-01-01"), (k % 1000).cast("int"))).alias("APPLIED"))
+    plain = features.PlainTypes().transform(rows)
+    return features.MissingFiller().fit(plain).transform(plain).drop(d.LABEL)
+
+
+@query
+def bureau_features(spark, sf):
+    joined = extras.with_bureau(application(spark, sf).select(d.ID, d.LABEL), bureau(spark, sf))
+    return joined.withColumn("bureau_credit_sum", F.round("bureau_credit_sum", 2))
+
+
+_on_application("extra_features", lambda a: extras.extra_features(a).select(
+    d.ID, F.round("credit_term", 6).alias("credit_term"), F.round("ext_source_mean", 6).alias("ext_source_mean"),
+    "document_count",
+))
+FLAGGED = ["EXT_SOURCE_1", "AMT_ANNUITY", "CODE_GENDER"]
+_on_application("missing_flags", lambda a: extras.missing_flags(a, FLAGGED).select(
+    d.ID, *[f"{c}_missing" for c in FLAGGED], F.round("income_capped", 6).alias("income_capped")
+))
+
 _memo: dict[tuple, object] = {}
 
 
@@ -282,6 +319,7 @@ _on_application("roc_auc", lambda a: metrics.roc_auc(_scored(a), "p", d.LABEL))
 _on_application("roc_curve", lambda a: metrics.roc_curve(_scored(a), "p", d.LABEL))
 _on_application("pr_curve", lambda a: metrics.pr_curve(_scored(a), "p", d.LABEL))
 _on_application("average_precision", lambda a: metrics.average_precision(_scored(a), "p", d.LABEL))
+_on_application("rank_statistics", lambda a: extras.rank_statistics(_scored(a), "p"))
 _on_application("confusion_matrix", lambda a: metrics.confusion_matrix(_scored(a), "p", d.LABEL))
 
 
@@ -330,6 +368,26 @@ def _named(a: DataFrame) -> DataFrame:
 _on_application("feature_labels", lambda a: _named(a).withColumn("label", feature_label(F.col("feature"))))
 
 
+INF = float("inf")
+# A small ensemble over EXT_SOURCE_2 and AMT_CREDIT: features, lower and upper bounds, value of each leaf.
+SMALL_LEAVES = [
+    ([0], [-INF], [0.5], 0.7), ([0], [0.5], [INF], -0.4), ([0, 1], [-INF, -INF], [0.3, 100000.0], 0.2),
+    ([0, 1], [-INF, 100000.0], [0.3, INF], -0.3), ([0], [0.3], [INF], 0.1),
+]
+SMALL_BACKGROUND = [(0.2, 50000.0), (0.45, 150000.0), (0.9, 80000.0)]
+
+
+@query
+def shap_exact(spark, sf):
+    """Shapley values of every application for a small given ensemble."""
+    leaves = [shapley.Leaf(np.array(f), np.array(lo), np.array(hi), v) for f, lo, hi, v in SMALL_LEAVES]
+    rows = application(spark, sf).select(d.ID, array_to_vector(F.array("EXT_SOURCE_2", "AMT_CREDIT")).alias("features"))
+    out = shapley.shapley_values(rows, leaves, np.array(SMALL_BACKGROUND))
+    return out.select(
+        d.ID, F.round(F.col("shap_values")[0], 9).alias("value_score"),
+        F.round(F.col("shap_values")[1], 9).alias("value_credit"), F.round("expected_value", 9).alias("expected_value"))
+
+
 # ---- models ----------------------------------------------------------------------------------
 
 @dataclass(frozen=True)

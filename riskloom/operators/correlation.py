@@ -57,11 +57,20 @@ def correlation_p_value(r: float, n: int) -> float:
         return 1.0
     if abs(r) >= 1:
         return 0.0
-    if n > 1_000_000:  # the t distribution is normal to all printed digits, and lgamma would lose them
-        return math.erfc(abs(r) * math.sqrt((n - 2) / (1 - r * r)) / math.sqrt(2))
     return _regularised_beta(1 - r * r, (n - 2) / 2, 0.5)
 
 
+def _log_beta(a: float, b: float) -> float:
+    """log B(a, b). Of a large and a small argument, log-gamma would lose the digits of the difference; the
+    asymptotic series of lgamma(large + small) - lgamma(large) keeps them."""
+    a, b = max(a, b), min(a, b)
+    if a < 100:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    stirling = 1 / (12 * (a + b)) - 1 / (12 * a) - 1 / (360 * (a + b) ** 3) + 1 / (360 * a ** 3)
+    rise = (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b + stirling
+    return math.lgamma(b) - rise
+
+
 def _regularised_beta(x: float, a: float, b: float) -> float:
     """I_x(a, b) by its continued fraction, evaluated on the side where it converges quickly."""
     if x <= 0 or x >= 1:
@@ -69,7 +78,7 @@ def _regularised_beta(x: float, a: float, b: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1 - _regularised_beta(1 - x, b, a)
     front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+        -_log_beta(a, b) + a * math.log(x) + b * math.log1p(-x)
     ) / a
     tiny, c, dd, f = 1e-300, 1.0, 0.0, 1.0
     for i in range(100_000):

@@ -11,6 +11,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom import domain as d
 from riskloom.functions import expressions as X
@@ -79,6 +80,34 @@ class RatioFeaturesModel(Model, _Stateful):
         return dataset.withColumns({n: _ratio(n) for n in self.learnt["created"]})
 
 
+# ---- types -----------------------------------------------------------------------------------
+
+class PlainTypes(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Features as numbers or text: a boolean becomes 'true' or 'false', a date its day number since 1970, a time its
+    seconds since then. Nulls stay. A type that is neither (array, map, struct, binary) is refused by name."""
+
+    def __init__(self, key: str = d.ID, label: str = d.LABEL):
+        super().__init__()
+        self._key, self._label = key, label
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        made, bad = {}, []
+        for f in dataset.schema:
+            if f.name in (self._key, self._label) or isinstance(f.dataType, (T.NumericType, T.StringType)):
+                continue
+            if isinstance(f.dataType, (T.BooleanType, T.NullType)):
+                made[f.name] = col(f.name).cast("string")
+            elif isinstance(f.dataType, T.DateType):
+                made[f.name] = F.unix_date(col(f.name)).cast("double")
+            elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+                made[f.name] = F.unix_micros(col(f.name).cast("timestamp")) / 1e6
+            else:
+                bad.append(f"{f.name} {f.dataType.simpleString()}")
+        if bad:
+            raise SchemaValidationError(f"neither numbers nor text: {bad}")
+        return dataset.withColumns(made) if made else dataset
+
+
 # ---- column selection ------------------------------------------------------------------------
 
 class ColumnSelector(Estimator):
@@ -241,14 +270,15 @@ class CategoryEncoder(Estimator):
     def _categories(self, dataset: DataFrame, texts: list[str]) -> dict[str, list[str]]:
         if not texts:
             return {}
-        cap = len(texts) * self._max_categories
-        rows = text_long(dataset, texts).where("v IS NOT NULL").distinct().limit(cap + 1).collect()
+        pairs = text_long(dataset, texts).where("v IS NOT NULL").distinct()
+        sizes = {r.g: r.n for r in pairs.groupBy("g").agg(F.count("*").alias("n")).collect()}
+        wide = {texts[g]: n for g, n in sizes.items() if n > self._max_categories}
+        if wide:
+            raise ValueError(f"more than {self._max_categories} categories, a column each: {dict(sorted(wide.items()))}")
         out: dict[str, list[str]] = {c: [] for c in texts}
-        for r in rows:
+        for r in pairs.collect():  # max_categories for each column
             out[texts[r.g]].append(r.v)
-        for c, vs in out.items():
-            if len(vs) > self._max_categories or len(rows) > cap:
-                raise ValueError(f"'{c}' has more than {self._max_categories} categories")
+        for vs in out.values():
             vs.sort()
         return out
 
@@ -285,9 +315,12 @@ def sanitise(names: Sequence[str]) -> list[str]:
     return out
 
 
-def preprocessing(missing_limit: float = d.MISSING_LIMIT) -> Pipeline:
-    """Ratios, selection, filling, encoding. Fit it on training rows only."""
-    return Pipeline(stages=[RatioFeatures(), ColumnSelector(missing_limit), MissingFiller(), CategoryEncoder()])
+def preprocessing(missing_limit: float = d.MISSING_LIMIT, max_categories: int = MAX_CATEGORIES) -> Pipeline:
+    """Plain types, ratios, selection, filling, encoding. Fit it on training rows only."""
+    return Pipeline(stages=[
+        PlainTypes(), RatioFeatures(), ColumnSelector(missing_limit), MissingFiller(),
+        CategoryEncoder(max_categories=max_categories),
+    ])
 
 
 def feature_names(fitted: Transformer) -> list[str]:
@@ -296,7 +329,7 @@ def feature_names(fitted: Transformer) -> list[str]:
 
 def preprocessing_metadata(fitted: Transformer) -> dict:
     """Everything the fitted stages learnt, ready to be saved beside them."""
-    ratios, selector, filler, encoder = (s.learnt for s in fitted.stages[:4])
+    ratios, selector, filler, encoder = (s.learnt for s in fitted.stages[1:5])
     return {
         "created_features": ratios["created"],
         "skipped_features": ratios["skipped"],

@@ -71,7 +71,7 @@ def class_imbalance(df: DataFrame) -> Insight | None:
         Text(
             "Target Variable", "Class Imbalance Detected",
             _fmt(
-                "Default rate: %.2f%%.  Non-default: %,d | Default: %,d  (imbalance ratio %.1f:1).",
+                "Of all applicants %.2f%% default: %,d repaid and %,d did not, which is %.1f to 1.",
                 "default_rate", "n_non_default", "n_default", "imbalance_ratio",
             ),
             "Weight the positive class by the imbalance ratio when training, and judge models by ROC-AUC, "
@@ -104,8 +104,8 @@ def income_patterns(df: DataFrame) -> Insight | None:
         Text(
             "Financial", "Income Disparity Between Default Groups",
             _fmt(
-                "Median income — Non-Default: $%,.0f, Default: $%,.0f (non-defaulters earn %.1f%% more at "
-                "the median).  %,d applicants (%.1f%%) have income above the 99th percentile ($%,.0f).",
+                "Half of those who repay earn at least $%,.0f, half of those who default at least $%,.0f, a gap "
+                "of %.1f%%.  Incomes of %,d applicants (%.1f%%) lie beyond the 99th percentile of $%,.0f.",
                 F.lit(m0), F.lit(m1), F.lit(gap), F.col("outlier_count"), share, F.lit(p99),
             ),
             "Use credit-to-income and annuity-to-income ratios as features, and cap income at its 99th "
@@ -137,8 +137,8 @@ def credit_patterns(df: DataFrame) -> Insight | None:
         Text(
             "Financial", "Credit Amount Risk Profile",
             _fmt(
-                "Defaulters take %s loans on average (Default avg: $%,.0f vs Non-Default: $%,.0f).  "
-                "%,d applicants have credit > 3× annual income.",
+                "Loans that default have a %s mean than the others ($%,.0f against $%,.0f).  In %,d applications "
+                "the credit is more than three annual incomes.",
                 F.when(more, "larger").otherwise("smaller"), F.col("mean_credit_default"),
                 F.col("mean_credit_non_default"), F.col("high_ratio_count"),
             ),
@@ -175,8 +175,8 @@ def age_patterns(df: DataFrame) -> Insight | None:
         Text(
             "Demographic", "Age-Based Default Risk",
             _fmt(
-                "Applicants under 30 have a %.1f%% default rate vs %.1f%% overall.  Applicants over 55 have "
-                "a %.1f%% default rate.  Highest-risk age group: %s.",
+                "Of applicants below 30, %.1f%% default, compared with %.1f%% of all and %.1f%% of those above 55.  "
+                "The rate peaks at ages %s.",
                 "young_default_rate", "overall_default_rate", "senior_default_rate", "peak_age_bin",
             ),
             "Derive the age in years as a feature and consider risk tiers by age group.",
@@ -205,9 +205,8 @@ def employment_patterns(df: DataFrame) -> Insight | None:
         Text(
             "Financial", "Employment Duration — Anomaly & Risk Analysis",
             _fmt(
-                f"DAYS_EMPLOYED contains %,d rows (%.1f%%) with the sentinel value {d.EMPLOYED_SENTINEL} "
-                "(unemployed/retired).  Applicants with < 1 yr employment have a %.1f%% default rate vs "
-                "%.1f%% overall.",
+                f"In %,d rows (%.1f%%) DAYS_EMPLOYED is {d.EMPLOYED_SENTINEL}, which stands for no employment.  "
+                "Among those employed for less than a year %.1f%% default, among all %.1f%%.",
                 "anomaly_count", "anomaly_pct", "short_tenure_def_rate", "overall_default_rate",
             ),
             "Turn the sentinel into a missing value with its own flag, then derive the employment length "
@@ -239,9 +238,9 @@ def external_scores(df: DataFrame) -> Insight | None:
         Text(
             "Credit History", "External Credit Scores — Top Predictors",
             F.concat(
-                F.lit("Pearson correlation with TARGET — "), F.concat_ws(", ", *parts), F.lit(".  "),
-                F.col("strongest_negative"),
-                F.lit(" shows the strongest negative association (higher external score ↔ lower default risk)."),
+                F.lit("Correlation of each external score with the outcome: "), F.concat_ws(", ", *parts),
+                F.lit(".  The lowest is that of "), F.col("strongest_negative"),
+                F.lit(", so a high value there goes with repayment."),
             ),
             "External scores usually predict best; add their mean so that applicants who lack one keep the "
             "signal.",
@@ -272,8 +271,7 @@ def missing_severity(df: DataFrame) -> Insight:
         Text(
             "Data Quality", "Missing Value Severity Assessment",
             _fmt(
-                "%d features have >50%% missing values.  %d features have 10–50%% missing.  "
-                "Worst offenders: %s.",
+                "More than half of the values are missing in %d features, a tenth to a half in %d.  Emptiest: %s.",
                 "high_missing_count", "moderate_missing_count", "worst_columns",
             ),
             "Drop features that are more than 80% missing, fill the others by median or mode, and add "
@@ -308,9 +306,9 @@ def document_flags(df: DataFrame) -> Insight | None:
         Text(
             "Behavioural", "Document Submission Flags — Risk Signal",
             F.concat(
-                _fmt(f"{len(names)} document flags found.  Overall default rate: %.2f%%.  ", "overall_default_rate"),
-                F.when(F.size(risky) > 0, F.concat(F.lit("Elevated risk documents (>1.2× overall rate): "), listed))
-                .otherwise("No individual flag shows elevated risk."),
+                _fmt(f"The data has {len(names)} document flags; %.2f%% of all applicants default.  ", "overall_default_rate"),
+                F.when(F.size(risky) > 0, F.concat(F.lit("Flags whose holders default over 1.2 times as often: "), listed))
+                .otherwise("No flag stands out."),
             ),
             "Consider the number of submitted documents as one combined feature.",
         ),
@@ -365,14 +363,13 @@ def bureau_overview(bureau: DataFrame | None) -> DataFrame | None:
             lambda s: F.concat(F.lit("'"), s["t"], F.lit("': "), (-s["k"]).cast("string")),
         ), ", ").alias("types"))
         totals = totals.crossJoin(F.broadcast(listed))  # one row
-        top = F.when(F.col("types") != "", F.concat(F.lit("Top credit types: {"), F.col("types"), F.lit("}."))).otherwise("")
+        top = F.when(F.col("types") != "", F.concat(F.lit("Commonest credit types: {"), F.col("types"), F.lit("}."))).otherwise("")
     average = F.round(F.col("total_bureau_records") / F.greatest("unique_clients", F.lit(1)), 1)
     text = Text(
         "Credit History", "Bureau Credit History — Overview",
         F.concat(
             _fmt(
-                "Bureau contains %,d records for %,d unique applicants (avg %.1f bureau entries per applicant).  "
-                "%,d records show overdue credits.  ",
+                "%,d bureau records belong to %,d applicants, %.1f to each on average.  %,d of them are overdue.  ",
                 "total_bureau_records", "unique_clients", "avg_entries_per_client", "overdue_record_count",
             ),
             top,

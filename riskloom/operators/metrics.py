@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import col
+from riskloom.functions.expressions import number
 from riskloom.sources.tables import settle
 
 STEPS_PER_BUCKET = 100_000
-MAX_BUCKETS = 1000
 
 
 def score_ladder(
@@ -26,31 +26,25 @@ def score_ladder(
     summed across buckets.
     """
     groups = list(groups)
-    y = col(label)
+    y, value = col(label), number(col(score))
     steps = (
-        df.where(col(score).isNotNull() & y.isNotNull())
-        .groupBy(*groups, col(score).cast("double").alias("score"))
+        df.where(value.isNotNull() & y.isNotNull())
+        .groupBy(*groups, value.alias("score"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
     steps = settle(steps, "score-steps")  # read several times from here on; scoring is done once
     size = steps.count()
-    wanted = min(MAX_BUCKETS, size // per_bucket)
-    if wanted <= 1:  # at most 2 * per_bucket rows in all
-        best_first = Window.partitionBy(*groups).orderBy(F.desc("score"))
-        upto = best_first.rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*groups)
-        return steps.select(
-            *groups, "score", "pos", "neg",
-            F.sum("pos").over(whole).alias("p_all"), F.sum("neg").over(whole).alias("n_all"),
-            F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"),
-            F.lead("pos").over(best_first).alias("next_pos"), F.lead("neg").over(best_first).alias("next_neg"),
-        )
+    wanted = max(1, size // per_bucket)
     points = [i / wanted for i in range(1, wanted)]
-    inner = sorted(set(steps.agg(F.percentile_approx("score", points, 10_000).alias("q")).first().q))
-    cuts = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="score", outputCol="bucket")
-    steps = cuts.transform(steps)
-
-    down = Window.partitionBy(*groups).orderBy(F.desc("bucket"))  # at most MAX_BUCKETS rows per group
+    exact = max(10_000, 10 * wanted)
+    inner = sorted(set(steps.agg(F.percentile_approx("score", points, exact).alias("q")).first().q)) if points else []
+    if inner:
+        edges = [-float("inf"), *inner, float("inf")]
+        steps = Bucketizer(splits=edges, inputCol="score", outputCol="bucket").transform(steps)
+    else:
+        steps = steps.withColumn("bucket", F.lit(0.0))
+
+    down = Window.partitionBy(*groups).orderBy(F.desc("bucket"))  # a row for each bucket
     before = down.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*groups)
     totals = (
@@ -69,7 +63,7 @@ def score_ladder(
     )
     inside = Window.partitionBy(*groups, "bucket").orderBy(F.desc("score"))
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return steps.join(F.broadcast(totals), [*groups, "bucket"]).select(
+    return steps.join(totals, [*groups, "bucket"]).select(
         *groups, "score", "pos", "neg", "p_all", "n_all",
         (F.col("tp0") + F.sum("pos").over(running)).alias("tp"),
         (F.col("fp0") + F.sum("neg").over(running)).alias("fp"),
@@ -163,9 +157,9 @@ def classification_metrics(
 
 def confusion_matrix(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
     """Counts and percent of all rows for each (actual, predicted) pair."""
-    cells = df.where(col(score).isNotNull() & col(label).isNotNull()).groupBy(
-        col(label).cast("int").alias("actual"),
-        (col(score) >= F.lit(threshold)).cast("int").alias("predicted"),
+    value = number(col(score))
+    cells = df.where(value.isNotNull() & col(label).isNotNull()).groupBy(
+        col(label).cast("int").alias("actual"), (value >= F.lit(threshold)).cast("int").alias("predicted"),
     ).agg(F.count("*").alias("n"))
     every = Window.partitionBy()  # four cells
     return cells.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(every), 1))

@@ -67,7 +67,9 @@ def boosted_trees(params: Mapping[str, float], label: str = d.LABEL, weight: str
     depth that can hold as many leaves, and depth -1 (unlimited) the cap."""
     p = {**BASE_PARAMS, **params}
     depth = int(p.get("max_depth", -1))
-    depth = DEPTH_CAP if depth < 0 else min(depth, DEPTH_CAP)
+    if depth > DEPTH_CAP:
+        raise ValueError(f"max_depth {depth} is beyond {DEPTH_CAP}, the deepest that trees grown by level can be")
+    depth = DEPTH_CAP if depth < 0 else depth
     share = float(p.get("colsample_bytree", 1.0))
     gbt = GBTClassifier(
         labelCol=label, maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]),

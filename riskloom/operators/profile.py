@@ -89,6 +89,8 @@ def _families(df: DataFrame) -> list[tuple[list[str], str]]:
             groups.setdefault("bigint", []).append(f.name)
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             groups.setdefault("double", []).append(f.name)
+        elif isinstance(f.dataType, T.DecimalType):  # as text, 10 would come before 2
+            groups.setdefault(f.dataType.simpleString(), []).append(f.name)
         else:
             groups.setdefault("string", []).append(f.name)
     return [(names, t) for t, names in groups.items()]

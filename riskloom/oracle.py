@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from riskloom import catalog, domain as d
-from riskloom.functions.text import SERVICE_NAME
 from riskloom.sources.binding import APPLICATION_SQL, BUREAU_SQL
 
 APP = "application AS (" + APPLICATION_SQL.format(orders="orders", customer="customer") + ")"
@@ -237,7 +236,7 @@ def rates(source: str) -> str:
 def _class_imbalance() -> str:
     return """SELECT default_rate, ratio AS imbalance_ratio, 'Target Variable' AS category,
       'Class Imbalance Detected' AS title,
-      format('Default rate: {:.2f}%.  Non-default: {:,} | Default: {:,}  (imbalance ratio {:.1f}:1).',
+      format('Of all applicants {:.2f}% default: {:,} repaid and {:,} did not, which is {:.1f} to 1.',
              default_rate, n0, n1, ratio) AS finding,
       CASE WHEN ratio > 10 THEN 'critical' WHEN ratio > 5 THEN 'warning' ELSE 'info' END AS severity
     FROM (SELECT avg(TARGET) * 100 AS default_rate, count(*) FILTER (TARGET = 0) AS n0,
@@ -248,7 +247,7 @@ def _class_imbalance() -> str:
 def _income() -> str:
     return """SELECT m1 AS median_income_default, m0 AS median_income_non_default, gap AS income_gap_pct,
       outliers AS outlier_count, 'Financial' AS category, 'Income Disparity Between Default Groups' AS title,
-      format('Median income — Non-Default: ${:,.0f}, Default: ${:,.0f} (non-defaulters earn {:.1f}% more at the median).  {:,} applicants ({:.1f}%) have income above the 99th percentile (${:,.0f}).',
+      format('Half of those who repay earn at least ${:,.0f}, half of those who default at least ${:,.0f}, a gap of {:.1f}%.  Incomes of {:,} applicants ({:.1f}%) lie beyond the 99th percentile of ${:,.0f}.',
              m0, m1, gap, outliers, outliers * 100 / n, p99) AS finding, 'info' AS severity
     FROM (SELECT *, (m0 - m1) / greatest(m0, 1) * 100 AS gap,
                  (SELECT count(*) FROM application WHERE AMT_INCOME_TOTAL > p99) AS outliers
@@ -259,7 +258,7 @@ def _income() -> str:
 def _credit() -> str:
     return f"""SELECT c1 AS mean_credit_default, c0 AS mean_credit_non_default, high AS high_credit_income_ratio_count,
       'Financial' AS category, 'Credit Amount Risk Profile' AS title,
-      format('Defaulters take {{}} loans on average (Default avg: ${{:,.0f}} vs Non-Default: ${{:,.0f}}).  {{:,}} applicants have credit > 3× annual income.',
+      format('Loans that default have a {{}} mean than the others (${{:,.0f}} against ${{:,.0f}}).  In {{:,}} applications the credit is more than three annual incomes.',
              CASE WHEN c1 > c0 THEN 'larger' ELSE 'smaller' END, c1, c0, high) AS finding,
       CASE WHEN c1 > c0 THEN 'warning' ELSE 'info' END AS severity
     FROM (SELECT round(avg(AMT_CREDIT) FILTER (TARGET = 1), 6) AS c1, round(avg(AMT_CREDIT) FILTER (TARGET = 0), 6) AS c0,
@@ -269,7 +268,7 @@ def _credit() -> str:
 def _age() -> str:
     return f"""SELECT young AS young_default_rate, senior AS senior_default_rate, overall AS overall_default_rate,
       peak AS peak_age_bin, 'Demographic' AS category, 'Age-Based Default Risk' AS title,
-      format('Applicants under 30 have a {{:.1f}}% default rate vs {{:.1f}}% overall.  Applicants over 55 have a {{:.1f}}% default rate.  Highest-risk age group: {{}}.',
+      format('Of applicants below 30, {{:.1f}}% default, compared with {{:.1f}}% of all and {{:.1f}}% of those above 55.  The rate peaks at ages {{}}.',
              young, overall, senior, peak) AS finding,
       CASE WHEN young > overall * 1.25 THEN 'warning' ELSE 'info' END AS severity
     FROM (SELECT avg(TARGET) FILTER ({AGE} < 30) * 100 AS young, avg(TARGET) FILTER ({AGE} > 55) * 100 AS senior,
@@ -281,7 +280,7 @@ def _age() -> str:
 def _employment() -> str:
     return f"""SELECT n AS anomaly_count, pct AS anomaly_pct, short AS short_tenure_def_rate, overall AS overall_default_rate,
       'Financial' AS category, 'Employment Duration — Anomaly & Risk Analysis' AS title,
-      format('DAYS_EMPLOYED contains {{:,}} rows ({{:.1f}}%) with the sentinel value 365243 (unemployed/retired).  Applicants with < 1 yr employment have a {{:.1f}}% default rate vs {{:.1f}}% overall.',
+      format('In {{:,}} rows ({{:.1f}}%) DAYS_EMPLOYED is 365243, which stands for no employment.  Among those employed for less than a year {{:.1f}}% default, among all {{:.1f}}%.',
              n, pct, short, overall) AS finding, 'warning' AS severity
     FROM (SELECT count(*) FILTER (DAYS_EMPLOYED = 365243) AS n,
                  CAST(count(*) FILTER (DAYS_EMPLOYED = 365243) * 100 AS DOUBLE) / count(*) AS pct,
@@ -297,8 +296,8 @@ def _external() -> str:
     best = "CASE " + " ".join(f"WHEN corr_{c} = {low} THEN '{c}'" for c in names) + " END"
     return f"""SELECT *, {best} AS strongest_negative, 'Credit History' AS category,
       'External Credit Scores — Top Predictors' AS title,
-      'Pearson correlation with TARGET — ' || {parts} || '.  ' || {best} ||
-      ' shows the strongest negative association (higher external score ↔ lower default risk).' AS finding,
+      'Correlation of each external score with the outcome: ' || {parts} || '.  The lowest is that of ' || {best} ||
+      ', so a high value there goes with repayment.' AS finding,
       'info' AS severity FROM (SELECT {cols} FROM application)"""
 
 
@@ -307,7 +306,7 @@ def _missing() -> str:
             for i, c in enumerate(COLUMNS)]
     return f"""SELECT high AS high_missing_count, moderate AS moderate_missing_count, worst AS worst_columns,
       'Data Quality' AS category, 'Missing Value Severity Assessment' AS title,
-      format('{{}} features have >50% missing values.  {{}} features have 10–50% missing.  Worst offenders: {{}}.',
+      format('More than half of the values are missing in {{}} features, a tenth to a half in {{}}.  Emptiest: {{}}.',
              high, moderate, worst) AS finding,
       CASE WHEN high > 0 THEN 'warning' ELSE 'info' END AS severity
     FROM (SELECT CAST(count(*) FILTER (pct > 50) AS INTEGER) AS high,
@@ -319,8 +318,8 @@ def _missing() -> str:
 def _bureau() -> str:
     return """SELECT n AS total_bureau_records, u AS unique_clients, a AS avg_entries_per_client, o AS overdue_record_count,
       'Credit History' AS category, 'Bureau Credit History — Overview' AS title,
-      format('Bureau contains {:,} records for {:,} unique applicants (avg {:.1f} bureau entries per applicant).  {:,} records show overdue credits.  ',
-             n, u, a, o) || 'Top credit types: {' || types || '}.' AS finding, 'info' AS severity
+      format('{:,} bureau records belong to {:,} applicants, {:.1f} to each on average.  {:,} of them are overdue.  ',
+             n, u, a, o) || 'Commonest credit types: {' || types || '}.' AS finding, 'info' AS severity
     FROM (SELECT count(*) AS n, count(DISTINCT SK_ID_CURR) AS u, count(*) FILTER (CREDIT_DAY_OVERDUE > 0) AS o,
                  round(CAST(count(*) AS DOUBLE) / greatest(count(DISTINCT SK_ID_CURR), 1), 1) AS a FROM bureau),
          (SELECT string_agg('''' || t || ''': ' || k, ', ' ORDER BY k DESC, t) AS types
@@ -334,9 +333,9 @@ def _documents() -> str:
     listed = ", ".join(f"CASE WHEN rate_{c} > overall_default_rate * 1.2 THEN format('{c} ({{:.1f}}%)', rate_{c}) END" for c in names)
     risky = f"array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL)[:5], ', ')"
     return f"""SELECT *, 'Behavioural' AS category, 'Document Submission Flags — Risk Signal' AS title,
-      format('{len(names)} document flags found.  Overall default rate: {{:.2f}}%.  ', overall_default_rate) ||
-      CASE WHEN {risky} <> '' THEN 'Elevated risk documents (>1.2× overall rate): ' || {risky}
-           ELSE 'No individual flag shows elevated risk.' END AS finding, 'info' AS severity
+      format('The data has {len(names)} document flags; {{:.2f}}% of all applicants default.  ', overall_default_rate) ||
+      CASE WHEN {risky} <> '' THEN 'Flags whose holders default over 1.2 times as often: ' || {risky}
+           ELSE 'No flag stands out.' END AS finding, 'info' AS severity
     FROM (SELECT avg(TARGET) * 100 AS overall_default_rate, {rates_} FROM application)"""
 
 
@@ -487,18 +486,40 @@ def narrative() -> str:
     relief AS (SELECT SK_ID_CURR, string_agg(label, ' and ' ORDER BY rn) AS w FROM labelled WHERE v < 0 AND rn <= 2 GROUP BY 1),
     banded AS (SELECT *, {band} AS band, CAST(trunc(p * 1000) AS INTEGER) AS score FROM rowsum)
     SELECT b.SK_ID_CURR, score AS risk_score, band AS risk_band, concat_ws(' ',
-      format('Based on the model analysis, this applicant presents a {{}} default risk with a predicted default probability of {{:.1f}}%.',
+      format('The model puts this applicant at {{}} default risk: the probability of default is {{:.1f}}%.',
         CASE band WHEN 'High Risk' THEN 'HIGH' WHEN 'Low Risk' THEN 'LOW' ELSE 'MODERATE' END, p * 100),
-      CASE WHEN f.w IS NOT NULL THEN 'The risk is ' || CASE band WHEN 'High Risk' THEN 'primarily' WHEN 'Low Risk' THEN 'partly' ELSE 'mainly' END
-        || ' driven by ' || CASE len(f.w) WHEN 1 THEN f.w[1] WHEN 2 THEN f.w[1] || ' and ' || f.w[2]
+      CASE WHEN f.w IS NOT NULL THEN 'It rests ' || CASE band WHEN 'High Risk' THEN 'primarily' WHEN 'Low Risk' THEN 'partly' ELSE 'mainly' END
+        || ' on ' || CASE len(f.w) WHEN 1 THEN f.w[1] WHEN 2 THEN f.w[1] || ' and ' || f.w[2]
         ELSE f.w[1] || ', ' || f.w[2] || ', and ' || f.w[3] END || '.' END,
-      CASE WHEN m.w IS NOT NULL THEN 'Partially mitigating factors include ' || m.w || ', which reduce the estimated default probability.'
-        WHEN band = 'High Risk' THEN 'No significant risk-mitigating factors were identified for this applicant.' END,
-      format('Risk score: {{}} / 1000. This assessment is generated by {SERVICE_NAME} and should be reviewed alongside manual underwriting criteria.', score)
+      CASE WHEN m.w IS NOT NULL THEN 'On the mitigating side, ' || m.w || ' bring the estimate down.'
+        WHEN band = 'High Risk' THEN 'Nothing mitigates this risk.' END,
+      format('Risk score: {{}} / 1000. Computed by the risk scoring service; an underwriter should confirm it.', score)
     ) AS business_narrative
     FROM banded b LEFT JOIN phrases f USING (SK_ID_CURR) LEFT JOIN relief m USING (SK_ID_CURR)"""
 
 
+def shap_exact() -> str:
+    """Shapley values of two features from their definition: the mean gain over both orders of entering."""
+
+    def margin(a: str, b: str) -> str:
+        return (f"(CASE WHEN {a} <= 0.5 THEN 0.7::DOUBLE ELSE -0.4::DOUBLE END + CASE WHEN {a} > 0.3 THEN 0.1::DOUBLE "
+                f"WHEN {b} <= 100000 THEN 0.2::DOUBLE ELSE -0.3::DOUBLE END)")
+
+    both, neither = margin("x0", "x1"), margin("z0", "z1")
+    first, second = margin("x0", "z1"), margin("z0", "x1")
+    return with_(APP) + f"""
+    , pair AS (SELECT SK_ID_CURR, {both} AS mx, {neither} AS mz,
+        0.5 * (({first} - {neither}) + ({both} - {second})) AS g0,
+        0.5 * (({second} - {neither}) + ({both} - {first})) AS g1
+      FROM (SELECT SK_ID_CURR, EXT_SOURCE_2 AS x0, AMT_CREDIT AS x1 FROM application),
+           (VALUES (0.2, 50000), (0.45, 150000), (0.9, 80000)) AS z(z0, z1)),
+    scaled AS (SELECT *, 1 / (1 + exp(-mz)) AS pz, CASE WHEN abs(mx - mz) > 1e-8
+        THEN (1 / (1 + exp(-mx)) - 1 / (1 + exp(-mz))) / (mx - mz)
+        ELSE 1 / (1 + exp(-mz)) * (1 - 1 / (1 + exp(-mz))) END AS s FROM pair)
+    SELECT SK_ID_CURR, round(avg(s * g0), 9) AS value_score, round(avg(s * g1), 9) AS value_credit,
+           round(avg(pz), 9) AS expected_value FROM scaled GROUP BY 1"""
+
+
 def statements() -> dict[str, str]:
     app = with_(APP)
     scored = with_(APP, SCORED)
@@ -521,6 +542,9 @@ def statements() -> dict[str, str]:
     out = {
         "src_scan": app + "SELECT * FROM application",
         "csv_scan": app + "SELECT * FROM application",
+        "csv_types": "SELECT * FROM (VALUES " + ", ".join(
+            f"('{c}', '{'string' if c in TEXTS else 'double' if c in DOUBLES else 'int'}')" for c in COLUMNS)
+            + ") AS t(\"column\", type)",
         "src_catalog_counts": union([f"SELECT '{t}' AS dataset, count(*) AS row_count FROM {t}"
                                      for t in ("orders", "customer", "lineitem")]),
         "narrow_types": narrow_types(),
@@ -599,6 +623,28 @@ def statements() -> dict[str, str]:
             + ", ".join(flags("NAME_CONTRACT_TYPE", CONTRACTS) + flags("NAME_INCOME_TYPE", INCOMES)) + " FROM application",
         "preprocess_train": preprocessed(False),
         "preprocess_test": preprocessed(True),
+        "typed_features": with_(APP, """base AS (SELECT SK_ID_CURR, CASE WHEN SK_ID_CURR % 7 <> 0 THEN FLAG_OWN_CAR = 'Y' END AS b,
+            CASE WHEN SK_ID_CURR % 11 <> 0 THEN CAST(18262 + SK_ID_CURR % 1000 AS DOUBLE) END AS a FROM application)""")
+            + """SELECT SK_ID_CURR, CASE WHEN coalesce(b, (SELECT b FROM base WHERE b IS NOT NULL GROUP BY b ORDER BY count(*) DESC, b LIMIT 1))
+            THEN 'true' ELSE 'false' END AS OWNS_CAR, coalesce(a, (SELECT median(a) FROM base)) AS APPLIED FROM base""",
+        "bureau_features": with_(APP, BUREAU) + """SELECT a.SK_ID_CURR, a.TARGET, coalesce(n, 0) AS bureau_records,
+            coalesce(active, 0) AS bureau_active, coalesce(late, 0) AS bureau_overdue, worst AS bureau_most_days_overdue,
+            round(total, 2) AS bureau_credit_sum FROM application a LEFT JOIN (
+            SELECT SK_ID_CURR, count(*) AS n, count(*) FILTER (CREDIT_ACTIVE = 'Active') AS active,
+            count(*) FILTER (CREDIT_DAY_OVERDUE > 0) AS late, max(CREDIT_DAY_OVERDUE) AS worst, sum(AMT_CREDIT_SUM) AS total
+            FROM bureau GROUP BY 1) b ON a.SK_ID_CURR = b.SK_ID_CURR""",
+        "extra_features": app + f"""SELECT SK_ID_CURR, round({ratio('AMT_CREDIT', 'AMT_ANNUITY')}, 6) AS credit_term,
+            round(list_avg(list_filter([EXT_SOURCE_1, EXT_SOURCE_2, EXT_SOURCE_3], lambda x: x IS NOT NULL)), 6) AS ext_source_mean,
+            FLAG_DOCUMENT_2 + FLAG_DOCUMENT_3 + FLAG_DOCUMENT_6 AS document_count FROM application""",
+        "missing_flags": app + "SELECT SK_ID_CURR, " + ", ".join(
+            f"CAST({c} IS NULL AS INTEGER) AS {c}_missing" for c in ("EXT_SOURCE_1", "AMT_ANNUITY", "CODE_GENDER"))
+            + """, round(least(AMT_INCOME_TOTAL, (SELECT quantile_cont(AMT_INCOME_TOTAL, 0.99) FROM application)), 6)
+            AS income_capped FROM application""",
+        "rank_statistics": with_(APP, SCORED, LADDER, """ranked AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r
+            FROM scored), area AS (SELECT (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)
+            / (CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0)) AS a FROM ranked)""")
+            + """SELECT round(max(abs(tp / pall - fp / nall)), 6) AS ks, round(2 * (SELECT a FROM area) - 1, 6) AS gini FROM ladder""",
+        "shap_exact": shap_exact(),
         "risk_scoring": app + f"SELECT SK_ID_CURR, round({P}, 6) AS default_probability, {SCORE} AS risk_score, {BAND} AS risk_band FROM application",
         "risk_band_counts": app + f"SELECT {BAND} AS risk_band, count(*) AS row_count FROM application GROUP BY 1",
         "scale_pos_weight": app + """SELECT count(*) FILTER (TARGET = 0) AS negatives, count(*) FILTER (TARGET = 1) AS positives,

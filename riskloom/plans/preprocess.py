@@ -12,7 +12,7 @@ from riskloom.operators.features import preprocessing, preprocessing_metadata, r
 from riskloom.operators.quality import validate
 from riskloom.operators.sampling import split_flag, split_report
 from riskloom.sources.registry import ModelRegistry
-from riskloom.sources.tables import write_train_test
+from riskloom.sources.tables import settle, write_train_test
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,8 @@ class Prepared:
 
 
 def prepare(df: DataFrame, test_size: float = d.TEST_SIZE, missing_limit: float = d.MISSING_LIMIT) -> Prepared:
-    parts = split_flag(df, test_size)
+    # every fitting pass and both outputs read the split rows, so the source is joined and split once
+    parts = settle(split_flag(df, test_size), "split")
     train, test = parts.where("NOT is_test").drop("is_test"), parts.where("is_test").drop("is_test")
     fitted = preprocessing(missing_limit).fit(train)
     return Prepared(fitted, fitted.transform(train), fitted.transform(test), raw_schema(df), parts)

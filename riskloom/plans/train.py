@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import SparkSession
 
 from riskloom import domain as d
+from riskloom.operators import metrics as curves
 from riskloom.operators import models
 from riskloom.operators.correlation import importance_table
 from riskloom.sources.registry import ModelRegistry
-from riskloom.sources.tables import read_train_test, settle
+from riskloom.sources.tables import read_train_test, settle, write_table
 
 
 def run(
@@ -37,6 +38,14 @@ def run(
     final = models.train_boosted(folded, best, strategy)
     registry.save_model(final)
     importance = importance_table(models.feature_importance(spark, final, features), 30)
+    scored = settle(models.positive_probability(final.transform(judge)).select(d.LABEL, "probability_1"), "scored")
+    for name, table in {
+        "roc_curve": curves.roc_curve(scored, "probability_1", d.LABEL),
+        "pr_curve": curves.pr_curve(scored, "probability_1", d.LABEL),
+        "confusion_matrix": curves.confusion_matrix(scored, "probability_1", d.LABEL),
+        "feature_importance": importance,
+    }.items():
+        write_table(table, f"{data_dir}/evaluation/{name}")
     result = {
         "baseline": baseline, "final": metrics(final), "cross_validation": cv.asDict(),
         "imbalance_comparison": {r.strategy: r.roc_auc for r in comparison.collect()} | {"selected": strategy},

@@ -76,19 +76,19 @@ def text(spark, band, p, score, up, down):
 
 def test_narrative_high(spark):
     got = text(spark, "High Risk", 0.82, 820, [("a", 0.1), ("b", 0.05), ("c", 0.01), ("d", 0.001)], [("e", -0.2), ("f", -0.1), ("g", -0.05)])
-    assert "HIGH default risk with a predicted default probability of 82.0%." in got
-    assert "primarily driven by significantly elevated a, significantly elevated b, and slightly elevated c." in got
-    assert "include e and f, which reduce" in got and "Risk score: 820 / 1000." in got
+    assert "HIGH default risk: the probability of default is 82.0%." in got
+    assert "primarily on significantly elevated a, significantly elevated b, and slightly elevated c." in got
+    assert "mitigating side, e and f bring" in got and "Risk score: 820 / 1000." in got
 
 
 def test_narrative_one_and_two_drivers_and_no_mitigants(spark):
     got = text(spark, "High Risk", 0.9, 900, [("a", 0.1)], [])
-    assert "driven by significantly elevated a." in got and "No significant risk-mitigating factors" in got
+    assert "on significantly elevated a." in got and "Nothing mitigates" in got
     got = text(spark, "Low Risk", 0.1, 100, [("a", 0.1), ("b", 0.03)], [])
-    assert "partly driven by significantly elevated a and moderately elevated b." in got
-    assert "mitigating factors were" not in got and "LOW default risk" in got
+    assert "partly on significantly elevated a and moderately elevated b." in got
+    assert "Nothing mitigates" not in got and "LOW default risk" in got
 
 
 def test_narrative_without_drivers_and_unknown_band(spark):
     got = text(spark, "??", 0.3, 300, [], [("e", -0.2)])
-    assert "MODERATE" in got and "driven by" not in got and "include e, which" in got
+    assert "MODERATE" in got and "It rests" not in got and "side, e bring" in got

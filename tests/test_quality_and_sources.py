@@ -152,5 +152,9 @@ def test_work_goes_to_the_folder_the_cluster_names():
     shared = _Session("hdfs://shared/checkpoints")
     assert tables.work_path(shared, "x").startswith("hdfs://shared/checkpoints/x-") and shared.folder is None
     unset = _Session(None)
+    unset.master = "local[8]"
     first, second = tables.work_path(unset, "x"), tables.work_path(unset, "x")
-    assert first != second and first.startswith(unset.folder) and second.startswith(unset.folder)
+    assert first != second and unset.folder is None and first.rpartition("/")[0] == second.rpartition("/")[0]
+    unset.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.work_path(unset, "x")
