@@ -184,8 +184,13 @@ def removal_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = docs.mapInArrow(cut, "h long, digest long, doc_id long, place long")
     group = Window.partitionBy("h")
     ordered = group.orderBy("digest", "doc_id", "place")
-    found = found.select("*", F.lag("digest").over(ordered).eqNullSafe(F.col("digest")).alias("copy"),
+    here = F.struct("doc_id", "place")
+    begins = F.when(~F.lag("digest").over(ordered).eqNullSafe(F.col("digest")), here)
+    found = found.select("*", begins.alias("begins"),
                          (F.min("digest").over(group) != F.max("digest").over(group)).alias("mixed"))
+    # the first unit with these bytes; a repeated row is that unit again and no copy of it
+    first = F.last("begins", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("copy", first != here).drop("begins")
     found = found.withColumns({"at": F.shiftright("place", 32), "n": F.expr("(place % 4294967296) div 2"),
                                "again": F.expr("place % 2 = 1")}).where("copy or mixed or again")
     found = store(found.drop("place", "digest"), "units")
@@ -241,16 +246,18 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         last = s[1]
                     last = max(last, s[1])
                 kept = b"".join((*kept, raw[last:]))
-                out.append((doc.as_py(), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((doc.as_py(), hashlib.sha256(raw).hexdigest(), len(raw) - len(kept), runs,
+                            hashlib.sha256(kept).hexdigest(), kept))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                                 ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
+                                                 ["doc_id", "sha", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     changed = rows.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(
-        remove, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        remove, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    ).dropDuplicates(["doc_id", "sha"])
     whole = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    return whole.join(changed, "doc_id", "left").select(
+    return whole.join(changed, ["doc_id", "sha"], "left").select(
         F.when(F.col("doc_id") < 2**63 - 1, F.col("doc_id")).alias("doc_id"), "n_bytes",
         *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans")],
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
