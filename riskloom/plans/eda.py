@@ -10,15 +10,21 @@ from riskloom.operators.quality import validate
 from riskloom.operators.sampling import sample_rows
 
 
-def profile_tables(df: DataFrame, top_n: int = d.CORRELATION_TOP_N) -> dict[str, DataFrame]:
-    """Every profile table that applies to `df`, by name."""
+CREDIT_SAMPLE = 5000
+
+
+def profile_tables(df: DataFrame, top_n: int = d.CORRELATION_TOP_N, exact: bool = True) -> dict[str, DataFrame]:
+    """Every profile table that applies to `df`, by name. Without `exact`, distinct counts are sketches and no cell is
+    shuffled for them."""
+    types = profile.column_types(df, exact=exact)
     tables = {
         "dimensions": profile.dimensions(df),
-        "column_types": profile.column_types(df),
+        "column_types": types,
+        "kind_counts": profile.kind_counts(types),
         "missing_values": profile.missing_values(df),
         "duplicates": profile.duplicates(df),
         "target_distribution": profile.target_distribution(df),
-        "numeric_summary": profile.numeric_summary(df),
+        "numeric_summary": profile.numeric_summary(df, exact=exact),
         "categorical_summary": profile.categorical_summary(df),
         "feature_categories": profile.feature_categories(df),
         "target_correlations": correlation.target_correlation(df, top_n),
@@ -37,6 +43,8 @@ def distribution_tables(df: DataFrame) -> dict[str, DataFrame]:
         out |= {"income_histogram": distribution.class_histogram(income, 70), "income_box": distribution.class_box(income)}
     if {"AMT_CREDIT", "AMT_ANNUITY"} <= have:
         out["credit_histogram"] = distribution.class_histogram(distribution.credit_values(df), 70)
+        points = distribution.credit_rows(df).select(d.ID, d.LABEL, "AMT_CREDIT", "AMT_ANNUITY")
+        out["credit_sample"] = sample_rows(points, CREDIT_SAMPLE)
     if "DAYS_BIRTH" in have:
         out |= {"age_histogram": distribution.class_histogram(distribution.ages(df), 40), "age_rates": distribution.rate_by_age(df)}
     if "DAYS_EMPLOYED" in have:
@@ -46,15 +54,18 @@ def distribution_tables(df: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def run(application: DataFrame, bureau: DataFrame | None, out_dir: str, sample: int | None = None) -> dict[str, str]:
+def run(
+    application: DataFrame, bureau: DataFrame | None, out_dir: str, sample: int | None = None, exact: bool = True
+) -> dict[str, str]:
     """Validate, optionally sample, and write every table as JSON below `out_dir`."""
     validate(application, mode="load")
     df = sample_rows(application, sample) if sample else application
     df.persist()
     try:
+        found = insights.all_insights(df, bureau)
         tables = {
-            **profile_tables(df), **distribution_tables(df),
-            "insights": insights.all_insights(df, bureau),
+            **profile_tables(df, exact=exact), **distribution_tables(df), "insights": found,
+            "insight_severities": insights.severity_counts(found),
         }
         return {name: write_json(t, f"{out_dir}/{name}") for name, t in tables.items()}
     finally:

@@ -187,6 +187,7 @@ def test_everything_end_to_end(spark, sf_dir, tmp_path):
 
 def test_eda_writes_every_table(spark, sf_dir, tmp_path):
     paths = run_eda(application(spark, sf_dir), bureau(spark, sf_dir), str(tmp_path), sample=300)
-    assert {"numeric_summary", "target_correlations", "correlation_matrix", "insights", "age_rates"} <= set(paths)
+    assert {"numeric_summary", "target_correlations", "correlation_matrix", "insights", "age_rates", "credit_sample",
+            "kind_counts", "insight_severities"} <= set(paths)
     assert spark.read.json(paths["insights"]).count() == 9
     assert spark.read.json(paths["dimensions"]).first().rows == 300
