@@ -67,7 +67,10 @@ def labelled(spark: SparkSession, docs: DataFrame) -> DataFrame:
     drawn = spark.range(RANDOM_STRINGS).select(F.explode(F.array(
         F.substring(digest, 1, 40), F.upper(F.substring(digest, 1, 40)),
         F.base64(F.unhex(digest)))).alias("token"))
-    few = docs.select(F.xxhash64("doc_id").alias("h"), text_of().alias("t")).orderBy("h", "t").limit(IDENTIFIER_DOCS)
+    # the ids are chosen first, so that no task gathers texts; a repeated id counts once
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(IDENTIFIER_DOCS).distinct()
+    few = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(
+        F.min("t").alias("t"))
     plain = F.filter(words(F.col("t")), lambda x: x.rlike("^[A-Za-z]{3,20}$"))
     # neighbours joined as in names of files, variables and classes, numbered here and there
     both = few.select(plain.alias("w")).select(F.explode(F.zip_with(
