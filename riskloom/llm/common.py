@@ -36,6 +36,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return settle(df, name)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a stored table that nothing reads any more."""
+    jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # ---- vectorised hashing of Arrow batches -----------------------------------------------------
 
 _rng = np.random.default_rng(20240229)
@@ -126,9 +134,11 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 def sum_tables(df: DataFrame, make, shape: tuple[int, ...], kind: str, chunk: int = 1 << 16) -> np.ndarray:
     """Sum of the arrays that `make` gives for the batches of each task; `shape`, not the input, bounds the result.
 
-    Arrays travel in chunks, so that many tasks add up, and the driver receives one array.
+    Arrays travel in chunks, so that many tasks add up, and the driver takes one chunk of the sum after the other.
+    Whole numbers are summed to int32 and stop at its end.
     """
-    size = int(np.prod(shape))
+    size, whole_numbers = int(np.prod(shape)), not kind.startswith("float")
+    sums = np.int32 if whole_numbers else np.float64
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = make(batches)
@@ -144,13 +154,16 @@ def sum_tables(df: DataFrame, make, shape: tuple[int, ...], kind: str, chunk: in
         for batch in group:
             at = batch.column("chunk")[0].as_py()
             for c in batch.column("part"):
-                part = np.frombuffer(c.as_buffer(), kind).astype(np.float64)
+                part = np.frombuffer(c.as_buffer(), kind).astype(np.int64 if whole_numbers else np.float64)
                 out = part if out is None else out + part
+        out = np.minimum(out, 2**31 - 1).astype(sums) if whole_numbers else out
         yield pa.RecordBatch.from_pydict({
             "chunk": pa.array([at], pa.int64()), "part": pa.array([out.tobytes()], pa.binary())})
 
-    kinds, whole = "chunk long, part binary", np.zeros(size)
-    for row in df.mapInArrow(own, kinds).groupBy("chunk").applyInArrow(total, kinds).collect():
-        part = np.frombuffer(row["part"])
+    kinds, whole = "chunk long, part binary", np.zeros(size, sums)
+    summed = store(df.mapInArrow(own, kinds).groupBy("chunk").applyInArrow(total, kinds), "sums")
+    for row in summed.coalesce(1).toLocalIterator():  # as large as `shape`; one job, not one for each partition
+        part = np.frombuffer(row["part"], sums)
         whole[row["chunk"]: row["chunk"] + len(part)] = part
+    discard(summed)
     return whole.reshape(shape)

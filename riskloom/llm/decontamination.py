@@ -58,7 +58,7 @@ def term_weights(docs: DataFrame) -> np.ndarray:
         return table
 
     table = sum_tables(docs.select("text"), count, (TERMS + 1,), "int32")
-    n, found = table[TERMS], table[:TERMS]
+    n, found = float(table[TERMS]), table[:TERMS].astype(np.float64)
     weights = np.log((n + 1) / (found + 1)) + 1
     weights[found > max(10, STOP_SHARE * n)] = 0
     return weights.astype(np.float32)

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import blocks, mix, shingle_sets, store, sum_tables, text_of
+from riskloom.llm.common import blocks, discard, mix, shingle_sets, store, sum_tables, text_of
 from riskloom.llm.components import components
 
 #: Counters of the frequency sketch; it costs each task so many bytes, and the driver one bit each.
@@ -57,7 +57,7 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
         return table
 
     high = sum_tables(docs.select("text"), count, (COUNTERS,), "uint8")
-    mean = high.sum() / COUNTERS
+    mean = int(high.sum(dtype=np.int64)) / COUNTERS
     return np.packbits(high > mean + max(FREQUENT, 8 * math.sqrt(mean)))
 
 
@@ -147,8 +147,10 @@ def _prefix_pairs(reps: DataFrame, known: DataFrame, threshold: float) -> DataFr
         "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "prefix")
     posts = joined.select("doc_id", "component", "n", F.posexplode("prefix").alias("at", "gram")).select(
         "gram", "doc_id", "component", (F.col("n").cast("long") * 2**32 + F.col("at")).alias("place"))
-    mixed = posts.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    posts = posts.join(mixed.select("gram"), "gram", "left_semi").withColumns({
+    # one shuffle tells which n-grams bring unconnected documents together; only these are joined with themselves
+    group = Window.partitionBy("gram")
+    mixed = F.min("component").over(group) < F.max("component").over(group)
+    posts = store(posts.withColumn("mixed", mixed).where("mixed").drop("mixed"), "posts").withColumns({
         "n": F.shiftright("place", 32).cast("int"), "at": (F.col("place") % 2**32).cast("int")}).drop("place")
     a, b = (posts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n", "at")])
             for s in "ab")
@@ -169,11 +171,13 @@ def link_documents(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     of all of them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    whole = store(_sets(rows, size, threshold), "sets")
+    sets = store(_sets(rows, size, threshold), "sets")
+    whole = store(sets.select("doc_id", "n", "digest"), "sizes")
     keyed = whole.where("doc_id is not null and n > 0")
     first = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    one = (keyed["doc_id"] == first["rep"]) & (keyed["digest"] == first["digest"])
-    reps = store(keyed.join(first, one, "left_semi").dropDuplicates(["doc_id", "digest"]), "reps")
+    one = (sets["doc_id"] == first["rep"]) & (sets["digest"] == first["digest"])
+    reps = store(sets.join(first, one, "left_semi").dropDuplicates(["doc_id", "digest"]), "reps")
+    discard(sets)  # the wide rows are in reps now, the narrow ones in whole
     texts = rows.where("doc_id is not null")
     stars = store(verify(_star_pairs(reps), reps, texts, size, threshold), "links")
     near = store(verify(_prefix_pairs(reps, components(stars), threshold), reps, texts, size, threshold), "links")
