@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +22,21 @@ from riskloom.llm.common import PUNCTUATION, blocks, sum_tables, text_of, word_h
 PASSAGE, STRIDE = 32, 16
 #: Terms are hashed to so many columns. Those in more than STOP_SHARE of the documents weigh nothing.
 TERMS, STOP_SHARE = 1 << 18, 0.1
-#: Latent dimensions, at most; further columns and power iterations of the randomised SVD.
-RANK, OVERSAMPLE, ITERATIONS = 256, 16, 2
+#: Share of its squared norm that each passage keeps in latent space, at least: the rank grows until all do.
+KEPT = 0.99
+#: Further columns and power iterations of the randomised SVD.
+OVERSAMPLE, ITERATIONS = 16, 2
 #: Least cosine of a passage and an item's passage to be compared.
 COSINE = 0.3
 #: Share of an item's words found in order: enough alone, or together with its answer word for word.
 SUBSEQUENCE, PARAPHRASE = 0.8, 0.6
 #: Without an `answer` column an item's answer is so many last words.
 ANSWER_WORDS = 5
-#: Items searched at a time; a larger benchmark takes more passes over the documents.
-BLOCK_ITEMS = 500
+#: Items, and passages of items, searched at a time; a larger benchmark takes more passes over the documents. The passages
+#: bound the rank. An item with more of them is searched alone.
+BLOCK_ITEMS, BLOCK_PASSAGES = 500, 512
+#: Words of a document whose similarities are held at a time.
+PIECE = 64 * STRIDE
 SEED = 5
 
 
@@ -66,11 +70,10 @@ def term_weights(docs: DataFrame) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """A block of items in latent space: one row of `passages` for each passage of an item."""
+    """A block of items in latent space: one column of `similarity` for each passage of an item."""
 
     vocabulary: np.ndarray  # sorted columns of the items' terms
-    basis: np.ndarray       # terms x rank
-    passages: np.ndarray    # unit vectors x rank
+    similarity: np.ndarray  # weighted terms and a last row of zeros x passages: the latent basis times unit vectors
     owner: np.ndarray       # item of each passage
     ids: list[int]
     words: list[np.ndarray]
@@ -82,37 +85,46 @@ def _cut(n: int) -> range:
     return range(0, max(n - PASSAGE + STRIDE, 1), STRIDE)
 
 
-def _matrix(columns: np.ndarray, weights: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of the passages of one text over the vocabulary."""
+def _matrix(columns: np.ndarray, weights: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which terms of the vocabulary one text has, and the TF-IDF rows of its passages over these."""
     at = np.searchsorted(vocabulary, columns)
     at[at == len(vocabulary)] = 0
     known = vocabulary[at] == columns
-    out = np.zeros((len(_cut(len(columns))), len(vocabulary)), np.float32)
+    own = np.unique(at[known])
+    place = np.searchsorted(own, at)
+    out = np.zeros((len(_cut(len(columns))), len(own)), np.float32)
     for i, s in enumerate(_cut(len(columns))):
-        part = at[s: s + PASSAGE][known[s: s + PASSAGE]]
-        np.add.at(out[i], part, weights[vocabulary[part]])
+        part = place[s: s + PASSAGE][known[s: s + PASSAGE]]
+        np.add.at(out[i], part, weights[vocabulary[own[part]]])
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+    return own, out / np.where(norm > 0, norm, 1)
 
 
 def build_index(items: list[tuple[int, str, str | None]], spark, weights: np.ndarray) -> Index | None:
-    """Fit the latent space of a block of items: subspace iterations on A^T A, its products summed over Spark tasks."""
+    """Fit the latent space of a block of items: subspace iterations on A^T A, its products summed over Spark tasks.
+
+    The subspace has room for every passage; of its directions the leading ones are taken, as many as each passage needs
+    to keep the share KEPT of its squared norm. An aligned copy word for word so has a cosine of at least its root.
+    """
     words = _split([t for _, t, _ in items])
     vocabulary = np.unique(_column(np.concatenate(words))) if words else np.zeros(0, np.int64)
     vocabulary = vocabulary[weights[vocabulary] > 0]
     if not len(vocabulary):
         return None
     table = spark.createDataFrame([(t,) for _, t, _ in items], "text string").repartition(4)
-    rank = min(RANK + OVERSAMPLE, len(vocabulary))
+    rows = [_matrix(_column(w), weights, vocabulary) for w in words]
+    owner = np.repeat(np.arange(len(rows)), [len(a) for _, a in rows])
+    rank = min(len(owner) + OVERSAMPLE, len(vocabulary))
 
     def product(basis: np.ndarray) -> np.ndarray:
         def own(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
             out = None
             for batch in batches:
                 for w in _split(batch.column("text").to_pylist()):
-                    a = _matrix(_column(w), weights, vocabulary)
-                    out = (0 if out is None else out) + a.T @ (a @ basis)
-            return None if out is None else out.astype(np.float64)
+                    out = np.zeros((len(vocabulary), basis.shape[1])) if out is None else out
+                    terms, a = _matrix(_column(w), weights, vocabulary)
+                    out[terms] += a.T @ (a @ basis[terms])
+            return out
 
         return sum_tables(table, own, (len(vocabulary), basis.shape[1]), "float64")
 
@@ -120,12 +132,17 @@ def build_index(items: list[tuple[int, str, str | None]], spark, weights: np.nda
     for _ in range(ITERATIONS):
         basis = np.linalg.qr(product(basis))[0]
     values, turn = np.linalg.eigh(basis.T @ product(basis))
-    basis = (basis @ turn[:, ::-1])[:, values[::-1] > 1e-9][:, :RANK].astype(np.float32)
-    rows = [_matrix(_column(w), weights, vocabulary) @ basis for w in words]
+    basis = (basis @ turn[:, ::-1])[:, values[::-1] > 1e-9]
+    latent = np.concatenate([a @ basis[terms] for terms, a in rows])
+    kept = np.cumsum(latent ** 2, axis=1)[np.concatenate([a.any(axis=1) for _, a in rows])].min(axis=0)
+    rank = min(int(np.searchsorted(kept, KEPT)) + 1, basis.shape[1])
+    norm = np.linalg.norm(latent[:, :rank], axis=1, keepdims=True)
+    unit = latent[:, :rank] / np.where(norm > 0, norm, 1)
+    similarity = np.zeros((len(vocabulary) + 1, len(owner)), np.float32)
+    similarity[:-1] = weights[vocabulary][:, None] * (basis[:, :rank] @ unit.T)
     answers = _split([a or "" for _, _, a in items])
     answers = [a if len(a) else w[-ANSWER_WORDS:] for a, w in zip(answers, words)]
-    return Index(vocabulary, basis, np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows]),
-                 [i for i, _, _ in items], words, answers)
+    return Index(vocabulary, similarity, owner, [i for i, _, _ in items], words, answers)
 
 
 def _split(texts: list[str]) -> list[np.ndarray]:
@@ -163,26 +180,52 @@ def _hits(words: np.ndarray, index: Index, weights: np.ndarray) -> Iterator[tupl
     own = np.concatenate(([0], np.cumsum(np.where(known, w, 0).astype(np.float64) ** 2)))
     norm, part = total[ends] - total[starts], own[ends] - own[starts]
     # no cosine can exceed the share of the passage that lies in the items' terms
-    near = np.flatnonzero((norm > 0) & (part >= COSINE ** 2 * norm))
-    if not len(near):
+    near = (norm > 0) & (part >= COSINE ** 2 * norm)
+    if not near.any():
+        return
+    # a passage is two strides, so each stride is summed once
+    at = np.append(np.where(known, at, len(index.vocabulary)), np.full(-len(at) % STRIDE, len(index.vocabulary)))
+    hits = []
+    for a in range(0, len(starts), PIECE // STRIDE):
+        b = min(a + PIECE // STRIDE, len(starts))
+        if not near[a:b].any():
+            continue
+        own = at[starts[a]: starts[b - 1] + PASSAGE]
+        sums = index.similarity[own].reshape(-1, STRIDE, len(index.owner)).sum(axis=1)
+        sums = sums[:-1] + sums[1:] if len(sums) > 1 else sums
+        r, c = np.nonzero((sums >= COSINE * np.sqrt(norm[a:b])[:, None]) & near[a:b, None])
+        hits.append((r + a, c, sums[r, c] / np.sqrt(norm[r + a])))
+    if not hits:
         return
-    latent = np.stack([w[s:e][known[s:e]] @ index.basis[at[s:e][known[s:e]]] for s, e in zip(starts[near], ends[near])])
-    cosines = latent @ index.passages.T / np.sqrt(norm[near])[:, None]
-    rows, columns = np.nonzero(cosines >= COSINE)
-    order = np.argsort(-cosines[rows, columns], kind="stable")
+    rows, columns, cosines = map(np.concatenate, zip(*hits))
+    order = np.argsort(-cosines, kind="stable")
     found: set[int] = set()
-    for r, c in zip(rows[order], columns[order]):
+    for r, c, cosine in zip(rows[order], columns[order], cosines[order]):
         item = int(index.owner[c])
         if item in found:
             continue
         target, n = index.words[item], len(index.words[item])
-        region = words[max(0, starts[near[r]] - n): ends[near[r]] + n]
+        region = words[max(0, starts[r] - n): ends[r] + n]
         if np.isin(target, region).sum() < PARAPHRASE * n:
             continue
         share = common_subsequence(target, region) / n
         if share >= SUBSEQUENCE or share >= PARAPHRASE and _contains(region, index.answers[item]):
             found.add(item)
-            yield item, float(cosines[r, c]), share
+            yield item, float(cosine), share
+
+
+def _item_blocks(items: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """The items in blocks of at most BLOCK_ITEMS items and BLOCK_PASSAGES passages, or of one item."""
+    block, passages = [], 0
+    for item in items:
+        n = len(_cut(len(_split([item[1]])[0])))
+        if block and (len(block) == BLOCK_ITEMS or passages + n > BLOCK_PASSAGES):
+            yield block
+            block, passages = [], 0
+        block.append(item)
+        passages += n
+    if block:
+        yield block
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -191,7 +234,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are runs of letters and digits in lower case. Null and empty texts, and texts whose terms all weigh
     nothing, hold nothing and are held by none. Repeated rows give repeated pairs; `benchmark` may have an `answer`
     column, other columns are ignored. An empty table on either side gives no pairs. The items are searched in blocks
-    of BLOCK_ITEMS, each against all documents.
+    of at most BLOCK_ITEMS items and BLOCK_PASSAGES passages, each against all documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -200,12 +243,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                  .orderBy("i", "t").toLocalIterator())
     kinds = "doc_id long, item_id long, cosine double, subsequence double"
     out, weights = spark.createDataFrame([], kinds), None
-    while block := [tuple(r) for r in islice(items, BLOCK_ITEMS)]:
+    for block in _item_blocks(map(tuple, items)):
         weights = term_weights(rows) if weights is None else weights
         index = build_index(block, spark, weights)
         if index is None:
             continue
-        held = spark.sparkContext.broadcast((index, weights))  # BLOCK_ITEMS items and TERMS weights
+        held = spark.sparkContext.broadcast((index, weights))  # a block of items and TERMS weights
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index, weights = held.value

@@ -82,3 +82,10 @@ def test_blocks_of_items_give_the_same(spark, texts, monkeypatch):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 3)
     assert {(x["doc_id"], x["item_id"]) for x in decontamination.find(docs, bench).collect()} == {(k, k) for k in items}
+
+
+def test_every_copy_of_a_large_benchmark_is_found(spark, texts):
+    items = {k: prose(5000 + k, 100) for k in range(520)}
+    docs = texts({k: prose(7000 + k, k % 40) + " " + t for k, t in items.items()})
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.find(docs, bench).collect()} == {(k, k) for k in items}
