@@ -20,14 +20,15 @@ from riskloom.llm.common import PUNCTUATION, blocks, sum_tables, text_of, word_h
 
 #: Words of a passage and from one to the next.
 PASSAGE, STRIDE = 32, 16
-#: Terms are hashed to so many columns. Those in more than STOP_SHARE of the documents weigh nothing.
-TERMS, STOP_SHARE = 1 << 18, 0.1
+#: Terms are hashed to so many columns. All weigh something, those in every document least.
+TERMS = 1 << 18
 #: Share of its squared norm that each passage keeps in latent space, at least: the rank grows until all do.
 KEPT = 0.99
 #: Further columns and power iterations of the randomised SVD.
 OVERSAMPLE, ITERATIONS = 16, 2
-#: Least cosine of a passage and an item's passage to be compared.
-COSINE = 0.3
+#: Least cosine of a passage and an item's passage to be compared; or least share of the item's passage that it covers, by
+#: squared weights. Of two passages that hold a copy between them, one covers half, whatever else stands in it.
+COSINE, COVERAGE = 0.3, 0.45
 #: Share of an item's words found in order: enough alone, or together with its answer word for word.
 SUBSEQUENCE, PARAPHRASE = 0.8, 0.6
 #: Without an `answer` column an item's answer is so many last words.
@@ -63,9 +64,7 @@ def term_weights(docs: DataFrame) -> np.ndarray:
 
     table = sum_tables(docs.select("text"), count, (TERMS + 1,), "int32")
     n, found = float(table[TERMS]), table[:TERMS].astype(np.float64)
-    weights = np.log((n + 1) / (found + 1)) + 1
-    weights[found > max(10, STOP_SHARE * n)] = 0
-    return weights.astype(np.float32)
+    return (np.log((n + 1) / (found + 1)) + 1).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -74,8 +73,11 @@ class Index:
 
     vocabulary: np.ndarray  # sorted columns of the items' terms
     similarity: np.ndarray  # weighted terms and a last row of zeros x passages: the latent basis times unit vectors
+    norms: np.ndarray       # of each passage, before it was made a unit vector
     owner: np.ndarray       # item of each passage
     ids: list[int]
+    places: np.ndarray      # of all items' words in the vocabulary, item after item
+    ends: np.ndarray        # where each item ends there, after a first 0
     words: list[np.ndarray]
     answers: list[np.ndarray]
 
@@ -85,8 +87,8 @@ def _cut(n: int) -> range:
     return range(0, max(n - PASSAGE + STRIDE, 1), STRIDE)
 
 
-def _matrix(columns: np.ndarray, weights: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which terms of the vocabulary one text has, and the TF-IDF rows of its passages over these."""
+def _matrix(columns: np.ndarray, weights: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which terms of the vocabulary one text has, the TF-IDF rows of its passages over these, and the rows' norms."""
     at = np.searchsorted(vocabulary, columns)
     at[at == len(vocabulary)] = 0
     known = vocabulary[at] == columns
@@ -97,7 +99,7 @@ def _matrix(columns: np.ndarray, weights: np.ndarray, vocabulary: np.ndarray) ->
         part = place[s: s + PASSAGE][known[s: s + PASSAGE]]
         np.add.at(out[i], part, weights[vocabulary[own[part]]])
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return own, out / np.where(norm > 0, norm, 1)
+    return own, out / np.where(norm > 0, norm, 1), norm[:, 0]
 
 
 def build_index(items: list[tuple[int, str, str | None]], spark, weights: np.ndarray) -> Index | None:
@@ -108,12 +110,11 @@ def build_index(items: list[tuple[int, str, str | None]], spark, weights: np.nda
     """
     words = _split([t for _, t, _ in items])
     vocabulary = np.unique(_column(np.concatenate(words))) if words else np.zeros(0, np.int64)
-    vocabulary = vocabulary[weights[vocabulary] > 0]
     if not len(vocabulary):
         return None
     table = spark.createDataFrame([(t,) for _, t, _ in items], "text string").repartition(4)
     rows = [_matrix(_column(w), weights, vocabulary) for w in words]
-    owner = np.repeat(np.arange(len(rows)), [len(a) for _, a in rows])
+    owner = np.repeat(np.arange(len(rows)), [len(a) for _, a, _ in rows])
     rank = min(len(owner) + OVERSAMPLE, len(vocabulary))
 
     def product(basis: np.ndarray) -> np.ndarray:
@@ -122,7 +123,7 @@ def build_index(items: list[tuple[int, str, str | None]], spark, weights: np.nda
             for batch in batches:
                 for w in _split(batch.column("text").to_pylist()):
                     out = np.zeros((len(vocabulary), basis.shape[1])) if out is None else out
-                    terms, a = _matrix(_column(w), weights, vocabulary)
+                    terms, a, _ = _matrix(_column(w), weights, vocabulary)
                     out[terms] += a.T @ (a @ basis[terms])
             return out
 
@@ -133,8 +134,8 @@ def build_index(items: list[tuple[int, str, str | None]], spark, weights: np.nda
         basis = np.linalg.qr(product(basis))[0]
     values, turn = np.linalg.eigh(basis.T @ product(basis))
     basis = (basis @ turn[:, ::-1])[:, values[::-1] > 1e-9]
-    latent = np.concatenate([a @ basis[terms] for terms, a in rows])
-    kept = np.cumsum(latent ** 2, axis=1)[np.concatenate([a.any(axis=1) for _, a in rows])].min(axis=0)
+    latent = np.concatenate([a @ basis[terms] for terms, a, _ in rows])
+    kept = np.cumsum(latent ** 2, axis=1)[np.concatenate([a.any(axis=1) for _, a, _ in rows])].min(axis=0)
     rank = min(int(np.searchsorted(kept, KEPT)) + 1, basis.shape[1])
     norm = np.linalg.norm(latent[:, :rank], axis=1, keepdims=True)
     unit = latent[:, :rank] / np.where(norm > 0, norm, 1)
@@ -142,7 +143,10 @@ def build_index(items: list[tuple[int, str, str | None]], spark, weights: np.nda
     similarity[:-1] = weights[vocabulary][:, None] * (basis[:, :rank] @ unit.T)
     answers = _split([a or "" for _, _, a in items])
     answers = [a if len(a) else w[-ANSWER_WORDS:] for a, w in zip(answers, words)]
-    return Index(vocabulary, similarity, owner, [i for i, _, _ in items], words, answers)
+    norms = np.concatenate([n for _, _, n in rows])
+    return Index(vocabulary, similarity, norms, owner, [i for i, _, _ in items],
+                 np.searchsorted(vocabulary, _column(np.concatenate(words))),
+                 np.cumsum([0, *map(len, words)]), words, answers)
 
 
 def _split(texts: list[str]) -> list[np.ndarray]:
@@ -173,28 +177,32 @@ def _hits(words: np.ndarray, index: Index, weights: np.ndarray) -> Iterator[tupl
     w = weights[columns]
     at = np.searchsorted(index.vocabulary, columns)
     at[at == len(index.vocabulary)] = 0
-    known = (index.vocabulary[at] == columns) & (w > 0)
+    known = index.vocabulary[at] == columns
     starts = np.array(_cut(len(words)))
     ends = np.minimum(starts + PASSAGE, len(words))
     total = np.concatenate(([0], np.cumsum(w.astype(np.float64) ** 2)))
-    own = np.concatenate(([0], np.cumsum(np.where(known, w, 0).astype(np.float64) ** 2)))
-    norm, part = total[ends] - total[starts], own[ends] - own[starts]
-    # no cosine can exceed the share of the passage that lies in the items' terms
-    near = (norm > 0) & (part >= COSINE ** 2 * norm)
-    if not near.any():
+    norm = np.sqrt(total[ends] - total[starts])
+    if not known.any():
         return
     # a passage is two strides, so each stride is summed once
     at = np.append(np.where(known, at, len(index.vocabulary)), np.full(-len(at) % STRIDE, len(index.vocabulary)))
-    hits = []
+    hits, sizes = [], np.diff(index.ends)
+    longest = int(sizes.max())
     for a in range(0, len(starts), PIECE // STRIDE):
         b = min(a + PIECE // STRIDE, len(starts))
-        if not near[a:b].any():
+        # an item that has too few of its words in all of this is in no part of it
+        present = np.zeros(len(index.vocabulary) + 1, bool)
+        present[at[max(0, starts[a] - longest): ends[b - 1] + longest]] = True
+        shared = np.concatenate(([0], np.cumsum(present[index.places])))[index.ends]
+        possible = (np.diff(shared) >= PARAPHRASE * sizes) & (sizes > 0)
+        if not possible.any():
             continue
         own = at[starts[a]: starts[b - 1] + PASSAGE]
         sums = index.similarity[own].reshape(-1, STRIDE, len(index.owner)).sum(axis=1)
         sums = sums[:-1] + sums[1:] if len(sums) > 1 else sums
-        r, c = np.nonzero((sums >= COSINE * np.sqrt(norm[a:b])[:, None]) & near[a:b, None])
-        hits.append((r + a, c, sums[r, c] / np.sqrt(norm[r + a])))
+        r, c = np.nonzero((sums >= np.minimum(COSINE * norm[a:b, None], COVERAGE * index.norms))
+                          & (sums > 0) & possible[index.owner])
+        hits.append((r + a, c, sums[r, c] / norm[r + a]))
     if not hits:
         return
     rows, columns, cosines = map(np.concatenate, zip(*hits))
@@ -231,8 +239,8 @@ def _item_blocks(items: Iterator[tuple]) -> Iterator[list[tuple]]:
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, subsequence): every document and benchmark item that it holds, also reworded.
 
-    Words are runs of letters and digits in lower case. Null and empty texts, and texts whose terms all weigh
-    nothing, hold nothing and are held by none. Repeated rows give repeated pairs; `benchmark` may have an `answer`
+    Words are runs of letters and digits in lower case. Null and empty texts hold nothing and are
+    held by none. Repeated rows give repeated pairs; `benchmark` may have an `answer`
     column, other columns are ignored. An empty table on either side gives no pairs. The items are searched in blocks
     of at most BLOCK_ITEMS items and BLOCK_PASSAGES passages, each against all documents.
     """

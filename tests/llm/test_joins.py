@@ -89,3 +89,13 @@ def test_every_copy_of_a_large_benchmark_is_found(spark, texts):
     docs = texts({k: prose(7000 + k, k % 40) + " " + t for k, t in items.items()})
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     assert {(x["doc_id"], x["item_id"]) for x in decontamination.find(docs, bench).collect()} == {(k, k) for k in items}
+
+
+def test_an_item_in_a_third_of_all_documents_is_found(spark, texts):
+    items = {k: prose(9000 + k, n) for k, n in enumerate((15, 33, 100))}  # the words around a copy are all rare
+    held = set(range(0, 180, 3))
+    docs = texts({i: prose(10_000 + i, 40 + i % 29) + (f" {items[0]} {items[1]} {items[2]} " if i in held else " ")
+                  + prose(20_000 + i, 50) for i in range(180)})
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.find(docs, bench).collect()} == {
+        (i, k) for i in held for k in items}
