@@ -100,23 +100,30 @@ def is_text(tree: tuple, features: tuple) -> bool:
     return bool(tree[0])
 
 
-def _surrounds(name: str, attributes: str) -> bool:
+def _surrounds(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element surrounds a text: by its kind or as it is hidden, and by a word of its names only."""
     if name in ASIDE:
-        return True
+        return True, False
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    return any(_ASIDE_WORDS.search(m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes)) or bool(
-        _HIDDEN.search(attributes))
+        return False, False
+    if _HIDDEN.search(attributes):
+        return True, False
+    return False, any(_ASIDE_WORDS.search(m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes))
 
 
 def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, linked words, in an article, in a surrounding part) of each block with text, in page order.
 
     Open and unclosed elements are borne with: a block element ends an open paragraph, an end tag closes what is open
-    inside its element, and one without a start is skipped. Text in script-like elements is not text.
+    inside its element, and one without a start is skipped. Text in script-like elements is not text. A class word such as
+    sidebar does not make an element a surrounding part if the page's article stands in it: a main element, or else the
+    longest article if the element has half of the page's words.
     """
     out, parts, linked = [], [], 0
-    open_names: list[tuple[str, bool, bool]] = []
+    open_names: list[tuple[str, bool, bool, bool]] = []
+    named: list[int] = []  # open elements that surround by name, by where they start
+    inside: list[int] = []  # open articles
+    around: dict[int, tuple[bool, list[int]]] = {}  # of each article in a named element: is it main, and what is open
     articles = asides = links = at = 0
 
     def close_block() -> None:
@@ -124,14 +131,18 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         text = " ".join("".join(parts).split())
         if text:
             n = text.count(" ") + 1
-            out.append((text, n, min(linked, n), int(articles > 0), int(asides > 0)))
+            out.append((text, n, min(linked, n), int(articles > 0), int(asides > 0), tuple(named), tuple(inside)))
         parts.clear()
         linked = 0
 
     def pop(depth: int) -> None:
         nonlocal articles, asides, links
         while len(open_names) > depth:
-            name, article, aside = open_names.pop()
+            name, article, aside, by_name = open_names.pop()
+            if by_name:
+                named.pop()
+            if article:
+                inside.pop()
             articles, asides, links = articles - article, asides - aside, links - (name == "a")
 
     while at < len(page):
@@ -157,6 +168,8 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if depth is not None:
                 pop(depth)
             continue
+        if name in ("svg", "math") and m[3].rstrip(">").endswith("/"):
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -168,11 +181,28 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if depth is not None and open_names[depth][0] == "p":
                 pop(depth)
         article = name in ("article", "main") or 'role="main"' in m[3]
-        aside = _surrounds(name, m[3])
-        open_names.append((name, article, aside))
+        aside, by_name = _surrounds(name, m[3])
+        open_names.append((name, article, aside, by_name))
+        if by_name:
+            named.append(at)
+        if article:
+            if named:
+                around[at] = (name == "main" or 'role="main"' in m[3], list(named))
+            inside.append(at)
         articles, asides, links = articles + article, asides + aside, links + (name == "a")
     close_block()
-    return out
+    wraps: set[int] = set()
+    if around:
+        size = {x: 0 for b in out for x in b[5] + b[6]}
+        for b in out:
+            for x in {*b[5], *b[6]}:
+                size[x] += b[1]
+        wraps = {x for main, outer in around.values() if main for x in outer}
+        longest = max((x for b in out for x in b[6]), key=lambda x: size[x], default=None)
+        if not wraps and longest in around:
+            total = sum(b[1] for b in out)
+            wraps = {x for x in around[longest][1] if 2 * size.get(x, 0) >= total}
+    return [(*b[:4], int(b[4] or not wraps.issuperset(b[5]))) for b in out]
 
 
 def main_text(page: str | None, tree: tuple) -> str:

@@ -31,6 +31,19 @@ def test_broken_pages_end():
         assert isinstance(html_text.main_text(page, tree), str)
 
 
+def test_nothing_of_the_article_is_dropped():
+    tree = html_text.default_tree()
+    for mark in ("<svg viewBox='0 0 1 1'/>", "<svg/>", "<math />", "<svg><text>x</text></svg>"):
+        page = f"<article><p>one two</p>{mark}<p>three</p></article><p>gone</p>"
+        assert html_text.main_text(page, tree) == "one two\n\nthree"
+    assert html_text.main_text("<article><p>one</p><script src=x /><p>code</p></article>", tree) == "one"
+    aside = "<div class='sidebar'><p>gone</p></div><section id=comments><article><p>gone too</p></article></section>"
+    for wrapper in ("page has-sidebar", "container sidebar-right"):
+        for name in ("article", "main"):
+            page = f"<div class='{wrapper}'><{name}><p>one two three four</p><p>five</p></{name}>{aside}</div>"
+            assert html_text.main_text(page, tree) == "one two three four\n\nfive"
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "k"), (1, "u", PAGE, "k"), (None, None, None, None), (2, "v", "", "t"),
             (3, "w", "<article>" + "<p>long text</p>" * 50_000, "q")]
