@@ -5,7 +5,7 @@ All of it is DataFrame expressions; one pass over the texts, whose counts are st
 
 from __future__ import annotations
 
-from math import fsum
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,23 +102,26 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     out = {}
     for r in good.groupBy("lang").agg(*sums).collect():
         both = [[r[f"{c}{i}"] for i in range(n)] for c, n in sizes.items()]
-        out[r["lang"]] = tuple([x / max(fsum(v), 1) for x in v] for v in both)
+        out[r["lang"]] = tuple([x / max(math.fsum(v), 1) for x in v] for v in both)
     return dict(sorted(out.items()))
 
 
-def distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2) of a histogram of counts to reference shares; null for an empty histogram."""
-    total = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
+def distance(shares: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance (base 2) of a histogram's shares to reference shares; null if there are no shares.
 
-    def term(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    With p the text's and q the reference's share of a class, it sums p log p + q log q - (p + q) log((p + q) / 2);
+    the reference's part is a constant.
+    """
+    known = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(q * math.log2(q) if q > 0 else 0.0).alias("own"))
+                      for q in reference])
 
-    def part(n: Column, q: Column) -> Column:
-        p = n / total
-        return (term(p, (p + q) / 2) + term(q, (p + q) / 2)) / 2
+    def part(p: Column, r: Column) -> Column:
+        both = p + r["q"]
+        own = F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0)) + r["own"]
+        return F.when(both > 0, own - both * F.log2(both / 2)).otherwise(F.lit(0.0))
 
-    parts = F.zip_with(counts, F.array(*map(F.lit, reference)), part)
-    return F.when(total > 0, F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))))
+    total = F.aggregate(F.zip_with(shares, known, part), F.lit(0.0), lambda a, b: a + b)
+    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
 def _failed() -> Column:
@@ -134,8 +137,13 @@ def rate(docs: DataFrame) -> DataFrame:
     Without any reference (no listed language in the corpus), distances are null and the base rules decide. Repeated
     rows are judged alike; other columns are ignored.
     """
-    rows = _histograms(store(_counts(docs), "counts"))
+    counted = store(_counts(docs), "counts")
+    rows = _histograms(counted)
     known = references(rows).values()
+    # narrow rows come back in few tasks; the distances are dealt over all cores, and the shares are made once
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for c, n in (("classes", "n_chars"), ("common", "n_words")):
+        rows = rows.withColumn(c, F.when(F.col(n) > 0, F.transform(c, lambda x: x / F.col(n))))
     nearest = {
         "char_distance": F.array_min(F.array(*[distance(F.col("classes"), r[0]) for r in known])) if known else None,
         "word_distance": F.array_min(F.array(*[distance(F.col("common"), r[1]) for r in known])) if known else None,
