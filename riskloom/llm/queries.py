@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    chat_format, decontamination, html_text, license_scan, mixture, ngram_join, quality_rank, quality_rules,
-    secret_scan, suffix_dedup,
+    chat_format, conversation_trie, decontamination, html_text, license_scan, mixture, ngram_join, quality_rank,
+    quality_rules, secret_scan, suffix_dedup, whitening,
 )
 from riskloom.llm.common import read
 
@@ -70,6 +70,17 @@ def op10_license_scan(spark, sf):
     return license_scan.digest(read(spark, sf, "documents"))
 
 
+@query
+def op12_conversation_trie(spark, sf):
+    return conversation_trie.build(read(spark, sf, "conversations"))
+
+
+@query
+def op13_whitening(spark, sf):
+    return whitening.whiten(read(spark, sf, "embeddings"))
+
+
+ORACLE["op12_conversation_trie"] = conversation_trie.SQL
 ORACLE["op10_license_scan"] = license_scan.DIGEST_SQL
 # each of the characters that are escaped takes two; a piece has 15 characters besides its role and text
 ORACLE["op9_chat_format"] = r"""
