@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    chat_format, conversation_trie, decontamination, html_text, license_scan, mixture, ngram_join, quality_rank,
-    quality_rules, secret_scan, suffix_dedup, whitening,
+    chat_format, conversation_trie, decontamination, html_text, license_scan, mixture, ngram_join, personal_data,
+    quality_rank, quality_rules, secret_scan, suffix_dedup, whitening,
 )
 from riskloom.llm.common import read
 
@@ -70,6 +70,11 @@ def op10_license_scan(spark, sf):
     return license_scan.digest(read(spark, sf, "documents"))
 
 
+@query
+def op11_personal_data(spark, sf):
+    return personal_data.digest(read(spark, sf, "documents"))
+
+
 @query
 def op12_conversation_trie(spark, sf):
     return conversation_trie.build(read(spark, sf, "conversations"))
