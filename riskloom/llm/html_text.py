@@ -18,22 +18,33 @@ from pyspark.sql import functions as F
 
 # HTML's element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe noembed noframes object svg math select".split())
+RAW = set("script style title textarea".split())
+#: Elements whose content is no text of the page, if they end; without an end only their tag is skipped.
+CLOSED = set("noscript template iframe noembed noframes object svg math select".split())
 BLOCK = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search
 section summary table tbody td tfoot th thead tr ul""".split())
-#: Elements, and words of class, id and role, of what surrounds a text.
+#: Elements that surround a text.
 ASIDE = set("aside button dialog footer form header menu nav search head".split())
-_ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?"
-    r"|footer|header|masthead|cookies?|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup"
-    r"|login|share|sharing|social|related|recommended|comments?|disqus|replies|widget|toolbar|pagination|skip"
-    r"|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
+# A class names a surrounding part if it is made of these words only, joined by hyphens or underscores, and one of them is
+# no filler. Inside an article, words that an article's own parts may bear do not count.
+_PARTS = set("""ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments consent
+cookie cookies disqus footer login menu nav navbar navigation newsletter notice notices pager pagination popup promo
+recommended related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar""".split())
+_OUTER_PARTS = _PARTS | set("alert header masthead modal overlay search skip widget".split())
+_FILLERS = set("""area articles bar block bottom box buttons container content form inner left links list main page panel
+posts right section site slot thread top unit widget wrap wrapper""".split())
+_ROLES = set("alertdialog banner complementary contentinfo dialog navigation search".split())
+#: Elements whose id is read like a class; the ids of others, such as headings, are targets of links.
+_WITH_ID = set("div form ol table ul".split())
+#: Elements within a line; if one of them surrounds, its text is left out and its line goes on.
+PHRASE = set("a abbr b bdi bdo button cite code em font i kbd label mark s samp small span strong sub sup u var".split())
+_COMMENT_IDS = {"comments", "disqus_thread", "respond"}
 _MARK = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+(?:>|\Z)|[^>]*(?:>|\Z)))""",
     re.S)
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""\shidden(?:[\s=>/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "aside")
 # The labelled table: features as above (links: share of the words inside <a>; place: 1 in the article, -1 outside it on
@@ -100,15 +111,24 @@ def is_text(tree: tuple, features: tuple) -> bool:
     return bool(tree[0])
 
 
-def _surrounds(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element surrounds a text: by its kind or as it is hidden, and by a word of its names only."""
+def _names_part(token: str, known: set[str]) -> bool:
+    words = re.split(r"[-_]+", token.lower().strip("-_"))
+    return all(w in known or w in _FILLERS for w in words) and any(w in known for w in words)
+
+
+def _surrounds(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element surrounds a text: by its kind or as it is hidden, and by its class, role or id only."""
     if name in ASIDE:
         return True, False
     if not attributes or name in ("html", "body", "article", "main"):
         return False, False
-    if _HIDDEN.search(attributes):
+    has = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+    if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or _INVISIBLE.search(has.get("style", "")):
         return True, False
-    return False, any(_ASIDE_WORDS.search(m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes))
+    known = _PARTS if in_article else _OUTER_PARTS
+    tokens = has.get("class", "").split() + ([has.get("id", "")] if name in _WITH_ID or not in_article else [])
+    by_name = any(_names_part(t, known) for t in tokens if t) or has.get("id", "").lower() in _COMMENT_IDS
+    return False, by_name or has.get("role", "").lower() in _ROLES
 
 
 def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
@@ -120,11 +140,12 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     longest article if the element has half of the page's words.
     """
     out, parts, linked = [], [], 0
-    open_names: list[tuple[str, bool, bool, bool]] = []
+    open_names: list[tuple[str, bool, bool, bool, bool]] = []
     named: list[int] = []  # open elements that surround by name, by where they start
     inside: list[int] = []  # open articles
     around: dict[int, tuple[bool, list[int]]] = {}  # of each article in a named element: is it main, and what is open
-    articles = asides = links = at = 0
+    endless: set[str] = set()  # elements that no end tag follows any more
+    articles = asides = links = mutes = at = 0
 
     def close_block() -> None:
         nonlocal linked
@@ -136,9 +157,10 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         linked = 0
 
     def pop(depth: int) -> None:
-        nonlocal articles, asides, links
+        nonlocal articles, asides, links, mutes
         while len(open_names) > depth:
-            name, article, aside, by_name = open_names.pop()
+            name, article, aside, by_name, mute = open_names.pop()
+            mutes -= mute
             if by_name:
                 named.pop()
             if article:
@@ -148,7 +170,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     while at < len(page):
         m = _MARK.search(page, at)
         text = html.unescape(page[at: m.start() if m else len(page)])
-        if text:
+        if text and not mutes:
             parts.append(text)
             if links:
                 linked += len(text.split())
@@ -168,21 +190,24 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if depth is not None:
                 pop(depth)
             continue
-        if name in ("svg", "math") and m[3].rstrip(">").endswith("/"):
-            continue
-        if name in RAW:
+        closed = m[3].rstrip(">").endswith("/")
+        if name in RAW or name in CLOSED and not closed and name not in endless:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if name in VOID or m[3].rstrip(">").endswith("/"):
+            if end or name in RAW:
+                at = end.end() if end else len(page)
+                continue
+            endless.add(name)
+        if name in VOID or name in CLOSED or closed:
             continue
         if name in BLOCK:
             depth = next((i for i in range(len(open_names) - 1, -1, -1) if open_names[i][0] in BLOCK), None)
             if depth is not None and open_names[depth][0] == "p":
                 pop(depth)
         article = name in ("article", "main") or 'role="main"' in m[3]
-        aside, by_name = _surrounds(name, m[3])
-        open_names.append((name, article, aside, by_name))
+        aside, by_name = _surrounds(name, m[3], articles > 0)
+        mute = name in PHRASE and (aside or by_name)
+        aside, by_name, mutes = aside and not mute, by_name and not mute, mutes + mute
+        open_names.append((name, article, aside, by_name, mute))
         if by_name:
             named.append(at)
         if article:

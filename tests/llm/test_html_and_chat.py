@@ -44,6 +44,31 @@ def test_nothing_of_the_article_is_dropped():
             assert html_text.main_text(page, tree) == "one two three four\n\nfive"
 
 
+def test_names_of_the_articles_own_parts_do_not_drop_them():
+    tree = html_text.default_tree()
+    for own in (
+        "<h2 id='related-work'>two three</h2>", "<section id='side-effects'><p>two three</p></section>",
+        "<p title='the hidden gem'>two three</p>", "<div class='prose hidden md:block'>two three</div>",
+        "<object data=x /><p>two three</p>", "<object data=x><p>two three</p>", "<select><p>two three</p>",
+        "<div class='social-media-history'>two three</div>", "<p id=comments-on-method>two three</p>",
+        "<div class='has-sidebar'>two three</div>", "<div class=header><h2>two three</h2></div>",
+        "<p data-x='display:none'>two three</p>", "<section id=notice><p>two three</p></section>",
+        "<div class='share-of-wallet'>two three</div>", "<h3 id=search>two three</h3>", "<iframe src=a /><p>two three</p>",
+    ):
+        page = f"<article><p>one</p>{own}<p>four</p></article><p>gone</p>"
+        assert html_text.main_text(page, tree) == "one\n\ntwo three\n\nfour", own
+    for other in (
+        "<div class='ad'>gone</div>", "<div class='ad-box left'>gone</div>", "<div class=share-buttons>gone</div>",
+        "<div id=disqus_thread>gone</div>", "<section id=comments><p>gone</section>", "<p hidden>gone</p>",
+        "<ul class='pagination'><li>gone</ul>", "<div class=cookie_notice>gone</div>", "<div role=navigation>gone</div>",
+        "<div style='color:red; display: none'>gone</div>", "<div id=sidebar>gone</div>", "<object><p>gone</p></object>",
+        "<div class='newsletter-signup'>gone</div>", "<span aria-hidden=true><p>gone</span>",
+    ):
+        page = f"<article><p>one</p>{other}<p>four</p></article>"
+        assert html_text.main_text("<article><p>one <i hidden>gone</i>two<button>gone</button></p></article>", tree) == "one two"
+        assert html_text.main_text(page, tree) == "one\n\nfour", other
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "k"), (1, "u", PAGE, "k"), (None, None, None, None), (2, "v", "", "t"),
             (3, "w", "<article>" + "<p>long text</p>" * 50_000, "q")]
