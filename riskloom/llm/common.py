@@ -44,6 +44,22 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Stored tables of one run, to be removed together when its last table has been written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(store(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        for table in self.tables:
+            discard(table)
+        self.tables = []
+
+
 # ---- vectorised hashing of Arrow batches -----------------------------------------------------
 
 _rng = np.random.default_rng(20240229)

@@ -1,42 +1,52 @@
-"""Connected components by alternating large and small stars, every round a grouped aggregate."""
+"""Connected components by alternating large and small stars."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import store
+from riskloom.llm.common import Scratch, discard, store
 
+#: Edges for each task of a round. A round's tasks follow its edges, not the session's shuffle partitions.
+TASK_EDGES = 200_000
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """(node, other) with the least neighbour of each node, itself included. A hub's rows stay apart: Spark combines."""
-    low = pairs.groupBy("node").agg(F.min("other").alias("low"))
-    return low.select("node", F.least("node", "low").alias("low"))
 
+def _seen(edges: DataFrame):
+    """Count and two order-free digests of a stored table of edges."""
+    pair = F.xxhash64("node", "other")
+    return edges.agg(F.count("*").alias("n"), F.sum(pair % 1000003).alias("s"),
+                     F.bit_xor(F.xxhash64("other", "node")).alias("x")).first()
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node in `edges` (a, b): the least node reachable. Null ends and loops are ignored.
 
     Each round links larger neighbours to the least one (large star), then smaller ones (small star); the number of
-    rounds grows with the logarithm of the longest chain. The work per round is linear in the edges. The edges of
-    each round are written to shared storage.
+    rounds grows with the logarithm of the longest chain. The work per round is linear in the edges, and a node's rows
+    stream through one sorted window. The edges of each round are written to shared storage, those of the round
+    before are removed, and the last ones go with `scratch`.
     """
     now = store(edges.where("a <> b").select(
         F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")).distinct(), "edges")
-    while True:
+    at_node = Window.partitionBy("node")
+    seen = _seen(now)
+    while seen["n"]:
+        tasks = -(-seen["n"] // TASK_EDGES)
         both = now.unionByName(now.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        large = both.join(_least(both), "node").where("other > node").select(
+        large = both.repartition(tasks, "node").withColumn(
+            "low", F.least("node", F.min("other").over(at_node))).where("other > node").select(
             F.col("other").alias("node"), F.col("low").alias("other"))
-        low = _least(large)
-        small = large.join(low, "node").select(F.col("other").alias("node"), F.col("low").alias("other")).unionByName(
-            low.select("node", F.col("low").alias("other")))
-        after = store(small.where("node <> other").distinct(), "edges")
-        same = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "other") % 1000003).alias("s"),
-                         F.bit_xor(F.xxhash64("other", "node")).alias("x")).first()
-        if same == now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "other") % 1000003).alias("s"),
-                           F.bit_xor(F.xxhash64("other", "node")).alias("x")).first():
-            break
+        small = large.repartition(tasks, "node").withColumn("low", F.min("other").over(at_node)).select(F.explode(F.array(
+            F.struct(F.col("other").alias("node"), F.col("low").alias("other")),
+            F.struct("node", F.col("low").alias("other")))).alias("e")).select("e.*").where("node <> other")
+        after = store(small.repartition(tasks, "node").dropDuplicates(["node", "other"]), "edges")
+        last, seen = seen, _seen(after)
+        discard(now)
         now = after
-    roots = after.select(F.col("other").alias("node")).distinct()
-    return after.select("node", F.col("other").alias("component")).unionByName(
+        if seen == last:
+            break
+    if scratch:
+        scratch.tables.append(now)
+    roots = now.select(F.col("other").alias("node")).distinct()
+    return now.select("node", F.col("other").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component")))

@@ -1,8 +1,10 @@
-"""N-gram Jaccard join: the global n-gram order is cut into fragments, overlaps are counted per fragment and summed.
+"""N-gram Jaccard join by vertical partitioning: the global n-gram order is cut into fragments, and the overlap of a
+pair is counted in each fragment on its own and summed.
 
 The order of n-grams is (frequent or not, hash). Frequent ones come last, so a passage that many documents share does
-not bring them together. The fragments are the prefix of each set in that order (it names the pairs), the tenth of
-the n-grams with the least hashes (its overlap bounds the whole), and the rest (counted for pairs that are left).
+not bring them together. The prefix of each set in that order names the pairs. The overlap in the tenth of the n-grams
+with the least hashes bounds the whole one and rules most pairs out. For pairs that are left, both sets are cut by ranges of
+the hash; fragments meet by (set, range), in as many tasks as a pair has fragments, and their overlaps are summed.
 Every bound is exact: no linked pair is lost. Pairs that are already connected are not compared.
 """
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import blocks, discard, mix, shingle_sets, store, sum_tables, text_of
+from riskloom.llm.common import Scratch, blocks, discard, mix, shingle_sets, store, sum_tables, text_of
 from riskloom.llm.components import components
 
 #: Counters of the frequency sketch; it costs each task so many bytes, and the driver one bit each.
@@ -26,6 +28,10 @@ FREQUENT = 48
 #: Independent least hashes by which members of dense groups first meet a centre.
 STARS = 4
 FRAGMENT = np.uint64(2**64 // 10)
+#: Ranges of the hash by which the sets of a pair are compared; a power of two.
+RANGES = 8
+#: Texts with more copies than one in so many rows are told by a broadcast table, which has no more rows than that.
+HOT_TEXTS = 10_000
 _SETS = ("doc_id long, n int, rare int, digest binary, stars array<long>, prefix array<long>, inner int, "
          "sketch array<int>")
 
@@ -100,65 +106,89 @@ def _needed(n_a: Column, n_b: Column, threshold: float) -> Column:
     return F.ceil((n_a + n_b) * F.lit(t) / F.lit(t + whole) - F.lit(1e-9))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are linked: the first fragment's overlap rules most out, whole texts decide the rest."""
+def _fragments(texts: DataFrame, size: int) -> DataFrame:
+    """(digest, part, grams): the n-grams of each text by range of the hash. Ranges without any have no row."""
+    shift = np.uint64(64 - (RANGES - 1).bit_length())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for block in blocks(batches):
+            for s in shingle_sets(block.column("text"), size):
+                if not len(s):
+                    continue
+                part = s >> shift  # the set is in order of its hashes, so its fragments are slices
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                offsets = pa.array(np.append(starts, len(s)).astype(np.int32))
+                grams = pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64)))
+                digest = hashlib.sha256(s.tobytes()).digest()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([digest] * len(starts), pa.binary()), pa.array(part[starts].astype(np.int32)), grams],
+                    ["digest", "part", "grams"])
+
+    cuts = texts.select("text").mapInArrow(cut, "digest binary, part int, grams array<long>")
+    return cuts.groupBy("digest", "part").agg(F.first("grams").alias("grams"))  # repeated rows have the same
+
+
+def verify(
+    pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, threshold: float, scratch: Scratch
+) -> DataFrame:
+    """The pairs that are linked, of pairs (a, key_a, b, key_b) of sets told by their digests; other columns stay.
+
+    The first fragment's overlap rules most out, the sum of the overlaps in all ranges decides the rest.
+    """
     t, whole = _ratio(threshold)
-    side = sets.select("doc_id", "n", "inner", "sketch")
-    left = side.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("inner").alias("in_a"),
+    side = sets.select("digest", "n", "inner", "sketch").dropDuplicates(["digest"])
+    left = side.select(F.col("digest").alias("key_a"), F.col("n").alias("n_a"), F.col("inner").alias("in_a"),
                        F.col("sketch").alias("s_a"))
-    right = side.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("inner").alias("in_b"),
+    right = side.select(F.col("digest").alias("key_b"), F.col("n").alias("n_b"), F.col("inner").alias("in_b"),
                         F.col("sketch").alias("s_b"))
     most = F.least(F.col("n_a") - F.col("in_a"), F.col("n_b") - F.col("in_b"))
-    likely = pairs.join(left, "a").join(right, "b").where(
+    likely = scratch.store(pairs.join(left, "key_a").join(right, "key_b").where(
         F.size(F.array_intersect("s_a", "s_b")) + (F.col("in_a") - F.size(F.array_distinct("s_a"))) + most
-        >= _needed(F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
-    texts = docs.select("doc_id", "text")
-    both = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for i in range(batch.num_rows):
-                if a[i] != last:
-                    last, held = a[i], next(shingle_sets(batch.column("text_a").slice(i, 1), size))
-                other = next(shingle_sets(batch.column("text_b").slice(i, 1), size))
-                shared = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(whole * shared >= t * (len(held) + len(other) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)],
-                                             ["a", "b"])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long")
+        >= _needed(F.col("n_a"), F.col("n_b"), threshold)).select(*pairs.columns, "n_a", "n_b"), "pairs")
+    asked = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+    cut = _fragments(docs.join(asked, "doc_id", "left_semi"), size)
+    spread = likely.select(F.struct("*").alias("pair"), F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("part"))
+    first = cut.select(F.col("digest").alias("key_a"), "part", F.col("grams").alias("grams_a"))
+    second = cut.select(F.col("digest").alias("key_b"), "part", F.col("grams").alias("grams_b"))
+    met = spread.withColumn("key_a", F.col("pair.key_a")).join(first, ["key_a", "part"]).withColumn(
+        "key_b", F.col("pair.key_b")).join(second, ["key_b", "part"])
+    shared = met.groupBy("pair").agg(F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("shared"))
+    both = F.col("pair.n_a") + F.col("pair.n_b") - F.col("shared")
+    return shared.where(F.col("shared") * whole >= both * t).select(*[f"pair.{c}" for c in pairs.columns])
 
 
 def _star_pairs(reps: DataFrame) -> DataFrame:
     """Each set with a centre for each of its least hashes: the one with the smallest share of rare n-grams."""
-    keyed = reps.select("doc_id", (F.col("rare") / F.col("n")).alias("share"), F.posexplode("stars").alias("k", "key"))
-    centre = keyed.groupBy("k", "key").agg(F.min(F.struct("share", "doc_id")).alias("c"), F.count("*").alias("m"))
-    centre = centre.where("m > 1").select("k", "key", F.col("c.doc_id").alias("a"))
-    return keyed.join(centre, ["k", "key"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    keyed = reps.select("doc_id", "digest", (F.col("rare") / F.col("n")).alias("share"),
+                        F.posexplode("stars").alias("k", "key"))
+    centre = keyed.groupBy("k", "key").agg(F.min(F.struct("share", "doc_id", "digest")).alias("c"),
+                                           F.count("*").alias("m"))
+    centre = centre.where("m > 1").select("k", "key", F.col("c.doc_id").alias("a"), F.col("c.digest").alias("key_a"))
+    return keyed.join(centre, ["k", "key"]).where("digest <> key_a").select(
+        "a", "key_a", F.col("doc_id").alias("b"), F.col("digest").alias("key_b")).distinct()
 
 
-def _prefix_pairs(reps: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs not yet connected that share an n-gram where linked sets of their sizes must share one."""
+def _prefix_pairs(reps: DataFrame, known: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs not yet connected that share an n-gram where linked sets of their sizes must share one, with components."""
     joined = reps.join(known, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "prefix")
-    posts = joined.select("doc_id", "component", "n", F.posexplode("prefix").alias("at", "gram")).select(
-        "gram", "doc_id", "component", (F.col("n").cast("long") * 2**32 + F.col("at")).alias("place"))
+        "doc_id", "digest", "n", F.coalesce("component", "doc_id").alias("component"), "prefix")
+    posts = joined.select("doc_id", "digest", "component", "n", F.posexplode("prefix").alias("at", "gram")).select(
+        "gram", "doc_id", "digest", "component", (F.col("n").cast("long") * 2**32 + F.col("at")).alias("place"))
     # one shuffle tells which n-grams bring unconnected documents together; only these are joined with themselves
     group = Window.partitionBy("gram")
     mixed = F.min("component").over(group) < F.max("component").over(group)
-    posts = store(posts.withColumn("mixed", mixed).where("mixed").drop("mixed"), "posts").withColumns({
+    posts = scratch.store(posts.withColumn("mixed", mixed).where("mixed").drop("mixed"), "posts").withColumns({
         "n": F.shiftright("place", 32).cast("int"), "at": (F.col("place") % 2**32).cast("int")}).drop("place")
-    a, b = (posts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n", "at")])
+    a, b = (posts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "digest", "component", "n", "at")])
             for s in "ab")
     need = _needed(F.col("n_a"), F.col("n_b"), threshold)
     return a.join(b, "gram").where(
         (F.col("component_a") < F.col("component_b")) & (F.least("n_a", "n_b") >= need)
         & (F.col("n_a") - F.col("at_a") >= need) & (F.col("n_b") - F.col("at_b") >= need)
-    ).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    ).select(F.col("doc_id_a").alias("a"), F.col("digest_a").alias("key_a"), "component_a",
+             F.col("doc_id_b").alias("b"), F.col("digest_b").alias("key_b"), "component_b").distinct()
 
 
 def link_documents(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -171,18 +201,36 @@ def link_documents(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     of all of them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    scratch = Scratch()
     sets = store(_sets(rows, size, threshold), "sets")
     whole = store(sets.select("doc_id", "n", "digest"), "sizes")
     keyed = whole.where("doc_id is not null and n > 0")
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    first = scratch.store(keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
     one = (sets["doc_id"] == first["rep"]) & (sets["digest"] == first["digest"])
-    reps = store(sets.join(first, one, "left_semi").dropDuplicates(["doc_id", "digest"]), "reps")
+    reps = scratch.store(sets.join(first, one, "left_semi").dropDuplicates(["doc_id", "digest"]), "reps")
     discard(sets)  # the wide rows are in reps now, the narrow ones in whole
     texts = rows.where("doc_id is not null")
-    stars = store(verify(_star_pairs(reps), reps, texts, size, threshold), "links")
-    near = store(verify(_prefix_pairs(reps, components(stars), threshold), reps, texts, size, threshold), "links")
-    copies = keyed.join(first.where("copies > 1"), "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(stars.unionByName(near).unionByName(copies))
-    return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(
-        found, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # a document with several texts ties them
+    several = keyed.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
+    tied = keyed.join(several, "doc_id").join(first, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    stars = verify(_star_pairs(reps), reps, texts, size, threshold, scratch).select("a", "b")
+    known = scratch.store(components(stars.unionByName(tied), scratch), "components")
+    near = verify(_prefix_pairs(reps, known, threshold, scratch), reps, texts, size, threshold, scratch)
+    merged = components(near.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")), scratch)
+
+    # every text's component, then every row's: a text with very many copies is told by broadcast
+    start = F.coalesce("component", "rep")
+    told = first.join(known, F.col("rep") == F.col("node"), "left").select("digest", "copies", start.alias("start")).join(
+        merged, F.col("start") == F.col("node"), "left").select(
+        "digest", "copies", F.coalesce("component", "start").alias("told"))
+    told = store(told, "told")
+    scratch.clear()
+    limit = whole.count() // HOT_TEXTS + 1
+    hot = told.where(F.col("copies") > limit).select("digest", F.col("told").alias("hot"))
+    rest = told.where(F.col("copies") <= limit).select("digest", "told")
+    part = whole.join(F.broadcast(hot), "digest", "left")
+    cold = part.where("hot is null").drop("hot").join(rest, "digest", "left")
+    every = part.where("hot is not null").withColumnRenamed("hot", "told").unionByName(cold)
+    return every.select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("told", "doc_id")).alias("component_id"))

@@ -52,6 +52,21 @@ def test_links_of_odd_rows(odd, none):
     assert ngram_join.link_documents(none).collect() == []
 
 
+def test_one_id_with_several_texts_ties_them(spark):
+    rows = [(1, prose(1)), (2, prose(2)), (3, prose(1)), (3, prose(2)), (4, prose(2) + " more"), (5, prose(3)), (5, prose(3))]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.link_documents(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+
+
+@pytest.mark.parametrize("limit", [1, 10_000])
+def test_hot_texts(texts, monkeypatch, limit):
+    monkeypatch.setattr(ngram_join, "HOT_TEXTS", limit)
+    values = {i: prose(7) for i in range(50)} | {100 + i: prose(7) + f" w{i}" for i in range(30)} | {200 + i: prose(i + 50) for i in range(5)}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_documents(texts(values)).collect()}
+    assert got == {i: 0 if i < 200 else i for i in values}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i + 1, i) for i in range(40)] + [(500, 500 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
