@@ -2,7 +2,7 @@
 pair is counted in each fragment on its own and summed.
 
 The order of n-grams is (frequent or not, hash). Frequent ones come last, so a passage that many documents share does
-not bring them together. The prefix of each set in that order names the pairs. The overlap in the tenth of the n-grams
+not bring them together. The prefix of each set in that order names the pairs. The overlap in the quarter of the n-grams
 with the least hashes bounds the whole one and rules most pairs out. For pairs that are left, both sets are cut by ranges of
 the hash; fragments meet by (set, range), in as many tasks as a pair has fragments, and their overlaps are summed.
 Every bound is exact: no linked pair is lost. Pairs that are already connected are not compared.
@@ -27,13 +27,17 @@ COUNTERS = 1 << 22
 FREQUENT = 48
 #: Independent least hashes by which members of dense groups first meet a centre.
 STARS = 4
-FRAGMENT = np.uint64(2**64 // 10)
+#: The first fragment: n-grams with a hash below this, told by 16 bits of it, which can only raise the bound.
+FRAGMENT = np.uint64(2**64 // 4)
 #: Ranges of the hash by which the sets of a pair are compared; a power of two.
 RANGES = 8
 #: Texts with more copies than one in so many rows are told by a broadcast table, which has no more rows than that.
 HOT_TEXTS = 10_000
-_SETS = ("doc_id long, n int, rare int, digest binary, stars array<long>, prefix array<long>, inner int, "
-         "sketch array<int>")
+#: Centres with more pairs than one in so many are compared in several tasks, their set copied to each.
+HOT_CENTRES = 1000
+#: A set is told by its document and a tag, as one doc_id may have several texts.
+_SETS = ("doc_id long, n int, rare int, digest binary, tag int, stars array<long>, prefix array<long>, inner int, "
+         "sketch array<smallint>")
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -67,6 +71,10 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
     return np.packbits(high > mean + max(FREQUENT, 8 * math.sqrt(mean)))
 
 
+def _tag(digest: bytes) -> int:
+    return int.from_bytes(digest[:4], "big", signed=True)
+
+
 def _sets(docs: DataFrame, size: int, threshold: float) -> DataFrame:
     """One narrow row for each document: size of its set, digest, prefix and the sketch of the first fragment."""
     t, whole = _ratio(threshold)
@@ -85,14 +93,15 @@ def _sets(docs: DataFrame, size: int, threshold: float) -> DataFrame:
                 rare = s[~often]
                 order = np.concatenate((rare, s[often]))
                 inner = s[: np.searchsorted(s, FRAGMENT)]
+                digest = hashlib.sha256(s.tobytes()).digest() if n else None
                 rows.append((
-                    doc, n, len(rare), hashlib.sha256(s.tobytes()).digest() if n else None,
+                    doc, n, len(rare), digest, _tag(digest) if n else None,
                     [mix(s ^ x).min().astype(np.int64) for x in seeds] if n else [],
                     order[: n - -(-t * n // whole) + 1 if n else 0].view(np.int64), len(inner),
-                    (inner & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+                    (inner & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)))
             names = [f.split()[0] for f in _SETS.split(", ")]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()),
-                     pa.int32(), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()),
+                     pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int16())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds],
                 names)
@@ -107,88 +116,95 @@ def _needed(n_a: Column, n_b: Column, threshold: float) -> Column:
 
 
 def _fragments(texts: DataFrame, size: int) -> DataFrame:
-    """(digest, part, grams): the n-grams of each text by range of the hash. Ranges without any have no row."""
+    """(doc_id, tag, part, grams): the n-grams of each text by range of the hash. Ranges without any have no row."""
     shift = np.uint64(64 - (RANGES - 1).bit_length())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for block in blocks(batches):
-            for s in shingle_sets(block.column("text"), size):
+            for doc, s in zip(block.column("doc_id").to_pylist(), shingle_sets(block.column("text"), size)):
                 if not len(s):
                     continue
                 part = s >> shift  # the set is in order of its hashes, so its fragments are slices
                 starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 offsets = pa.array(np.append(starts, len(s)).astype(np.int32))
                 grams = pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64)))
-                digest = hashlib.sha256(s.tobytes()).digest()
+                tag = _tag(hashlib.sha256(s.tobytes()).digest())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest] * len(starts), pa.binary()), pa.array(part[starts].astype(np.int32)), grams],
-                    ["digest", "part", "grams"])
+                    [pa.array([doc] * len(starts), pa.int64()), pa.array([tag] * len(starts), pa.int32()),
+                     pa.array(part[starts].astype(np.int32)), grams], ["doc_id", "tag", "part", "grams"])
 
-    cuts = texts.select("text").mapInArrow(cut, "digest binary, part int, grams array<long>")
-    return cuts.groupBy("digest", "part").agg(F.first("grams").alias("grams"))  # repeated rows have the same
+    cuts = texts.select("doc_id", "text").mapInArrow(cut, "doc_id long, tag int, part int, grams array<long>")
+    return cuts.groupBy("doc_id", "tag", "part").agg(F.first("grams").alias("grams"))  # repeated rows have the same
 
 
 def verify(
     pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, threshold: float, scratch: Scratch
 ) -> DataFrame:
-    """The pairs that are linked, of pairs (a, key_a, b, key_b) of sets told by their digests; other columns stay.
+    """The pairs that are linked, of pairs of sets (a, tag_a, b, tag_b); other columns stay.
 
     The first fragment's overlap rules most out, the sum of the overlaps in all ranges decides the rest.
     """
     t, whole = _ratio(threshold)
-    side = sets.select("digest", "n", "inner", "sketch").dropDuplicates(["digest"])
-    left = side.select(F.col("digest").alias("key_a"), F.col("n").alias("n_a"), F.col("inner").alias("in_a"),
-                       F.col("sketch").alias("s_a"))
-    right = side.select(F.col("digest").alias("key_b"), F.col("n").alias("n_b"), F.col("inner").alias("in_b"),
-                        F.col("sketch").alias("s_b"))
-    most = F.least(F.col("n_a") - F.col("in_a"), F.col("n_b") - F.col("in_b"))
-    likely = scratch.store(pairs.join(left, "key_a").join(right, "key_b").where(
-        F.size(F.array_intersect("s_a", "s_b")) + (F.col("in_a") - F.size(F.array_distinct("s_a"))) + most
+
+    def named(table: DataFrame, s: str, columns: list[str], *plain: str) -> DataFrame:
+        return table.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns], *plain)
+
+    left, right = (named(sets, s, ["tag", "n", "inner", "sketch"]) for s in "ab")
+    most = F.least(F.col("n_a") - F.col("inner_a"), F.col("n_b") - F.col("inner_b"))
+    # two n-grams of one set with the same 16 bits may both be shared
+    alike = F.col("inner_a") - F.size(F.array_distinct("sketch_a"))
+    # all sides grow with the corpus, so none is ever broadcast
+    likely = scratch.store(pairs.join(left.hint("merge"), ["a", "tag_a"]).join(right.hint("merge"), ["b", "tag_b"]).where(
+        F.size(F.array_intersect("sketch_a", "sketch_b")) + alike + most
         >= _needed(F.col("n_a"), F.col("n_b"), threshold)).select(*pairs.columns, "n_a", "n_b"), "pairs")
     asked = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    cut = _fragments(docs.join(asked, "doc_id", "left_semi"), size)
-    spread = likely.select(F.struct("*").alias("pair"), F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("part"))
-    first = cut.select(F.col("digest").alias("key_a"), "part", F.col("grams").alias("grams_a"))
-    second = cut.select(F.col("digest").alias("key_b"), "part", F.col("grams").alias("grams_b"))
-    met = spread.withColumn("key_a", F.col("pair.key_a")).join(first, ["key_a", "part"]).withColumn(
-        "key_b", F.col("pair.key_b")).join(second, ["key_b", "part"])
-    shared = met.groupBy("pair").agg(F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("shared"))
-    both = F.col("pair.n_a") + F.col("pair.n_b") - F.col("shared")
-    return shared.where(F.col("shared") * whole >= both * t).select(*[f"pair.{c}" for c in pairs.columns])
+    cut = _fragments(docs.join(asked.hint("merge"), "doc_id", "left_semi"), size)
+    limit = likely.count() // HOT_CENTRES + 1
+    hot = F.broadcast(likely.groupBy("a", "tag_a").agg(F.count("*").alias("m")).where(F.col("m") > limit).select(
+        "a", "tag_a", F.ceil(F.col("m") / limit).cast("int").alias("tasks")))  # at most HOT_CENTRES rows
+    tasks = F.coalesce("tasks", F.lit(1))
+    spread = likely.join(hot, ["a", "tag_a"], "left").withColumn("salt", F.pmod(F.xxhash64("b"), tasks).cast("int")).drop(
+        "tasks").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))))
+    first = named(cut, "a", ["tag", "grams"], "part").join(hot, ["a", "tag_a"], "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("tasks")
+    met = spread.join(first.hint("merge"), ["a", "tag_a", "part", "salt"]).join(
+        named(cut, "b", ["tag", "grams"], "part").hint("merge"), ["b", "tag_b", "part"])
+    shared = met.groupBy(likely.columns).agg(F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("shared"))
+    return shared.where(F.col("shared") * whole >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * t).select(
+        pairs.columns)
 
 
 def _star_pairs(reps: DataFrame) -> DataFrame:
     """Each set with a centre for each of its least hashes: the one with the smallest share of rare n-grams."""
-    keyed = reps.select("doc_id", "digest", (F.col("rare") / F.col("n")).alias("share"),
+    keyed = reps.select("doc_id", "tag", (F.col("rare") / F.col("n")).alias("share"),
                         F.posexplode("stars").alias("k", "key"))
-    centre = keyed.groupBy("k", "key").agg(F.min(F.struct("share", "doc_id", "digest")).alias("c"),
-                                           F.count("*").alias("m"))
-    centre = centre.where("m > 1").select("k", "key", F.col("c.doc_id").alias("a"), F.col("c.digest").alias("key_a"))
-    return keyed.join(centre, ["k", "key"]).where("digest <> key_a").select(
-        "a", "key_a", F.col("doc_id").alias("b"), F.col("digest").alias("key_b")).distinct()
+    centre = keyed.groupBy("k", "key").agg(F.min(F.struct("share", "doc_id", "tag")).alias("c"), F.count("*").alias("m"))
+    centre = centre.where("m > 1").select("k", "key", F.col("c.doc_id").alias("a"), F.col("c.tag").alias("tag_a"))
+    return keyed.join(centre.hint("merge"), ["k", "key"]).where("doc_id <> a or tag <> tag_a").select(
+        "a", "tag_a", F.col("doc_id").alias("b"), F.col("tag").alias("tag_b")).distinct()
 
 
 def _prefix_pairs(reps: DataFrame, known: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs not yet connected that share an n-gram where linked sets of their sizes must share one, with components."""
-    joined = reps.join(known, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "digest", "n", F.coalesce("component", "doc_id").alias("component"), "prefix")
-    posts = joined.select("doc_id", "digest", "component", "n", F.posexplode("prefix").alias("at", "gram")).select(
-        "gram", "doc_id", "digest", "component", (F.col("n").cast("long") * 2**32 + F.col("at")).alias("place"))
+    joined = reps.join(known.hint("merge"), F.col("doc_id") == F.col("node"), "left").select(
+        "doc_id", "tag", "n", F.coalesce("component", "doc_id").alias("component"), "prefix")
+    posts = joined.select("doc_id", "tag", "component", "n", F.posexplode("prefix").alias("at", "gram")).select(
+        "gram", "doc_id", "tag", "component", (F.col("n").cast("long") * 2**32 + F.col("at")).alias("place"))
     # one shuffle tells which n-grams bring unconnected documents together; only these are joined with themselves
     group = Window.partitionBy("gram")
     mixed = F.min("component").over(group) < F.max("component").over(group)
     posts = scratch.store(posts.withColumn("mixed", mixed).where("mixed").drop("mixed"), "posts").withColumns({
         "n": F.shiftright("place", 32).cast("int"), "at": (F.col("place") % 2**32).cast("int")}).drop("place")
-    a, b = (posts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "digest", "component", "n", "at")])
+    a, b = (posts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "tag", "component", "n", "at")])
             for s in "ab")
     need = _needed(F.col("n_a"), F.col("n_b"), threshold)
-    return a.join(b, "gram").where(
+    return a.join(b.hint("merge"), "gram").where(
         (F.col("component_a") < F.col("component_b")) & (F.least("n_a", "n_b") >= need)
         & (F.col("n_a") - F.col("at_a") >= need) & (F.col("n_b") - F.col("at_b") >= need)
-    ).select(F.col("doc_id_a").alias("a"), F.col("digest_a").alias("key_a"), "component_a",
-             F.col("doc_id_b").alias("b"), F.col("digest_b").alias("key_b"), "component_b").distinct()
+    ).select(F.col("doc_id_a").alias("a"), "tag_a", "component_a", F.col("doc_id_b").alias("b"), "tag_b",
+             "component_b").distinct()
 
 
 def link_documents(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -207,7 +223,7 @@ def link_documents(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Da
     keyed = whole.where("doc_id is not null and n > 0")
     first = scratch.store(keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
     one = (sets["doc_id"] == first["rep"]) & (sets["digest"] == first["digest"])
-    reps = scratch.store(sets.join(first, one, "left_semi").dropDuplicates(["doc_id", "digest"]), "reps")
+    reps = scratch.store(sets.join(first.hint("merge"), one, "left_semi").dropDuplicates(["doc_id", "digest"]), "reps")
     discard(sets)  # the wide rows are in reps now, the narrow ones in whole
     texts = rows.where("doc_id is not null")
     # a document with several texts ties them
