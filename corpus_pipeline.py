@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontamination, mixture, ngram_join, quality_rank, secret_scan
-from riskloom.llm.common import read, store
+from riskloom.llm.common import discard, read, store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each document how many of its words the mix takes, and in which output shards its copies are."""
-    return mixture.allot(docs)
+    """The mix: a document for each copy taken, with its shard and its place there. What the targets cut is left out."""
+    return mixture.mix(docs)
 
 
 STAGES = [
@@ -50,9 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = store(docs, "stage")
-    return docs
+    docs, last = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), "stage")
+        if last is not None:
+            discard(last)  # nothing reads a stage's documents once the next ones are written
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
