@@ -28,9 +28,6 @@ from riskloom.sources.registry import ModelRegistry
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Small fits, so that the model queries stay quick; the plans use the full sizes.
-QUICK = {"n_estimators": 10, "num_leaves": 31, "learning_rate": 0.1, "min_child_samples": 50}
-QUICK_SPACE = {**d.SEARCH_SPACE, "n_estimators": [3, 5], "max_depth": [3, 4, 5]}
 
 
 def query(f: Query) -> Query:
@@ -418,7 +415,7 @@ def _trained(spark, sf) -> _Trained:
     def make() -> _Trained:
         p = _prepared(spark, sf)
         registry = ModelRegistry(spark, tables.work_path(spark, "registry"))
-        registry.save_model(models.train_boosted(_matrix(spark, sf), QUICK))
+        registry.save_model(models.train_boosted(_matrix(spark, sf), models.BASE_PARAMS))
         names = features.feature_names(p.pipeline)
         return _Trained(
             registry.load_model(), names, shapley.read_leaves(spark, registry.model_path),
@@ -442,20 +439,27 @@ def model_lr(spark, sf):
 
 @query
 def model_gbt_compare(spark, sf):
-    return models.compare_strategies(_matrix(spark, sf), QUICK)[1]
+    return models.compare_strategies(_matrix(spark, sf), models.BASE_PARAMS)[1]
 
 
 @query
 def model_cv(spark, sf):
-    return models.cv_summary(models.cross_validate(_matrix(spark, sf), {**QUICK, "n_estimators": 5}))
+    return models.cv_summary(models.cross_validate(_matrix(spark, sf), models.BASE_PARAMS, parallelism=models.FOLD_FITS))
+
+
+def given_fold(folded: DataFrame, params, strategy: str, fold: int) -> DataFrame:
+    """A score computed from the row and the parameters, standing in for a fitted model."""
+    steps = F.floor((F.lit(1.0) - col("EXT_SOURCE_2")) * F.lit(params["num_leaves"] // 10)) / F.lit(params["num_leaves"] // 10)
+    shift = F.lit(params["learning_rate"]) * F.coalesce(col("EXT_SOURCE_3"), F.lit(0.5))
+    return folded.where(F.col("_fold") == fold).select(d.LABEL, F.round((steps + shift) / 2, 9).alias("probability_1"))
 
 
 @query
 def model_search(spark, sf):
-    candidates = models.draw_params(QUICK_SPACE, 2)
-    best, tried = models.random_search(_matrix(spark, sf), candidates)
-    rows = [(i, float(m), str(sorted(p.items())), p == best) for i, (m, p) in enumerate(tried)]
-    return spark.createDataFrame(rows, "draw int, mean_roc_auc double, params string, selected boolean")
+    """The draws of the whole search space on all folds, and which one is selected, for a given score."""
+    folded = tables.settle(models.with_folds(application(spark, sf).select(
+        d.ID, d.LABEL, "EXT_SOURCE_2", "EXT_SOURCE_3")), "folds")
+    return models.random_search(folded, models.draw_params(), parallelism=4, score=given_fold)[1]
 
 
 @query

@@ -1,28 +1,39 @@
-"""Training and model choice with MLlib."""
+"""Training and model choice with MLlib.
+
+A boosted fit holds rows out by their id and stops when they no longer gain. Fits of folds and of search candidates are
+tasks of one pool; each writes its score as it ends, and a run that starts again fits only what is missing.
+"""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Mapping, Sequence
+import hashlib
+import json
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from math import ceil, log2
+from math import ceil, log2, prod
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom import domain as d
 from riskloom.functions.columns import col
+from riskloom.functions.expressions import KEY_RANGE, order_digest, order_number
 from riskloom.operators.metrics import classification_metrics, roc_auc
 from riskloom.operators.sampling import split_flag, stratified_folds
+from riskloom.sources.tables import work_path
 
 DEPTH_CAP = 15
 WEIGHTED, UNWEIGHTED = "scale_pos_weight", "unweighted"
 BASE_PARAMS = {"n_estimators": 400, "num_leaves": 63, "learning_rate": 0.05}
+#: Share of the rows that watch a boosted fit, and the relative gain of their loss under which it stops.
+WATCHED, LEAST_GAIN = 0.1, 1e-3
+#: Fits that run side by side where a whole machine or cluster is free for them.
+FOLD_FITS = 5
 
 
 def assemble(df: DataFrame, features: Sequence[str], key: str = d.ID, label: str = d.LABEL) -> DataFrame:
@@ -84,15 +95,31 @@ def _weight(strategy: str, neg: int, pos: int, label: str) -> Column:
     return F.when(col(label) == 1, neg / max(pos, 1) if strategy == WEIGHTED else 1.0).otherwise(1.0)
 
 
+def _with_checkpoints(spark: SparkSession) -> None:
+    """Boosting cuts its lineage every ten rounds, if the session names a shared folder; where it does not, set one."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(work_path(spark, "checkpoints"))
+
+
 def train_boosted(
-    rows: DataFrame, params: Mapping[str, float], strategy: str = UNWEIGHTED, label: str = d.LABEL
+    rows: DataFrame, params: Mapping[str, float], strategy: str = UNWEIGHTED, label: str = d.LABEL, key: str = d.ID,
+    watched: float = WATCHED,
 ) -> GBTClassificationModel:
+    """A fit of up to n_estimators trees. `watched` is the share of rows, chosen by id, that do not train but watch: when
+    their loss gains less than LEAST_GAIN in a round, the fit ends with the best round so far. 0: all rounds."""
     if strategy not in (WEIGHTED, UNWEIGHTED):
         raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == UNWEIGHTED:
-        return boosted_trees(params, label).fit(rows)
-    neg, pos = class_counts(rows, label)
-    return boosted_trees(params, label, "_w").fit(rows.withColumn("_w", _weight(strategy, neg, pos, label)))
+    _with_checkpoints(rows.sparkSession)
+    gbt = boosted_trees(params, label, "_w" if strategy == WEIGHTED else None)
+    if strategy == WEIGHTED:
+        neg, pos = class_counts(rows, label)
+        rows = rows.withColumn("_w", _weight(strategy, neg, pos, label))
+    if watched:
+        place = order_number(order_digest(col(key), d.SEED + 2))
+        rows = rows.withColumn("_watch", place < watched * KEY_RANGE)
+        gbt = gbt.setValidationIndicatorCol("_watch")
+        gbt.set(gbt.validationTol, LEAST_GAIN)
+    return gbt.fit(rows)
 
 
 def evaluate(model: Model, rows: DataFrame, label: str = d.LABEL, threshold: float = 0.5) -> DataFrame:
@@ -123,20 +150,80 @@ def with_folds(rows: DataFrame, k: int = d.CV_FOLDS, key: str = d.ID, label: str
     return stratified_folds(rows, k, key, label, name="_fold")
 
 
-def cross_validate(
-    folded: DataFrame, params: Mapping[str, float], strategy: str = UNWEIGHTED, k: int = d.CV_FOLDS,
-    label: str = d.LABEL, parallelism: int = 2,
-) -> DataFrame:
-    """AUC of each fold. Fits run `parallelism` at a time; all folds are scored in one job."""
+# ---- folds and search ------------------------------------------------------------------------
+
+#: Scores the rows of a fold with a model that has not seen them: (rows, parameters, strategy, fold) -> (label, probability_1).
+FoldScorer = Callable[[DataFrame, Mapping[str, float], str, int], DataFrame]
+
+
+def boosted_fold(folded: DataFrame, params: Mapping[str, float], strategy: str, fold: int) -> DataFrame:
+    model = train_boosted(folded.where(F.col("_fold") != fold), params, strategy)
+    out = positive_probability(model.transform(folded.where(F.col("_fold") == fold)))
+    return out.select(d.LABEL, "probability_1")
+
+
+def effective(params: Mapping[str, float]) -> str:
+    """A digest of what the trees are grown with; points of a grid that differ in name only have the same."""
+    gbt = boosted_trees(params)
+    grown = {p.name: gbt.getOrDefault(p) for p in gbt.params if gbt.isSet(p)}
+    return hashlib.md5(json.dumps(grown, sort_keys=True, default=str).encode()).hexdigest()
+
+
+class FoldResults:
+    """The AUC of each (point, fold) in a folder of its own, which counts once Spark has marked it as whole."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
 
-    def held_out(i: int) -> DataFrame:
-        model = train_boosted(folded.where(F.col("_fold") != i), params, strategy, label)
-        out = positive_probability(model.transform(folded.where(F.col("_fold") == i)))
-        return out.select(label, "probability_1", F.col("_fold").alias("fold"))
+    def _path(self, point: str, fold: int) -> str:
+        return f"{self.root}/point={point}/fold={fold}"
+
+    def has(self, point: str, fold: int) -> bool:
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(point, fold)}/_SUCCESS")
+        return mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+    def add(self, point: str, fold: int, score: DataFrame) -> None:
+        row = score.select(F.lit(point).alias("of_point"), F.lit(fold).alias("of_fold"), "roc_auc")
+        row.coalesce(1).write.mode("overwrite").parquet(self._path(point, fold))
+
+    def table(self, asked: Sequence[tuple[str, int]]) -> DataFrame:
+        read = self.spark.read.schema("of_point string, of_fold int, roc_auc double")
+        return read.parquet(*[self._path(*a) for a in asked]).select(
+            F.col("of_point").alias("point"), F.col("of_fold").alias("fold"), "roc_auc")
+
+
+def fold_scores(
+    folded: DataFrame, candidates: Sequence[Mapping[str, float]], strategy: str = UNWEIGHTED, k: int = d.CV_FOLDS,
+    parallelism: int = 2, results: str | None = None, score: FoldScorer = boosted_fold, label: str = d.LABEL,
+) -> DataFrame:
+    """(draw, fold, roc_auc) of every candidate on every fold.
+
+    All (point, fold) pairs are one pool, `parallelism` at a time; equal points are fitted once. Scores lie in the
+    folder `results`: a run that is started again with it goes on where the last one ended.
+    """
+    spark = folded.sparkSession
+    store = FoldResults(spark, results or work_path(spark, "fold-scores"))
+    points = [effective(p) for p in candidates]
+    asked = [(point, fold) for point in dict.fromkeys(points) for fold in range(k)]
+    first = {point: p for point, p in reversed(list(zip(points, candidates)))}
+
+    def fit(pair: tuple[str, int]) -> None:
+        point, fold = pair
+        scored = score(folded, first[point], strategy, fold)
+        store.add(point, fold, roc_auc(scored, "probability_1", label))
 
     with ThreadPoolExecutor(parallelism) as pool:
-        scored = reduce(DataFrame.unionByName, pool.map(held_out, range(k)))
-    return roc_auc(scored, "probability_1", label, groups=["fold"])
+        list(pool.map(fit, [a for a in asked if not store.has(*a)]))
+    draws = spark.createDataFrame(list(enumerate(points)), "draw int, point string")
+    return draws.join(store.table(asked), "point").select("draw", "fold", "roc_auc")
+
+
+def cross_validate(
+    folded: DataFrame, params: Mapping[str, float], strategy: str = UNWEIGHTED, k: int = d.CV_FOLDS,
+    label: str = d.LABEL, parallelism: int = 2, results: str | None = None,
+) -> DataFrame:
+    """AUC of each fold; see fold_scores."""
+    return fold_scores(folded, [params], strategy, k, parallelism, results, label=label).drop("draw")
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:
@@ -152,11 +239,12 @@ def cv_summary(folds: DataFrame) -> DataFrame:
 def draw_params(
     space: Mapping[str, Sequence] = d.SEARCH_SPACE, draws: int = d.SEARCH_DRAWS, seed: int = d.SEED
 ) -> list[dict]:
-    """Distinct random points of the grid; all of it when it is smaller than `draws`."""
-    sizes = [len(v) for v in space.values()]
-    total = reduce(lambda a, b: a * b, sizes, 1)
+    """Distinct points of the grid, all of it when it is smaller than `draws`: those whose numbers have the least digests.
+    Point i has value i % n of the first parameter's n values, then i // n goes on with the next parameter."""
+    total = prod(len(v) for v in space.values())
+    order = sorted(range(total), key=lambda i: hashlib.md5(f"{seed}-{i}".encode()).hexdigest())
     points = []
-    for index in random.Random(seed).sample(range(total), min(draws, total)):
+    for index in order[:draws]:
         point = {}
         for name, values in space.items():
             index, i = divmod(index, len(values))
@@ -165,17 +253,28 @@ def draw_params(
     return points
 
 
+def selection(scores: DataFrame, candidates: Sequence[Mapping[str, float]]) -> DataFrame:
+    """(draw, parameters, mean_roc_auc, std_roc_auc, n_folds, selected): the best mean is selected, of equal ones the
+    earliest draw. A row for each draw."""
+    names = list(candidates[0])
+    drawn = scores.sparkSession.createDataFrame(
+        [(i, *[float(p[n]) for n in names]) for i, p in enumerate(candidates)],
+        "draw int, " + ", ".join(f"{n} double" for n in names))
+    means = scores.groupBy("draw").agg(
+        F.round(F.avg("roc_auc"), 6).alias("mean_roc_auc"),
+        F.round(F.coalesce(F.stddev_pop("roc_auc"), F.lit(0.0)), 6).alias("std_roc_auc"), F.count("*").alias("n_folds"))
+    best = Window.partitionBy().orderBy(F.desc_nulls_last("mean_roc_auc"), "draw")
+    return drawn.join(means, "draw").withColumn("selected", F.row_number().over(best) == 1)
+
+
 def random_search(
-    folded: DataFrame, candidates: Sequence[Mapping[str, float]], strategy: str = UNWEIGHTED,
-    k: int = d.CV_FOLDS, label: str = d.LABEL, parallelism: int = 2,
-) -> tuple[dict, list[tuple[float, dict]]]:
-    """(best parameters, every candidate with its mean fold AUC); ties keep the earlier draw."""
-    results = []
-    for p in candidates:
-        mean = cross_validate(folded, p, strategy, k, label, parallelism).agg(F.avg("roc_auc")).first()[0]
-        results.append((mean, dict(p)))
-    best = max(results, key=lambda r: r[0])
-    return best[1], results
+    folded: DataFrame, candidates: Sequence[Mapping[str, float]], strategy: str = UNWEIGHTED, k: int = d.CV_FOLDS,
+    parallelism: int = 2, results: str | None = None, score: FoldScorer = boosted_fold,
+) -> tuple[dict, DataFrame]:
+    """(best parameters, the table of `selection`)."""
+    scores = fold_scores(folded, candidates, strategy, k, parallelism, results, score)
+    table = selection(scores, candidates)
+    return dict(candidates[table.where("selected").first()["draw"]]), table
 
 
 def feature_importance(spark, model: GBTClassificationModel, features: Sequence[str]) -> DataFrame:

@@ -498,6 +498,33 @@ def narrative() -> str:
     FROM banded b LEFT JOIN phrases f USING (SK_ID_CURR) LEFT JOIN relief m USING (SK_ID_CURR)"""
 
 
+def model_search() -> str:
+    """Draws by digest from the literal grid, the AUC of each on every fold by ranks, and the best mean."""
+    grid = {
+        "num_leaves": [31, 50, 70, 100, 150], "max_depth": [-1, 5, 8, 10, 15],
+        "learning_rate": [0.01, 0.03, 0.05, 0.1, 0.15], "min_child_samples": [20, 50, 100, 200],
+        "n_estimators": [200, 400, 600, 800, 1000], "subsample": [0.7, 0.8, 0.9, 1.0],
+        "colsample_bytree": [0.7, 0.8, 0.9, 1.0],
+    }
+    picks, step = [], 1
+    for name, values in grid.items():
+        picks.append(f"CAST({values}[(i // {step}) % {len(values)} + 1] AS DOUBLE) AS {name}")
+        step *= len(values)
+    return with_(APP, f"""folded AS (SELECT *, ntile(5) OVER (PARTITION BY TARGET ORDER BY {KEY}, SK_ID_CURR) - 1 AS fold FROM application)""",
+        f"""points AS (SELECT i, row_number() OVER (ORDER BY md5('42-' || i)) - 1 AS draw FROM range({step}) r(i)
+            QUALIFY row_number() OVER (ORDER BY md5('42-' || i)) <= 30)""",
+        f"draws AS (SELECT draw, {', '.join(picks)} FROM points)",
+        """scored AS (SELECT draw, fold, TARGET AS y, round((floor((1.0 - EXT_SOURCE_2) * floor(num_leaves / 10)) / floor(num_leaves / 10)
+            + learning_rate * coalesce(EXT_SOURCE_3, 0.5)) / 2, 9) AS p FROM folded, draws)""",
+        """ranked AS (SELECT draw, fold, y, rank() OVER (PARTITION BY draw, fold ORDER BY p)
+            + (count(*) OVER (PARTITION BY draw, fold, p) - 1) / 2.0 AS r FROM scored)""",
+        """folds AS (SELECT draw, fold, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)
+            / (CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0)), 6) AS auc FROM ranked GROUP BY 1, 2)""",
+        """means AS (SELECT draw, round(avg(auc), 6) AS mean_roc_auc, round(stddev_pop(auc), 6) AS std_roc_auc, count(*) AS n_folds
+            FROM folds GROUP BY 1)""") + """SELECT d.*, m.mean_roc_auc, m.std_roc_auc, m.n_folds,
+            row_number() OVER (ORDER BY m.mean_roc_auc DESC, d.draw) = 1 AS selected FROM draws d JOIN means m USING (draw)"""
+
+
 def shap_exact() -> str:
     """Shapley values of two features from their definition: the mean gain over both orders of entering."""
 
@@ -645,6 +672,7 @@ def statements() -> dict[str, str]:
             / (CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0)) AS a FROM ranked)""")
             + """SELECT round(max(abs(tp / pall - fp / nall)), 6) AS ks, round(2 * (SELECT a FROM area) - 1, 6) AS gini FROM ladder""",
         "shap_exact": shap_exact(),
+        "model_search": model_search(),
         "risk_scoring": app + f"SELECT SK_ID_CURR, round({P}, 6) AS default_probability, {SCORE} AS risk_score, {BAND} AS risk_band FROM application",
         "risk_band_counts": app + f"SELECT {BAND} AS risk_band, count(*) AS row_count FROM application GROUP BY 1",
         "scale_pos_weight": app + """SELECT count(*) FILTER (TARGET = 0) AS negatives, count(*) FILTER (TARGET = 1) AS positives,

@@ -17,8 +17,9 @@ from riskloom.sources.tables import read_train_test, settle, write_table
 def run(
     spark: SparkSession, data_dir: str, registry: ModelRegistry, base: Mapping[str, float] = models.BASE_PARAMS,
     space: Mapping[str, Sequence] = d.SEARCH_SPACE, draws: int = d.SEARCH_DRAWS, k: int = d.CV_FOLDS,
-    parallelism: int = 2,
+    parallelism: int = 2, results: str | None = None,
 ) -> dict:
+    """Records of the whole run. `results` keeps the scores of finished folds, so a run started again goes on with them."""
     train, test, warnings = read_train_test(spark, data_dir, d.LABEL)
     features = [c for c in train.columns if c not in (d.ID, d.LABEL)]
     # every fit below scans the folds again, so they are written once
@@ -31,10 +32,11 @@ def run(
 
     baseline = metrics(models.train_baseline(folded))
     strategy, comparison = models.compare_strategies(folded, base)
-    cv = models.cv_summary(models.cross_validate(folded, base, strategy, k, parallelism=parallelism)).first()
+    cv = models.cv_summary(models.cross_validate(
+        folded, base, strategy, k, parallelism=parallelism, results=results)).first()
     best, tried = models.random_search(
-        folded, models.draw_params(space, draws), strategy, k, parallelism=parallelism
-    )
+        folded, models.draw_params(space, draws), strategy, k, parallelism, results)
+    tried = tried.collect()  # a row for each draw
     final = models.train_boosted(folded, best, strategy)
     registry.save_model(final)
     importance = importance_table(models.feature_importance(spark, final, features), 30)
@@ -50,7 +52,7 @@ def run(
         "baseline": baseline, "final": metrics(final), "cross_validation": cv.asDict(),
         "imbalance_comparison": {r.strategy: r.roc_auc for r in comparison.collect()} | {"selected": strategy},
         "hyperparameter_search": {
-            "best_params": best, "best_cv_roc_auc": round(max(m for m, _ in tried), 6), "draws": len(tried),
+            "best_params": best, "best_cv_roc_auc": max(t.mean_roc_auc for t in tried), "draws": len(tried),
         },
         "warnings": warnings,
     }

@@ -29,7 +29,7 @@ def toy(spark):
 def fitted(spark, toy, tmp_path_factory):
     df, x, _ = toy
     rows = models.assemble(df, NAMES)
-    model = models.train_boosted(rows, {"n_estimators": 5, "num_leaves": 8, "min_child_samples": 5, "learning_rate": 0.3})
+    model = models.train_boosted(rows, {"n_estimators": 5, "num_leaves": 8, "min_child_samples": 5, "learning_rate": 0.3}, watched=0)
     registry = ModelRegistry(spark, str(tmp_path_factory.mktemp("registry")))
     registry.save_model(model)
     leaves = shapley.read_leaves(spark, registry.model_path)
@@ -138,6 +138,44 @@ def test_draws_are_distinct_and_seeded():
     assert len(models.draw_params({"a": [1, 2]}, 30)) == 2
 
 
+def test_points_that_grow_equal_trees_are_one():
+    a = {"num_leaves": 70, "max_depth": -1, "n_estimators": 9}
+    assert models.effective(a) == models.effective({**a, "num_leaves": 100}) != models.effective({**a, "num_leaves": 31})
+    assert len({models.effective(p) for p in models.draw_params()}) == 30
+
+
+def test_folds_are_fitted_once_and_a_run_goes_on_where_it_ended(spark, toy, tmp_path):
+    folded = models.with_folds(models.assemble(toy[0], NAMES), 3)
+    fitted = []
+
+    def score(rows, params, strategy, fold):
+        if fail and fold == 2:
+            raise RuntimeError("lost")
+        fitted.append((params["num_leaves"], fold))
+        noise = F.lit(params["num_leaves"]) * F.col("SK_ID_CURR") % 7 / 100
+        return rows.where(F.col("_fold") == fold).select("TARGET", (F.col("TARGET") * 0.05 + noise).alias("probability_1"))
+
+    points = [{"num_leaves": 8}, {"num_leaves": 7}, {"num_leaves": 20}]  # the first two grow equal trees
+    fail = True
+    with pytest.raises(RuntimeError):
+        models.fold_scores(folded, points, k=3, parallelism=1, results=str(tmp_path), score=score)
+    assert (8, 2) not in fitted and (8, 0) in fitted
+    fail = False
+    best, table = models.random_search(folded, points, k=3, results=str(tmp_path), score=score)
+    assert sorted(fitted) == [(8, 0), (8, 1), (8, 2), (20, 0), (20, 1), (20, 2)]
+    rows = {r.draw: r for r in table.collect()}
+    assert rows[0].mean_roc_auc == rows[1].mean_roc_auc and rows[2].n_folds == 3 and not rows[1].selected
+    assert best == points[next(i for i in rows if rows[i].selected)]
+
+
+def test_watched_rows_stop_a_fit(spark, toy):
+    rows = models.assemble(toy[0], NAMES)
+    params = {"n_estimators": 60, "num_leaves": 4, "learning_rate": 0.5, "min_child_samples": 5}
+    stopped = models.train_boosted(rows, params)
+    assert stopped.getNumTrees < 60 and spark.sparkContext.getCheckpointDir()
+    assert models.train_boosted(rows, {**params, "n_estimators": 6}, watched=0).getNumTrees == 6
+
+
 def test_parameter_mapping():
     g = models.boosted_trees({"n_estimators": 7, "num_leaves": 31, "max_depth": -1, "colsample_bytree": 0.8, "min_child_samples": 9})
     assert (g.getMaxIter(), g.getMaxDepth(), g.getFeatureSubsetStrategy(), g.getMinInstancesPerNode()) == (7, 5, "0.8", 9)
