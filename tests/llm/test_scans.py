@@ -59,17 +59,33 @@ def test_scans_on_odd_rows(odd, none, table):
 
 
 def test_licences(texts):
+    full = {t.licence + str(i): t for i, t in enumerate(license_scan.TEMPLATES)}
     values = {
         1: "Some text\nLICENSED!! under the Apache License, version 2.0\nmore", 2: None, 3: "",
         4: "This work is licensed under the GNU General Public License, version 3.\n"
            "This work is licensed under the GNU General Public License, version 2.",
-        5: "Released under the MIT License. And then a long sentence goes on and on about other things entirely.",
-        6: "Released\n\nunder the MIT License", 7: "word " * 5000,
+        5: "Our code. Released under the MIT License. Contact us about other things entirely.",
+        6: "This work is licensed under the\nApache License, Version 2.0.", 7: "word " * 5000 + "gnu license " * 300,
+        8: "SPDX-License-Identifier: MIT", 9: "// SPDX-License-Identifier: GPL-2.0\nint main",
+        10: "This work is licensed under the terms of the editor", 11: "Wir kommen mit dem Zug, license mit",
+        12: "This program is free software; you can redistribute it and / or modify it under the terms of the GNU General "
+            "Public License as published by the Free Software Foundation; either version 3 of the License, or (at your "
+            "option) any later version.", 13: "Licensed under CC BY-ND 4.0.", 14: "this work is licensed under the",
+        15: "This work is licensed under the GNU Affero General Public License, version 3.",
     }
+    values |= {100 + i: f"Preface of mine.\n\n{t.text}\nThe rest" for i, t in enumerate(full.values())}
+    # a window that bears some change: every ninth word is another one
+    for i, t in enumerate(full.values()):
+        w = license_scan.words_of(t.text)
+        keep = {t.key, *license_scan.words_of(t.needed)}
+        values[200 + i] = " ".join("zzz" if k % 19 == 18 and x not in keep else x for k, x in enumerate(w))
     docs = texts(values)
     rows = {r["doc_id"]: r for r in license_scan.digest(docs).collect()}
-    assert rows[1]["licences"] == "Apache-2.0" and rows[4]["licences"] == "GPL-2.0,GPL-3.0"
-    assert rows[5]["licences"] == rows[2]["licences"] == "" and rows[5]["best_dice"] == 0
+    named = {i: rows[i]["licences"] for i in range(1, 16)}
+    assert named == {1: "Apache-2.0", 2: "", 3: "", 4: "GPL-2.0,GPL-3.0", 5: "MIT", 6: "Apache-2.0", 7: "", 8: "MIT", 9: "GPL-2.0",
+                     10: "", 11: "", 12: "GPL-3.0", 13: "", 14: "", 15: "AGPL-3.0"}
+    for i, t in enumerate(full.values()):
+        assert rows[100 + i]["licences"] == rows[200 + i]["licences"] == t.licence, t
     documents = docs.toPandas()  # noqa: F841
     con = duckdb.connect()
     con.register("documents", documents)
