@@ -8,7 +8,8 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from riskloom.functions import expressions as X
 from riskloom.functions.columns import col
 from riskloom.functions.text import feature_label
 from riskloom.operators import (
-    correlation, distribution, explanations, extras, features, insights, metrics, models, profile, quality, sampling,
+    correlation, dictionary, distribution, explanations, extras, features, insights, metrics, models, profile, quality, sampling,
     scoring, shapley,
 )
 from riskloom.plans import eda, preprocess
@@ -297,11 +298,46 @@ def preprocess_train(spark, sf):
     return _ratios_rounded(preprocess.prepare(application(spark, sf)).train)
 
 
+@query
+def registry_pipeline(spark, sf):
+    """Test rows through fitted stages that were saved twice and loaded from the newest version."""
+    registry = ModelRegistry(spark, tables.work_path(spark, "registry"))
+    p = _prepared(spark, sf)
+    registry.save_pipeline(p.pipeline)
+    registry.save_pipeline(registry.load_pipeline())
+    if registry.versions("preprocessing") != [1, 2]:
+        raise RuntimeError("two saves make two versions")
+    return _ratios_rounded(registry.load_pipeline().transform(p.parts.where("is_test").drop("is_test")))
+
+
 @query
 def preprocess_test(spark, sf):
     return _ratios_rounded(_prepared(spark, sf).test)
 
 
+def _wide(a: DataFrame) -> DataFrame:
+    """Applications with a text column of thousands of values, one of which a third of all rows share."""
+    k = col(d.ID)
+    branch = F.when(k % 3 == 0, F.lit("branch 1")).otherwise(F.concat(F.lit("branch "), ((k * 7919) % 5003).cast("string")))
+    return a.select(d.ID, d.LABEL, col("AMT_CREDIT"), branch.alias("BRANCH"), (k % 10 < 8).alias("_fit"))
+
+
+@query
+def encode_wide(spark, sf):
+    """Sums of the sparse vectors of a column with over 1,000 values, fitted to four fifths of the rows: how many rows
+    have each value, by its number, and how many have a value the fit has not seen."""
+    rows = _wide(application(spark, sf))
+    model = features.CategoryEncoder(max_categories=100).fit(rows.where("_fit").drop("_fit"))
+    encoded = model.transform(rows.drop("_fit"))
+    sums = encoded.agg(Summarizer.sum(F.col("BRANCH_values")).alias("v"), F.count("*").alias("n"))
+    seen = sums.select(F.posexplode(vector_to_array("v")).alias("number", "n_rows"))
+    unseen = sums.select(F.lit(-1).alias("number"), (F.col("n") - F.aggregate(
+        vector_to_array("v"), F.lit(0.0), lambda x, y: x + y)).alias("n_rows"))
+    names = dictionary.value_names(spark.read.parquet(model.learnt["dictionary"]), "BRANCH")
+    return seen.unionByName(unseen).join(names, "number", "left").select(
+        "number", F.col("n_rows").cast("long").alias("n_rows"), F.coalesce("name", F.lit("unseen")).alias("name"))
+
+
 # ---- metrics on a given score ----------------------------------------------------------------
 
 def _scored(a: DataFrame) -> DataFrame:
@@ -352,6 +388,7 @@ _on_application("local_drivers", lambda a: explanations.local_explanation(_given
 _on_application("narrative", lambda a: explanations.explain_scores(_given(a), GIVEN).select(
     d.ID, "risk_score", "risk_band", "business_narrative"
 ))
+_on_application("shap_global_given", lambda a: explanations.global_importance(_given(a), GIVEN))
 LABEL_SAMPLES = ["AMT_CREDIT", "AMT_CREDIT_SUM_X", "NAME_CONTRACT_TYPE_Cash_loans", "flag_document_3", "f_0",
                  "debt_to_income_ratio", "A__b1c"]
 
@@ -426,10 +463,13 @@ def _trained(spark, sf) -> _Trained:
 
 
 def _shap(spark, sf) -> DataFrame:
-    p, t = _prepared(spark, sf), _trained(spark, sf)
-    rows = scoring.prepared(application(spark, sf), p.pipeline, p.schema, t.features)
-    scored = models.positive_probability(t.model.transform(rows)).select(d.ID, "probability_1", "features")
-    return shapley.shapley_values(scored, t.leaves, t.background)
+    def make() -> DataFrame:
+        p, t = _prepared(spark, sf), _trained(spark, sf)
+        rows = scoring.prepared(application(spark, sf), p.pipeline, p.schema, t.features)
+        scored = models.positive_probability(t.model.transform(rows)).select(d.ID, "probability_1", "features")
+        return tables.settle(shapley.shapley_values(scored, t.leaves, t.background), "shap")
+
+    return _once("shap", spark, sf, make)
 
 
 @query

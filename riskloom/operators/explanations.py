@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +23,23 @@ def _names(features: Sequence[str]) -> Column:
 def global_importance(shap: DataFrame, features: Sequence[str], top_n: int | None = None) -> DataFrame:
     """Mean absolute value per feature with rank, share and running share.
 
-    Tasks pre-aggregate to one row per feature, so the shuffle does not grow with the rows.
+    A task adds up the values of its rows as whole arrays and hands on one row per feature, so neither a row for each
+    value nor a shuffle of the rows is ever made.
     """
-    means = (
-        shap.select(F.posexplode("shap_values").alias("i", "v"))
-        .groupBy("i").agg(F.avg(F.abs("v")).alias("importance"))
-        .select(F.element_at(_names(features), F.col("i") + 1).alias("feature"), "importance")
-    )
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(len(features)), 0
+        for batch in batches:
+            values = batch.column("shap_values").flatten().to_numpy(zero_copy_only=False)
+            total += np.abs(values).reshape(-1, len(features)).sum(axis=0)
+            rows += batch.num_rows
+        if rows:
+            yield pa.RecordBatch.from_pydict({
+                "i": pa.array(range(len(features)), pa.int32()), "total": pa.array(total),
+                "rows": pa.array([rows] * len(features), pa.int64())})
+
+    parts = shap.select("shap_values").mapInArrow(add, "i int, total double, rows long")
+    means = parts.groupBy("i").agg((F.sum("total") / F.sum("rows")).alias("importance")).select(
+        F.element_at(_names(features), F.col("i") + 1).alias("feature"), "importance")
     return importance_table(means, top_n)
 
 

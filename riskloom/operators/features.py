@@ -8,18 +8,20 @@ from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import domain as d
 from riskloom.functions import expressions as X
 from riskloom.functions.columns import col, numeric_columns, numeric_long, text_columns, text_long
+from riskloom.operators import dictionary
 from riskloom.operators.profile import column_facts
 from riskloom.operators.quality import SchemaValidationError
 from riskloom.operators.selection import quantiles_and_counts
 
+#: A text column with more values becomes one sparse vector column instead of a column for each value.
 MAX_CATEGORIES = 1000
 
 
@@ -243,8 +245,9 @@ def commonest_values(
 class CategoryEncoder(Estimator):
     """Codes for text columns with at most two values, one 0/1 column per value for the others.
 
-    Numbers pass as doubles. Output names hold only letters, digits and underscores. A column with more
-    than `max_categories` values is refused: its values are never gathered.
+    Numbers pass as doubles. Output names hold only letters, digits and underscores. A column with more than
+    `max_categories` values becomes one sparse vector column, `<column>_values`; its values are never gathered, but numbered
+    in order in a dictionary (riskloom.operators.dictionary) that is saved with the model.
     """
 
     def __init__(
@@ -258,32 +261,56 @@ class CategoryEncoder(Estimator):
     def _fit(self, dataset: DataFrame) -> CategoryEncoderModel:
         texts = text_columns(dataset, exclude=(self._key, self._label))
         numbers = [c for c in _features(dataset, self._key, self._label) if c not in texts]
-        values = self._categories(dataset, texts)
-        coded = [c for c in texts if len(values[c]) <= self._max_binary]
-        spread = [c for c in texts if c not in coded]
-        raw = [*numbers, *[f"{c}_le" for c in coded], *[f"{c}_{v}" for c in spread for v in values[c]]]
+        sizes = dictionary.sizes(dataset, texts)
+        wide = [c for c in texts if sizes[c] > self._max_categories]
+        values = self._categories(dataset, [c for c in texts if c not in wide])
+        coded = [c for c in values if len(values[c]) <= self._max_binary]
+        spread = [c for c in values if c not in coded]
+        raw = [*numbers, *[f"{c}_le" for c in coded], *[f"{c}_{v}" for c in spread for v in values[c]],
+               *[f"{c}_values" for c in wide]]
         return CategoryEncoderModel({
             "key": self._key, "label": self._label, "numbers": numbers, "values": values,
-            "coded": coded, "spread": spread, "names": sanitise(raw),
+            "coded": coded, "spread": spread, "wide": {c: sizes[c] for c in wide}, "names": sanitise(raw),
+            "dictionary": dictionary.build(dataset, wide) if wide else None,
         })
 
     def _categories(self, dataset: DataFrame, texts: list[str]) -> dict[str, list[str]]:
-        if not texts:
-            return {}
-        pairs = text_long(dataset, texts).where("v IS NOT NULL").distinct()
-        sizes = {r.g: r.n for r in pairs.groupBy("g").agg(F.count("*").alias("n")).collect()}
-        wide = {texts[g]: n for g, n in sizes.items() if n > self._max_categories}
-        if wide:
-            raise ValueError(f"more than {self._max_categories} categories, a column each: {dict(sorted(wide.items()))}")
         out: dict[str, list[str]] = {c: [] for c in texts}
-        for r in pairs.collect():  # max_categories for each column
-            out[texts[r.g]].append(r.v)
+        if texts:
+            for r in text_long(dataset, texts).where("v IS NOT NULL").distinct().collect():  # max_categories for each
+                out[texts[r.g]].append(r.v)
         for vs in out.values():
             vs.sort()
         return out
 
 
+class _EncoderWriter(DefaultParamsWriter):
+    """Saves the dictionary of wide columns beside the other params."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        given = self.instance.learnt.get("dictionary")
+        if given:
+            spark = SparkSession.active()
+            spark.read.parquet(given).write.mode("overwrite").parquet(f"{path}/dictionary")
+
+
+class _EncoderReader(DefaultParamsReader):
+    def load(self, path: str) -> CategoryEncoderModel:
+        model = super().load(path)
+        if model.learnt.get("dictionary"):
+            model._set(state=json.dumps({**model.learnt, "dictionary": f"{path}/dictionary"}))
+        return model
+
+
 class CategoryEncoderModel(Model, _Stateful):
+    def write(self) -> _EncoderWriter:
+        return _EncoderWriter(self)
+
+    @classmethod
+    def read(cls) -> _EncoderReader:
+        return _EncoderReader(cls)
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         s = self.learnt
         cells = [X.number(col(c)) for c in s["numbers"]]
@@ -294,6 +321,11 @@ class CategoryEncoderModel(Model, _Stateful):
             cells.append(code)
         for c in s["spread"]:
             cells += [F.coalesce((col(c) == v).cast("double"), F.lit(0.0)) for v in s["values"][c]]
+        wide = list(s.get("wide", {}))
+        if wide:
+            table = dataset.sparkSession.read.parquet(s["dictionary"])
+            dataset = dictionary.vectors(dataset, table, s["wide"], [f"_v{i}" for i in range(len(wide))])
+            cells += [F.col(f"_v{i}") for i in range(len(wide))]
         keep = [col(c) for c in (s["key"],) if c in dataset.columns]
         tail = [col(c) for c in (s["label"],) if c in dataset.columns]
         return dataset.select(*keep, *[e.alias(n) for e, n in zip(cells, s["names"])], *tail)
@@ -337,6 +369,7 @@ def preprocessing_metadata(fitted: Transformer) -> dict:
         "imputation_stats": {"columns": filler["columns"], "total_values_imputed": filler["total_imputed"]},
         "encoding": {
             "label_encoded_columns": encoder["coded"], "one_hot_encoded_columns": encoder["spread"],
+            "sparse_encoded_columns": encoder["wide"],
             "unknown_label_value": d.UNKNOWN_CODE, "output_feature_count": len(encoder["names"]),
         },
         "feature_names": encoder["names"],

@@ -46,6 +46,12 @@ def assemble(df: DataFrame, features: Sequence[str], key: str = d.ID, label: str
     return vector.transform(df).select(*keep, "features")
 
 
+def vector_names(rows: DataFrame) -> list[str]:
+    """Names of the entries of `features`: of the assembled columns, and `<column>_<number>` inside a vector column."""
+    kinds = rows.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    return [a["name"] for a in sorted((a for k in kinds.values() for a in k), key=lambda a: a["idx"])]
+
+
 def class_counts(df: DataFrame, label: str = d.LABEL) -> tuple[int, int]:
     r = df.agg(F.count_if(col(label) == 0).alias("n"), F.count_if(col(label) == 1).alias("p")).first()
     return r.n, r.p

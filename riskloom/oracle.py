@@ -648,8 +648,19 @@ def statements() -> dict[str, str]:
             f"{code('FLAG_OWN_CAR', CARS)} AS FLAG_OWN_CAR_le FROM application",
         "encode_onehot": app + "SELECT SK_ID_CURR, "
             + ", ".join(flags("NAME_CONTRACT_TYPE", CONTRACTS) + flags("NAME_INCOME_TYPE", INCOMES)) + " FROM application",
+        "encode_wide": app + """SELECT i AS number, count(b.v) AS n_rows, coalesce('BRANCH_' || v, 'unseen') AS name
+            FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT v FROM
+                  (SELECT CASE WHEN SK_ID_CURR % 3 = 0 THEN 'branch 1' ELSE 'branch ' || (SK_ID_CURR * 7919) % 5003 END AS v
+                   FROM application WHERE SK_ID_CURR % 10 < 8))) known
+            JOIN (SELECT CASE WHEN SK_ID_CURR % 3 = 0 THEN 'branch 1' ELSE 'branch ' || (SK_ID_CURR * 7919) % 5003 END AS v
+                  FROM application) b USING (v) GROUP BY i, v
+            UNION ALL SELECT -1, count(*), 'unseen' FROM (
+                  SELECT CASE WHEN SK_ID_CURR % 3 = 0 THEN 'branch 1' ELSE 'branch ' || (SK_ID_CURR * 7919) % 5003 END AS v
+                  FROM application) WHERE v NOT IN (SELECT CASE WHEN SK_ID_CURR % 3 = 0 THEN 'branch 1'
+                  ELSE 'branch ' || (SK_ID_CURR * 7919) % 5003 END FROM application WHERE SK_ID_CURR % 10 < 8)""",
         "preprocess_train": preprocessed(False),
         "preprocess_test": preprocessed(True),
+        "registry_pipeline": preprocessed(True),
         "typed_features": with_(APP, """base AS (SELECT SK_ID_CURR, CASE WHEN SK_ID_CURR % 7 <> 0 THEN FLAG_OWN_CAR = 'Y' END AS b,
             CASE WHEN SK_ID_CURR % 11 <> 0 THEN CAST(18262 + SK_ID_CURR % 1000 AS DOUBLE) END AS a FROM application)""")
             + """SELECT SK_ID_CURR, CASE WHEN coalesce(b, (SELECT b FROM base WHERE b IS NOT NULL GROUP BY b ORDER BY count(*) DESC, b LIMIT 1))
@@ -693,6 +704,10 @@ def statements() -> dict[str, str]:
             CASE WHEN abs(v) / top >= 0.5 THEN 'Strong' WHEN abs(v) / top >= 0.2 THEN 'Moderate' ELSE 'Weak' END AS impact_strength
             FROM (SELECT *, max(abs(v)) OVER (PARTITION BY SK_ID_CURR) AS top0,
                   CASE WHEN max(abs(v)) OVER (PARTITION BY SK_ID_CURR) = 0 THEN 1 ELSE max(abs(v)) OVER (PARTITION BY SK_ID_CURR) END AS top FROM given)""",
+        "shap_global_given": with_(APP, given(), "means AS (SELECT feature, avg(abs(v)) AS m FROM given GROUP BY 1)")
+            + """SELECT row_number() OVER (ORDER BY m DESC, feature) AS rank, feature, round(m, 6) AS importance,
+            round(m / sum(m) OVER () * 100, 2) AS share_pct,
+            round(sum(m) OVER (ORDER BY m DESC, feature) / sum(m) OVER () * 100, 2) AS cumulative_pct FROM means""",
         "local_drivers": local_drivers(),
         "narrative": narrative(),
         "feature_labels": feature_labels(),

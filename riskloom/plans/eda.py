@@ -8,6 +8,7 @@ from riskloom import domain as d
 from riskloom.operators import correlation, distribution, insights, profile
 from riskloom.operators.quality import validate
 from riskloom.operators.sampling import sample_rows
+from riskloom.sources.tables import scratch, settle
 
 
 CREDIT_SAMPLE = 5000
@@ -59,17 +60,15 @@ def run(
 ) -> dict[str, str]:
     """Validate, optionally sample, and write every table as JSON below `out_dir`."""
     validate(application, mode="load")
-    df = sample_rows(application, sample) if sample else application
-    df.persist()
-    try:
-        found = insights.all_insights(df, bureau)
+    with scratch(application.sparkSession):
+        # all tables read the same rows, written once; the executors keep nothing
+        df = settle(sample_rows(application, sample) if sample else application, "application")
+        found = insights.isolated_insights(df, bureau)
         tables = {
             **profile_tables(df, exact=exact), **distribution_tables(df), "insights": found,
             "insight_severities": insights.severity_counts(found),
         }
         return {name: write_json(t, f"{out_dir}/{name}") for name, t in tables.items()}
-    finally:
-        df.unpersist()
 
 
 def write_json(df: DataFrame, path: str) -> str:

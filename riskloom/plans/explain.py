@@ -9,7 +9,7 @@ from riskloom.operators import explanations, scoring, shapley
 from riskloom.operators.features import feature_names
 from riskloom.operators.models import positive_probability
 from riskloom.sources.registry import ModelRegistry
-from riskloom.sources.tables import settle, write_table
+from riskloom.sources.tables import scratch, settle, write_table
 
 
 class SavedModel:
@@ -38,9 +38,10 @@ class SavedModel:
 
     def write_reports(self, raw: DataFrame, out_dir: str) -> dict[str, str]:
         """Importance, contribution and explanation tables; the values are computed once."""
-        shap = settle(self.shap(raw), "shap")
-        return {
-            "importance": write_table(explanations.global_importance(shap, self.features), f"{out_dir}/importance", "csv"),
-            "contributions": write_table(explanations.contribution_table(shap, self.features), f"{out_dir}/contributions"),
-            "explanations": write_table(explanations.explain_scores(shap, self.features), f"{out_dir}/explanations"),
-        }
+        with scratch(self.spark):
+            shap = settle(self.shap(raw), "shap")
+            return {
+                "importance": write_table(explanations.global_importance(shap, self.features), f"{out_dir}/importance", "csv"),
+                "contributions": write_table(explanations.contribution_table(shap, self.features), f"{out_dir}/contributions"),
+                "explanations": write_table(explanations.explain_scores(shap, self.features), f"{out_dir}/explanations"),
+            }

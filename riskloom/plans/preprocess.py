@@ -12,7 +12,7 @@ from riskloom.operators.features import preprocessing, preprocessing_metadata, r
 from riskloom.operators.quality import validate
 from riskloom.operators.sampling import split_flag, split_report
 from riskloom.sources.registry import ModelRegistry
-from riskloom.sources.tables import settle, write_train_test
+from riskloom.sources.tables import scratch, settle, write_train_test
 
 
 @dataclass(frozen=True)
@@ -34,15 +34,16 @@ def prepare(df: DataFrame, test_size: float = d.TEST_SIZE, missing_limit: float
 
 def run(df: DataFrame, data_dir: str, registry: ModelRegistry, test_size: float = d.TEST_SIZE) -> dict[str, str]:
     report = validate(df, mode="train")
-    p = prepare(df, test_size)
-    metadata = {
-        "validation": report,
-        "split": {**split_report(p.parts).first().asDict(), "test_size": test_size, "random_state": d.SEED},
-        "raw_schema": p.schema,
-        **preprocessing_metadata(p.pipeline),
-    }
-    return {
-        **write_train_test(p.train, p.test, data_dir),
-        "pipeline": registry.save_pipeline(p.pipeline),
-        "metadata": registry.save_json("feature_metadata", metadata),
-    }
+    with scratch(df.sparkSession):
+        p = prepare(df, test_size)
+        metadata = {
+            "validation": report,
+            "split": {**split_report(p.parts).first().asDict(), "test_size": test_size, "random_state": d.SEED},
+            "raw_schema": p.schema,
+            **preprocessing_metadata(p.pipeline),
+        }
+        return {
+            **write_train_test(p.train, p.test, data_dir),
+            "pipeline": registry.save_pipeline(p.pipeline),
+            "metadata": registry.save_json("feature_metadata", metadata),
+        }

@@ -11,7 +11,7 @@ from riskloom.operators import metrics as curves
 from riskloom.operators import models
 from riskloom.operators.correlation import importance_table
 from riskloom.sources.registry import ModelRegistry
-from riskloom.sources.tables import read_train_test, settle, write_table
+from riskloom.sources.tables import read_train_test, scratch, settle, write_table
 
 
 def run(
@@ -20,6 +20,14 @@ def run(
     parallelism: int = 2, results: str | None = None,
 ) -> dict:
     """Records of the whole run. `results` keeps the scores of finished folds, so a run started again goes on with them."""
+    with scratch(spark):
+        return _run(spark, data_dir, registry, base, space, draws, k, parallelism, results)
+
+
+def _run(
+    spark: SparkSession, data_dir: str, registry: ModelRegistry, base: Mapping[str, float],
+    space: Mapping[str, Sequence], draws: int, k: int, parallelism: int, results: str | None,
+) -> dict:
     train, test, warnings = read_train_test(spark, data_dir, d.LABEL)
     features = [c for c in train.columns if c not in (d.ID, d.LABEL)]
     # every fit below scans the folds again, so they are written once
@@ -39,7 +47,7 @@ def run(
     tried = tried.collect()  # a row for each draw
     final = models.train_boosted(folded, best, strategy)
     registry.save_model(final)
-    importance = importance_table(models.feature_importance(spark, final, features), 30)
+    importance = importance_table(models.feature_importance(spark, final, models.vector_names(folded)), 30)
     scored = settle(models.positive_probability(final.transform(judge)).select(d.LABEL, "probability_1"), "scored")
     for name, table in {
         "roc_curve": curves.roc_curve(scored, "probability_1", d.LABEL),

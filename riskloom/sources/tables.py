@@ -7,7 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache
 
@@ -159,18 +160,54 @@ def read_train_test(
 
 # ---- places for intermediate data ------------------------------------------------------------
 
+#: Paths of intermediate tables that this process has named and not removed yet.
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder that the cluster names in spark.checkpoint.dir.
 
     Only a local session, whose driver and executors are one process, may do without that setting: it gets one temporary
-    folder, removed when Python ends. No setting of the session is changed.
+    folder, removed when Python ends. No setting of the session is changed. What lies at the path is removed at the end
+    of `scratch`, or when Python ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _local_folder()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_made)
+    _made.append(f"{root}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end. What is to last must have been written elsewhere by then,
+    or been taken from the frames that read them."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[first:]:
+            remove(spark, path)
+
+
+def _remove_made() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in list(_made) if spark else []:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session may have ended before Python does
+            return
 
 
 @cache

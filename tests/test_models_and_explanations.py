@@ -45,7 +45,7 @@ def test_leaves_rebuild_the_model(spark, fitted, toy):
     rows, model, _, leaves, background = fitted
     got = {r.SK_ID_CURR: r.probability_1 for r in models.positive_probability(model.transform(rows)).collect()}
     e = shapley.Explainer(leaves, background)
-    margins = e._margins([leaf.codes(toy[1]) for leaf in leaves], 300)
+    margins = e._margins([g.codes(toy[1]) for g in e.groups], 300)
     np.testing.assert_allclose(shapley._logistic(margins), [got[i] for i in range(300)], atol=1e-12)
 
 
@@ -88,6 +88,25 @@ def test_values_equal_brute_force_and_add_up(spark, fitted, toy):
     assert importance[:2].min() > importance[2:].max()
 
 
+def test_many_leaves_in_small_blocks(monkeypatch):
+    r = np.random.default_rng(2)
+    leaves = []
+    for _ in range(300):
+        f = np.sort(r.choice(K, r.integers(0, K + 1), replace=False))
+        low = np.where(r.random(len(f)) < 0.5, -np.inf, r.choice([-0.5, 0.0], len(f)))
+        leaves.append(shapley.Leaf(f, low, np.where(np.isinf(low), 0.3, np.inf), float(r.normal())))
+    x, background = r.normal(size=(6, K)), r.normal(size=(9, K))
+    whole = shapley.Explainer(leaves, background)
+    assert sum(len(g.values) for g in whole.groups) < 300  # equal paths are one
+    got = whole.values(x)
+    for i in range(6):
+        np.testing.assert_allclose(got[i], brute_values(leaves, x[i], background), atol=1e-12)
+    monkeypatch.setattr(shapley, "LEAVES", 7)
+    monkeypatch.setattr(shapley, "CODES", 1)
+    np.testing.assert_allclose(shapley.Explainer(leaves, background).values(x), got, atol=1e-12)
+    assert shapley.Explainer(leaves, background).block == 32
+
+
 def test_background_is_bounded_filled_and_not_empty(spark, toy):
     df = toy[0].withColumn("f_0", F.lit(None).cast("double"))
     b = shapley.background_rows(df, NAMES, 50)

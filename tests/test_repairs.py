@@ -1,14 +1,18 @@
 """Types beyond numbers and text, equal margins, NaN scores, large samples, and the advised features."""
 
 import datetime as dt
+import os
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import correlation, extras, features, metrics, models, profile, shapley
+from riskloom.operators import correlation, extras, features, insights, metrics, models, profile, shapley
 from riskloom.operators.quality import SchemaValidationError
+from riskloom.sources import tables
+from riskloom.sources.binding import application
+from riskloom.sources.registry import ModelRegistry
 
 
 def test_pipeline_takes_booleans_dates_and_times(spark):
@@ -88,3 +92,47 @@ def test_advised_features(spark):
     scores = spark.createDataFrame([(0, 0.1), (0, 0.2), (1, 0.3), (1, 0.15)], "TARGET int, p double")
     r = extras.rank_statistics(scores, "p").first()
     assert (r["ks"], r["gini"]) == (0.5, 0.5)
+
+
+def test_a_failing_value_stops_only_its_insight(spark, sf_dir):
+    app = application(spark, sf_dir)
+    broken = app.withColumn("AMT_CREDIT", F.when(F.col("SK_ID_CURR") > 0, F.raise_error(F.lit("bad cell")).cast("double")))
+    with pytest.raises(Exception, match="bad cell"):
+        insights.all_insights(broken).collect()
+    # the rows are written once in a plan; here the value fails in each pass that reads it
+    found = {r.position for r in insights.isolated_insights(broken).collect()}
+    whole = {r.position for r in insights.isolated_insights(app).collect()}
+    assert found and found < whole
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    with tables.scratch(spark):
+        kept = tables.settle(spark.range(5))
+        folder = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file:")
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_versions_are_published_whole(spark, tmp_path):
+    r = ModelRegistry(spark, str(tmp_path))
+    assert r.versions("notes") == []
+    with pytest.raises(FileNotFoundError):
+        r.load_json("notes")
+    first, second = r.save_json("notes", {"a": 1}), r.save_json("notes", {"a": 2})
+    assert first.endswith("v000001") and second.endswith("v000002") and r.load_json("notes")["a"] == 2
+    assert r.load_json("notes", 1)["a"] == 1
+    with pytest.raises(FileNotFoundError, match="version 7"):
+        r.load_json("notes", 7)
+
+    def broken(path):
+        os.makedirs(path)
+        raise RuntimeError("writer lost")
+
+    with pytest.raises(RuntimeError):
+        r._publish("notes", broken)
+    assert r.versions("notes") == [1, 2] and r.load_json("notes")["a"] == 2
+    # a writer that finds its number taken goes on to the next one
+    taken, seen = iter([[1, 2], [1, 2, 3]]), []
+    os.makedirs(tmp_path / "notes" / "v000003")
+    r.versions = lambda name: seen.append(1) or next(taken)
+    assert r._publish("notes", lambda path: os.makedirs(path)).endswith("v000004") and len(seen) == 2
