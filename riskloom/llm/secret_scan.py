@@ -1,17 +1,21 @@
 """Secret scans: fixed patterns, and tokens that a Markov model of random strings explains better than one of identifiers.
 
-DataFrame expressions only. Both models are trained here, on labelled samples of bounded size.
+DataFrame expressions only. The models of random strings, one for each alphabet that secrets are written in, are trained
+on drawn strings. The model of ordinary identifiers is trained on the words of all documents: their transitions are counted
+by Spark, and the ways in which names are made of words (capitals, joins, numbers) are derived from these counts. The margin
+of the log-likelihood ratio follows a token's alphabet and length, so short tokens and letters alone are judged as well.
 """
 
 from __future__ import annotations
 
 import math
 import string
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import text_of, words
+from riskloom.llm.common import text_of
 
 # The patterns of each kind, which group is measured, and its least length.
 KINDS = {
@@ -20,13 +24,37 @@ KINDS = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # a shorter run fails whole, so asking for its length here finds the same
 }
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-#: A candidate is a maximal run of so many letters of ALPHABET with a digit and a letter in it.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: A candidate is random from this mean log-likelihood ratio per transition on.
-MARGIN = 1.9
-#: Labelled samples: random strings drawn, and documents (least hash of doc_id) whose words are the identifiers.
-RANDOM_STRINGS, IDENTIFIER_DOCS = 1500, 500
+#: A candidate is a maximal run of so many letters of ALPHABET; its parts of letters and digits are judged as well.
+LEAST_LENGTH = 16
+CANDIDATE, PART = rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}", rf"[A-Za-z0-9]{{{LEAST_LENGTH},}}"
+#: A token with fewer different characters is a line or a filling, not a random string.
+LEAST_DIFFERENT = 6
+#: The alphabets of random strings, a token's being the first that has all its letters.
+CLASSES = {
+    "hex": "0123456789abcdef", "upper hex": "0123456789ABCDEF", "lower": string.ascii_lowercase,
+    "upper": string.ascii_uppercase, "mixed hex": "0123456789abcdefABCDEF", "letters": string.ascii_letters,
+    "base32": string.ascii_uppercase + "234567", "lower and digits": string.ascii_lowercase + string.digits,
+    "upper and digits": string.ascii_uppercase + string.digits, "base62": string.ascii_letters + string.digits,
+    "base64": string.ascii_letters + string.digits + "+/=", "url": string.ascii_letters + string.digits + "-_",
+    "all": ALPHABET,
+}
+#: Drawn strings of each class, and their length.
+RANDOM_STRINGS, RANDOM_LENGTH = 2000, 60
+#: The margin of a class is so many standard deviations below the mean of its random strings, for the token's length, but
+#: never under LEAST_MARGIN, which names made of foreign words stay below.
+BELOW_MEAN, LEAST_MARGIN = 3.0, 1.2
+#: Words up to this length teach what is ordinary; a longer one may be a secret.
+ORDINARY_LENGTH = LEAST_LENGTH - 1
 _N = len(ALPHABET)
+_EDGES = ALPHABET + "^$"
+
+
+class Model(NamedTuple):
+    """Log-likelihood ratios by class and transition, in one list, and mean and spread of a class's own transitions."""
+
+    ratios: list[float]
+    means: list[float]
+    spreads: list[float]
 
 
 def find(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
@@ -51,62 +79,135 @@ def find(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     return F.filter(spans, lambda s: F.length(s["value"]) >= least) if least else spans
 
 
-def _transitions(tokens: DataFrame) -> DataFrame:
-    """(kind, pair, n) over neighbouring letters of `token`; a pair is first * letters + second."""
-    codes = tokens.select("kind", F.transform(
-        F.split("token", ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1).alias("c"))
-    pairs = codes.select("kind", F.explode(F.zip_with(
+def _transitions(tokens: DataFrame, letters: str) -> DataFrame:
+    """(kind, pair, n) over neighbouring letters of `token`, each `n` times; a pair is first * letters + second."""
+    codes = tokens.select("kind", "n", F.transform(
+        F.split("token", ""), lambda c: F.instr(F.lit(letters), c) - 1).alias("c"))
+    pairs = codes.select("kind", "n", F.explode(F.zip_with(
         F.slice("c", F.lit(1), F.greatest(F.size("c") - 1, F.lit(0))),
-        F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))), lambda a, b: a * _N + b)).alias("pair"))
-    return pairs.groupBy("kind", "pair").agg(F.count("*").alias("n"))
-
-
-def labelled(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(kind, token): drawn random strings, and identifiers made from the words of a bounded sample of documents."""
-    digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
-    drawn = spark.range(RANDOM_STRINGS).select(F.explode(F.array(
-        F.substring(digest, 1, 40), F.upper(F.substring(digest, 1, 40)),
-        F.base64(F.unhex(digest)))).alias("token"))
-    # the ids are chosen first, so that no task gathers texts; a repeated id counts once
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(IDENTIFIER_DOCS).distinct()
-    few = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(
-        F.min("t").alias("t"))
-    plain = F.filter(words(F.col("t")), lambda x: x.rlike("^[A-Za-z]{3,20}$"))
-    # neighbours joined as in names of files, variables and classes, numbered here and there
-    both = few.select(plain.alias("w")).select(F.explode(F.zip_with(
-        "w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select("p.*").where("b is not null")
-    made = both.select(F.explode(F.array(
-        F.col("a"), F.upper("a"), F.concat("a", F.lit("_"), "b"), F.concat("a", F.lit("-"), "b"),
-        F.concat("a", F.lit("/"), "b"), F.concat(F.initcap("a"), F.initcap("b")),
-        F.concat("a", (F.abs(F.hash("a", "b")) % 100).cast("string"), F.lit("="), "b"))).alias("token"))
-    return drawn.select(F.lit("random").alias("kind"), "token").unionByName(
-        made.select(F.lit("ordinary").alias("kind"), "token"))
-
-
-def train(spark: SparkSession, docs: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each transition, random against ordinary, with one added to every count."""
-    counts = {"random": [1.0] * _N * _N, "ordinary": [1.0] * _N * _N}
-    for r in _transitions(labelled(spark, docs)).collect():  # at most 2 * letters ** 2
-        counts[r["kind"]][r["pair"]] += r["n"]
-    logs = {}
-    for kind, n in counts.items():
-        rows = [sum(n[a * _N:(a + 1) * _N]) for a in range(_N)]
-        logs[kind] = [math.log(x / rows[i // _N]) for i, x in enumerate(n)]
-    return [round(a - b, 6) for a, b in zip(logs["random"], logs["ordinary"])]
-
-
-def randomness(token: Column, table: list[float]) -> Column:
-    """Mean log-likelihood ratio of the token's transitions."""
-    ratios = F.array(*map(F.lit, table))
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+        F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))), lambda a, b: a * len(letters) + b)).alias("pair"))
+    return pairs.groupBy("kind", "pair").agg(F.sum("n").alias("n"))
+
+
+def drawn(spark: SparkSession) -> DataFrame:
+    """(kind, token, n): random strings of each class, the same in every run."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(a).alias("letters")) for i, a in enumerate(CLASSES.values())])
+    rows = spark.range(RANDOM_STRINGS).select("id", F.explode(kinds).alias("k")).select("id", "k.*")
+    letter = lambda j: F.substring(F.col("letters"), F.pmod(
+        F.xxhash64("id", "kind", j), F.length("letters")).cast("int") + 1, F.lit(1))
+    return rows.select("kind", F.array_join(F.transform(
+        F.sequence(F.lit(1), F.lit(RANDOM_LENGTH)), letter), "").alias("token"), F.lit(1).cast("long").alias("n"))
+
+
+def ordinary(docs: DataFrame) -> DataFrame:
+    """(kind, token, n): the different words of all documents, between marks of their start and end, and how often.
+    Mere numbers are no identifiers."""
+    tokens = F.filter(F.split(text_of(), r"[^A-Za-z0-9+/_=-]+"),
+                      lambda x: F.length(x).between(2, ORDINARY_LENGTH) & x.rlike("[A-Za-z]"))
+    return docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).select(
+        F.lit(0).alias("kind"), F.concat(F.lit("^"), "token", F.lit("$")).alias("token"), "n")
+
+
+def _identifiers(counts: list[list[float]]) -> list[list[float]]:
+    """Transitions of identifiers, from those of words: also in capitals, joined by marks or capitals, with numbers."""
+    at = {c: i for i, c in enumerate(_EDGES)}
+    small, capital, digits = ([at[c] for c in a] for a in (string.ascii_lowercase, string.ascii_uppercase, string.digits))
+    table = [row[:_N] for row in counts[:_N]]
+    first = [counts[at["^"]][i] for i in range(_N)]
+    last = [counts[i][at["$"]] for i in range(_N)]
+    first_letter = [first[a] + first[b] for a, b in zip(small, capital)]
+    words, letters = max(sum(first), 1.0), max(sum(first_letter), 1.0)
+    for a, x in zip(small, capital):
+        for b, y in zip(small, capital):
+            table[x][y] += 0.3 * counts[a][b]
+            table[a][y] += 0.1 * last[a] * first_letter[small.index(b)] / letters
+        for z in digits:
+            table[a][z] += 0.002 * last[a]
+            table[x][z] += 0.002 * last[a]
+    for mark in (at[c] for c in "_-/=+"):
+        for i in range(_N):
+            table[i][mark] += 0.1 * last[i]
+            table[mark][i] += 0.1 * first[i]
+        for a, x in zip(small, capital):
+            table[x][mark] += 0.1 * last[a]
+            table[mark][x] += 0.1 * first_letter[small.index(a)]
+    for z in digits:
+        for y in digits:
+            table[z][y] += 0.0002 * words
+        for a in small:
+            table[z][a] += 0.002 * first[a]
+        for mark in "_-/=":
+            table[z][at[mark]] += 0.0004 * words
+    return table
+
+
+def train(spark: SparkSession, docs: DataFrame) -> Model:
+    """Log-likelihood ratio of each transition, random of each class against ordinary, one added to every count.
+
+    The driver gets one number for each transition, whatever the number of documents.
+    """
+    def logs(table: list[list[float]]) -> list[list[float]]:
+        return [[math.log((x + 1) / (sum(row) + len(row))) for x in row] for row in table]
+
+    words = [[0.0] * len(_EDGES) for _ in _EDGES]
+    for r in _transitions(ordinary(docs), _EDGES).collect():
+        words[r["pair"] // len(_EDGES)][r["pair"] % len(_EDGES)] += r["n"]
+    plain = logs(_identifiers(words))
+    counts = [[[0.0] * _N for _ in range(_N)] for _ in CLASSES]
+    for r in _transitions(drawn(spark), ALPHABET).collect():
+        counts[r["kind"]][r["pair"] // _N][r["pair"] % _N] += r["n"]
+    ratios, means, spreads = [], [], []
+    for table, letters in zip(counts, CLASSES.values()):
+        own = [ALPHABET.index(c) for c in letters]
+        # an alphabet's model is spread over its own letters only
+        random = {a: [math.log((table[a][b] + 1) / (sum(table[a][x] for x in own) + len(own))) for b in own] for a in own}
+        rows = [[0.0] * _N for _ in range(_N)]
+        for a in own:
+            for b, x in zip(own, random[a]):
+                rows[a][b] = round(x - plain[a][b], 4)
+        flat = [rows[a][b] for a in own for b in own]
+        mean = sum(flat) / len(flat)
+        ratios += [x for row in rows for x in row]
+        means.append(mean)
+        spreads.append(math.sqrt(sum((x - mean) ** 2 for x in flat) / len(flat)))
+    return Model(ratios, means, spreads)
+
+
+def _literal(numbers: list[float]) -> Column:
+    """A constant array written as one text, as one expression for each number would be slow to plan."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<double>")
+
+
+def _class_of(token: Column) -> Column:
+    """Number of the first alphabet that has all letters of a token; null for digits only and for too few letters."""
+    out = F.lit(len(CLASSES) - 1)
+    for i, letters in reversed(list(enumerate(CLASSES.values()))):
+        out = F.when(token.rlike("^[" + letters.replace("-", "\\-") + "]+$"), i).otherwise(out)
+    varied = F.size(F.array_distinct(F.split(token, ""))) >= LEAST_DIFFERENT
+    return F.when(varied & ~token.rlike("^[0-9]+$"), out)
+
+
+def excess(token: Column, model: Model) -> Column:
+    """Mean log-likelihood ratio of the token's transitions, less the margin of its alphabet and length; null where
+    a token is of no alphabet."""
+    kind = _class_of(token)
     n = F.greatest(F.length(token) - 1, F.lit(1))
-    return F.aggregate(
-        F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.get(ratios, a * _N + b)),
-        F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / n
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    steps = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: a * _N + b)
+    start = F.struct((kind * _N * _N).alias("at"), F.lit(0.0).alias("sum"))
+    mean = F.aggregate(steps, start, lambda t, x: F.struct(
+        t["at"].alias("at"), (t["sum"] + F.get(_literal(model.ratios), t["at"] + x)).alias("sum")), lambda t: t["sum"]) / n
+    usual = F.get(_literal(model.means), kind) - F.get(_literal(model.spreads), kind) * BELOW_MEAN / F.sqrt(n)
+    return mean - F.greatest(usual, F.lit(LEAST_MARGIN))
+
+
+def _is_random(token: Column, model: Model) -> Column:
+    parts = F.regexp_extract_all(token, F.lit(PART), F.lit(0))
+    return F.coalesce(excess(token, model) >= 0, F.lit(False)) | F.exists(
+        parts, lambda p: F.coalesce(excess(p, model) >= 0, F.lit(False)))
 
 
-def scan(docs: DataFrame, table: list[float]) -> DataFrame:
+def scan(docs: DataFrame, table: Model) -> DataFrame:
     """All columns of `docs` plus `spans`: an array of (start, rank, end, kind) in order of start, then of kind.
 
     Positions are code points, ends open. A null text has no spans. A candidate that overlaps a span of the fixed
@@ -117,17 +218,16 @@ def scan(docs: DataFrame, table: list[float]) -> DataFrame:
     rows = docs.drop("spans").select(F.struct("*").alias("row"), text_of().alias("text"))
     for k, (pattern, group, least) in KINDS.items():
         rows = rows.withColumn(k, find(F.col("text"), pattern, group, least))
-    rows = rows.withColumn("candidates", F.when(F.col("text").rlike(CANDIDATE), F.filter(
-        find(F.col("text"), CANDIDATE),
-        lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))).otherwise(none))
+    rows = rows.withColumn("candidates", F.when(
+        F.col("text").rlike(CANDIDATE), find(F.col("text"), CANDIDATE)).otherwise(none))
 
     def named(column: str, rank: int, kind: str) -> Column:
         return F.transform(column, lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     rows = rows.withColumn("base", F.array_sort(F.concat(*[named(k, i, k) for i, k in enumerate(kinds)])))
-    fresh = F.filter("candidates", lambda s: (randomness(s["value"], table) >= MARGIN) & ~F.exists(
-        "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    fresh = F.filter("candidates", lambda s: ~F.exists(
+        "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & _is_random(s["value"], table))
     rows = rows.withColumn("random", F.when(F.size("candidates") > 0, fresh).otherwise(F.col("candidates")))
     return rows.select("row.*", F.array_sort(F.concat("base", named("random", len(kinds), "random"))).alias("spans"))
 
@@ -137,7 +237,7 @@ def written(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, table: list[float], mark: str = "[secret]", length: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, table: Model, mark: str = "[secret]", length: str | None = None) -> DataFrame:
     """`docs` with every span of its texts replaced by `mark`; overlapping spans become one. Nulls stay null.
 
     Of changed texts the code points are counted anew in the column `length`, if one is named.
