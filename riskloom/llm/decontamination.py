@@ -1,12 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval, with a check of the longest common subsequence.
 
 Texts are cut into overlapping passages. Term weights come from all documents. A randomised SVD of the benchmark's
-TF-IDF passages, its products summed over Spark tasks, gives the latent space. Every passage of every document is
-searched there by cosine. What comes near an item is compared with it word by word, in order.
+TF-IDF passages, spread over Spark tasks by blocks of items, gives the latent spaces. Every passage of every document is
+searched there by cosine, in one scan for thousands of items. What comes near an item is compared with it word by word,
+in order.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +35,10 @@ COSINE, COVERAGE = 0.3, 0.45
 SUBSEQUENCE, PARAPHRASE = 0.8, 0.6
 #: Without an `answer` column an item's answer is so many last words.
 ANSWER_WORDS = 5
-#: Items, and passages of items, searched at a time; a larger benchmark takes more passes over the documents. The passages
-#: bound the rank. An item with more of them is searched alone.
+#: Items, and passages of items, that share a latent space. The passages bound the rank. An item with more is alone.
 BLOCK_ITEMS, BLOCK_PASSAGES = 500, 512
+#: Bytes of the latent spaces that are broadcast together; a larger benchmark takes another scan of the documents.
+HELD_BYTES = 128 << 20
 #: Words of a document whose similarities are held at a time.
 PIECE = 64 * STRIDE
 SEED = 5
@@ -102,8 +105,8 @@ def _matrix(columns: np.ndarray, weights: np.ndarray, vocabulary: np.ndarray) ->
     return own, out / np.where(norm > 0, norm, 1), norm[:, 0]
 
 
-def build_index(items: list[tuple[int, str, str | None]], spark, weights: np.ndarray) -> Index | None:
-    """Fit the latent space of a block of items: subspace iterations on A^T A, its products summed over Spark tasks.
+def build_index(items: list[tuple[int, str, str | None]], weights: np.ndarray) -> Index | None:
+    """Fit the latent space of a block of items, inside a task: subspace iterations on A^T A, passage by passage.
 
     The subspace has room for every passage; of its directions the leading ones are taken, as many as each passage needs
     to keep the share KEPT of its squared norm. An aligned copy word for word so has a cosine of at least its root.
@@ -112,22 +115,15 @@ def build_index(items: list[tuple[int, str, str | None]], spark, weights: np.nda
     vocabulary = np.unique(_column(np.concatenate(words))) if words else np.zeros(0, np.int64)
     if not len(vocabulary):
         return None
-    table = spark.createDataFrame([(t,) for _, t, _ in items], "text string").repartition(4)
     rows = [_matrix(_column(w), weights, vocabulary) for w in words]
     owner = np.repeat(np.arange(len(rows)), [len(a) for _, a, _ in rows])
     rank = min(len(owner) + OVERSAMPLE, len(vocabulary))
 
     def product(basis: np.ndarray) -> np.ndarray:
-        def own(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-            out = None
-            for batch in batches:
-                for w in _split(batch.column("text").to_pylist()):
-                    out = np.zeros((len(vocabulary), basis.shape[1])) if out is None else out
-                    terms, a, _ = _matrix(_column(w), weights, vocabulary)
-                    out[terms] += a.T @ (a @ basis[terms])
-            return out
-
-        return sum_tables(table, own, (len(vocabulary), basis.shape[1]), "float64")
+        out = np.zeros((len(vocabulary), basis.shape[1]))
+        for terms, a, _ in rows:
+            out[terms] += a.T @ (a @ basis[terms])
+        return out
 
     basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(vocabulary), rank)))[0]
     for _ in range(ITERATIONS):
@@ -149,6 +145,24 @@ def build_index(items: list[tuple[int, str, str | None]], spark, weights: np.nda
                  np.cumsum([0, *map(len, words)]), words, answers)
 
 
+def build_indexes(blocks_of_items: list[list[tuple]], spark, weights: np.ndarray) -> list[Index]:
+    """The indexes of some blocks, a task for each; the driver holds as many as HELD_BYTES allow."""
+    shared = spark.sparkContext.broadcast(weights)
+    rows = spark.createDataFrame([(pickle.dumps(b),) for b in blocks_of_items], "items binary")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for items in batch.column("items"):
+                index = build_index(pickle.loads(items.as_py()), shared.value)
+                if index is not None:
+                    yield pa.RecordBatch.from_pydict({"index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    spread = rows.repartition(len(blocks_of_items)) if len(blocks_of_items) > 1 else rows.coalesce(1)
+    out = [pickle.loads(r["index"]) for r in spread.mapInArrow(fit, "index binary").toLocalIterator()]
+    shared.unpersist()
+    return sorted(out, key=lambda x: x.ids[0] if x.ids[0] is not None else -1)
+
+
 def _split(texts: list[str]) -> list[np.ndarray]:
     hashes, at = _terms(pa.array(texts, pa.string()))
     return [hashes[a:b] for a, b in zip(at, at[1:])]
@@ -236,13 +250,29 @@ def _item_blocks(items: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield block
 
 
+def _groups(blocks_of_items: Iterator[list[tuple]]) -> Iterator[list[list[tuple]]]:
+    """Blocks whose indexes take HELD_BYTES together, at most, or one block."""
+    group, held = [], 0
+    for block in blocks_of_items:
+        words = _split([t for _, t, _ in block])
+        size = 4 * len(np.unique(_column(np.concatenate(words)))) * sum(len(_cut(len(w))) for w in words)
+        if group and held + size > HELD_BYTES:
+            yield group
+            group, held = [], 0
+        group.append(block)
+        held += size
+    if group:
+        yield group
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, subsequence): every document and benchmark item that it holds, also reworded.
 
     Words are runs of letters and digits in lower case. Null and empty texts hold nothing and are
-    held by none. Repeated rows give repeated pairs; `benchmark` may have an `answer`
-    column, other columns are ignored. An empty table on either side gives no pairs. The items are searched in blocks
-    of at most BLOCK_ITEMS items and BLOCK_PASSAGES passages, each against all documents.
+    held by none. Repeated rows give repeated pairs, and so do rows that repeat an item_id, each with its own text;
+    `benchmark` may have an `answer` column, other columns are ignored. An empty table on either side gives no pairs. Of
+    passages with the same cosine the first one is compared first. The documents are scanned once for as many items
+    as HELD_BYTES hold, thousands of the usual ones.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -251,20 +281,20 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                  .orderBy("i", "t").toLocalIterator())
     kinds = "doc_id long, item_id long, cosine double, subsequence double"
     out, weights = spark.createDataFrame([], kinds), None
-    for block in _item_blocks(map(tuple, items)):
+    for group in _groups(_item_blocks(map(tuple, items))):
         weights = term_weights(rows) if weights is None else weights
-        index = build_index(block, spark, weights)
-        if index is None:
+        indexes = build_indexes(group, spark, weights)
+        if not indexes:
             continue
-        held = spark.sparkContext.broadcast((index, weights))  # a block of items and TERMS weights
+        held = spark.sparkContext.broadcast((indexes, weights))  # HELD_BYTES of indexes and TERMS weights
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index, weights = held.value
+            indexes, weights = held.value
             for part in blocks(batches):
                 hashes, at = _terms(part.column("text"))
                 got = [(doc, index.ids[i], c, s)
                        for doc, a, b in zip(part.column("doc_id").to_pylist(), at, at[1:]) if b > a
-                       for i, c, s in _hits(hashes[a:b], index, weights)]
+                       for index in indexes for i, c, s in _hits(hashes[a:b], index, weights)]
                 if got:
                     columns = list(zip(*got))
                     yield pa.RecordBatch.from_arrays(

@@ -99,6 +99,26 @@ def test_blocks_of_items_give_the_same(spark, texts, monkeypatch):
     assert {(x["doc_id"], x["item_id"]) for x in decontamination.find(docs, bench).collect()} == {(k, k) for k in items}
 
 
+def test_many_items_take_one_scan(spark, texts, monkeypatch):
+    items = {k: prose(40_000 + k, 40) for k in range(1600)}
+    docs = texts({k: prose(50_000 + k, 20) + " " + items[k] for k in range(0, 1600, 40)} | {5000 + k: prose(k, 60) for k in range(30)})
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = decontamination.find(docs, bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {(k, k) for k in range(0, 1600, 40)}
+    assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want
+    monkeypatch.setattr(decontamination, "HELD_BYTES", 1)  # a scan for each block
+    again = decontamination.find(docs, bench)
+    assert again._jdf.queryExecution().executedPlan().toString().count("MapInArrow") > 3
+    assert {(x["doc_id"], x["item_id"]) for x in again.collect()} == want
+
+
+def test_repeated_items(spark, texts):
+    docs = texts({1: prose(1, 50) + " " + prose(2, 30), 2: prose(3, 60)})
+    bench = spark.createDataFrame([(7, prose(2, 30)), (7, prose(2, 30)), (7, prose(4, 30))], "item_id long, text string")
+    assert [(x["doc_id"], x["item_id"]) for x in decontamination.find(docs, bench).collect()] == [(1, 7)] * 2
+
+
 def test_every_copy_of_a_large_benchmark_is_found(spark, texts):
     items = {k: prose(5000 + k, 100) for k in range(520)}
     docs = texts({k: prose(7000 + k, k % 40) + " " + t for k, t in items.items()})
