@@ -102,9 +102,9 @@ def drawn(spark: SparkSession) -> DataFrame:
 def ordinary(docs: DataFrame) -> DataFrame:
     """(kind, token, n): the different words of all documents, between marks of their start and end, and how often.
     Mere numbers are no identifiers."""
-    tokens = F.filter(F.split(text_of(), r"[^A-Za-z0-9+/_=-]+"),
-                      lambda x: F.length(x).between(2, ORDINARY_LENGTH) & x.rlike("[A-Za-z]"))
-    return docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).select(
+    tokens = docs.select(F.explode(F.split(text_of(), r"[^A-Za-z0-9+/_=-]+")).alias("token"))
+    tokens = tokens.where(F.length("token").between(2, ORDINARY_LENGTH) & F.col("token").rlike("[A-Za-z]"))
+    return tokens.groupBy("token").agg(F.count("*").alias("n")).select(
         F.lit(0).alias("kind"), F.concat(F.lit("^"), "token", F.lit("$")).alias("token"), "n")
 
 
