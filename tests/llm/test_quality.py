@@ -1,5 +1,9 @@
 import collections
+import math
 import re
+import unicodedata
+
+import pytest
 
 from riskloom.llm import quality_rank, quality_rules
 from riskloom.llm.common import read
@@ -54,3 +58,58 @@ def test_rules_keep_good_documents(spark):
     good = kept.where("quality = 1 and not base_failed")
     assert good.where("not kept").count() <= 0.01 * good.count()
     assert kept.where("quality = 0 and kept").count() < 0.5 * kept.where("quality = 0").count()
+
+
+def _histograms(text):
+    kinds = collections.Counter()
+    for c in text:
+        k = unicodedata.category(c)
+        if re.match(r"[\x20\x09-\x0D]", c):
+            kinds["space"] += 1
+        elif k == "Lu":
+            kinds["upper"] += 1
+        elif k[0] == "L":
+            kinds["rest" if "a" <= c <= "z" else "other_lower"] += 1
+        elif k == "Nd":
+            kinds["digit"] += 1
+        elif c in ".,;:?'\"()-":
+            kinds["stop"] += 1
+        else:
+            kinds["symbol"] += 1
+    listed = {w for ws in quality_rules.COMMON_WORDS.values() for w in ws}
+    words = collections.Counter(w if w in listed else None for w in re.findall(r"[^\x20\x09-\x0D]+", text))
+    return kinds, words
+
+
+def _distance(counts, reference):
+    n, m = sum(counts.values()), sum(reference.values())
+    if not n:
+        return None
+    total = 0.0
+    for k in {*counts, *reference}:
+        p, q = counts[k] / n, reference[k] / max(m, 1)
+        for x in (p, q):
+            total += x * math.log2(2 * x / (p + q)) / 2 if x else 0.0
+    return math.sqrt(max(total, 0.0))
+
+
+def test_distances_and_verdicts_equal_a_plain_version(spark):
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    plain = {r["doc_id"]: (r["lang"], r["text"] or "") for r in docs.collect()}
+    made = {i: _histograms(t) for i, (_, t) in plain.items()}
+    known = {}
+    for i, (lang, t) in plain.items():
+        if lang in quality_rules.COMMON_WORDS and not _counts(t)[-1]:
+            sums = known.setdefault(lang, (collections.Counter(), collections.Counter()))
+            for s, h in zip(sums, made[i]):
+                s.update(h)
+    rows = quality_rules.rate(docs).collect()
+    assert len(rows) == len(plain) and len(known) == 4
+    for r in rows:
+        lang, text = plain[r["doc_id"]]
+        near = [min((_distance(h, k[j]) for k in known.values()), default=None) if sum(h.values()) else None
+                for j, h in enumerate(made[r["doc_id"]])]
+        for got, want in zip((r["char_distance"], r["word_distance"]), near):
+            assert got == pytest.approx(want, abs=1e-9), r["doc_id"]
+        far = (len(text) >= 300 and near[0] > 0.3) or (r["n_words"] >= 200 and near[1] > 0.25)
+        assert r["kept"] == (not r["base_failed"] and not far)
