@@ -19,7 +19,7 @@ from riskloom.functions.columns import col
 from riskloom.functions.text import feature_label
 from riskloom.operators import (
     correlation, dictionary, distribution, explanations, extras, features, insights, metrics, models, profile, quality, sampling,
-    scoring, shapley,
+    scoring, shapley, sketches,
 )
 from riskloom.plans import eda, preprocess
 from riskloom.sources import tables
@@ -47,6 +47,21 @@ def src_scan(spark, sf):
     return application(spark, sf)
 
 
+@query
+def profile_sketch(spark, sf):
+    """Every column's profile from sketches kept by partition, the last partition added later, and how close it is."""
+    app = application(spark, sf)
+    names = app.columns
+    parts = app.withColumn("_part", (col(d.ID) % 6).cast("string"))
+    root = tables.work_path(spark, "sketches")
+    sketches.refresh(parts.where("_part <> '5'"), "_part", root)
+    if sorted(sketches.refresh(parts, "_part", root)) != ["p0", "p1", "p2", "p3", "p4"]:
+        raise RuntimeError("the first five partitions are kept")
+    found = sketches.merged(spark, root)
+    close = sketches.accuracy(app, found, names)
+    return found.select("column", "n", "missing_count").join(close, "column")
+
+
 @query
 def csv_scan(spark, sf):
     """The applications written as CSV and read back with inferred types."""
@@ -477,6 +492,14 @@ def model_lr(spark, sf):
     return models.evaluate(models.train_baseline(_matrix(spark, sf)), _test_matrix(spark, sf))
 
 
+@query
+def model_lr_gradient(spark, sf):
+    """The certificate of the baseline: all components of its objective's gradient are next to nothing."""
+    rows = _matrix(spark, sf).drop("_fold")
+    gradient = models.logistic_gradient(models.train_baseline(rows), rows)
+    return gradient.agg(F.count("*").alias("components"), (F.max(F.abs("gradient")) < 1e-4).alias("all_below"))
+
+
 @query
 def model_gbt_compare(spark, sf):
     return models.compare_strategies(_matrix(spark, sf), models.BASE_PARAMS)[1]

@@ -648,6 +648,11 @@ def statements() -> dict[str, str]:
             f"{code('FLAG_OWN_CAR', CARS)} AS FLAG_OWN_CAR_le FROM application",
         "encode_onehot": app + "SELECT SK_ID_CURR, "
             + ", ".join(flags("NAME_CONTRACT_TYPE", CONTRACTS) + flags("NAME_INCOME_TYPE", INCOMES)) + " FROM application",
+        "profile_sketch": app + union([
+            f"SELECT '{c}' AS column, count(*) AS n, count(*) - count({c}) AS missing_count, true AS distinct_close, "
+            f"{'NULL' if c in TEXTS else 'true'} AS median_close FROM application" for c in COLUMNS]),
+        "model_lr_gradient": f"SELECT count(*) + 1 AS components, true AS all_below FROM (DESCRIBE {preprocessed(False)}) "
+            "WHERE column_name NOT IN ('SK_ID_CURR', 'TARGET')",
         "encode_wide": app + """SELECT i AS number, count(b.v) AS n_rows, coalesce('BRANCH_' || v, 'unseen') AS name
             FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT v FROM
                   (SELECT CASE WHEN SK_ID_CURR % 3 = 0 THEN 'branch 1' ELSE 'branch ' || (SK_ID_CURR * 7919) % 5003 END AS v
