@@ -50,9 +50,11 @@ _EDGES = ALPHABET + "^$"
 
 
 class Model(NamedTuple):
-    """Log-likelihood ratios by class and transition, in one list, and mean and spread of a class's own transitions."""
+    """Log-likelihoods: of ordinary transitions, and of the letters of each class, whose next letter does not depend on the
+    one before; and mean and spread of the ratio over a class's own transitions. Short lists, as they become part of plans."""
 
-    ratios: list[float]
+    ordinary: list[float]
+    letters: list[float]
     means: list[float]
     spreads: list[float]
 
@@ -142,35 +144,27 @@ def _identifiers(counts: list[list[float]]) -> list[list[float]]:
 
 
 def train(spark: SparkSession, docs: DataFrame) -> Model:
-    """Log-likelihood ratio of each transition, random of each class against ordinary, one added to every count.
+    """Log-likelihoods of ordinary transitions and of the letters of each class, one added to every count.
 
     The driver gets one number for each transition, whatever the number of documents.
     """
-    def logs(table: list[list[float]]) -> list[list[float]]:
-        return [[math.log((x + 1) / (sum(row) + len(row))) for x in row] for row in table]
-
     words = [[0.0] * len(_EDGES) for _ in _EDGES]
     for r in _transitions(ordinary(docs), _EDGES).collect():
         words[r["pair"] // len(_EDGES)][r["pair"] % len(_EDGES)] += r["n"]
-    plain = logs(_identifiers(words))
-    counts = [[[0.0] * _N for _ in range(_N)] for _ in CLASSES]
-    for r in _transitions(drawn(spark), ALPHABET).collect():
-        counts[r["kind"]][r["pair"] // _N][r["pair"] % _N] += r["n"]
-    ratios, means, spreads = [], [], []
-    for table, letters in zip(counts, CLASSES.values()):
-        own = [ALPHABET.index(c) for c in letters]
-        # an alphabet's model is spread over its own letters only
-        random = {a: [math.log((table[a][b] + 1) / (sum(table[a][x] for x in own) + len(own))) for b in own] for a in own}
-        rows = [[0.0] * _N for _ in range(_N)]
-        for a in own:
-            for b, x in zip(own, random[a]):
-                rows[a][b] = round(x - plain[a][b], 4)
-        flat = [rows[a][b] for a in own for b in own]
-        mean = sum(flat) / len(flat)
-        ratios += [x for row in rows for x in row]
+    plain = [[round(math.log((x + 1) / (sum(row) + len(row))), 3) for x in row] for row in _identifiers(words)]
+    counts = [[0] * _N for _ in CLASSES]
+    for r in drawn(spark).select("kind", F.explode(F.split("token", "")).alias("c")).groupBy("kind", "c").count().collect():
+        counts[r["kind"]][ALPHABET.index(r["c"])] += r["count"]
+    letters, means, spreads = [], [], []
+    for row, alphabet in zip(counts, CLASSES.values()):
+        own = [ALPHABET.index(c) for c in alphabet]
+        known = {a: round(math.log((row[a] + 1) / (sum(row) + len(own))), 3) for a in own}
+        letters += [known.get(a, 0.0) for a in range(_N)]
+        ratios = [(known[b] - plain[a][b], math.exp(known[a] + known[b])) for a in own for b in own]
+        mean = sum(x * w for x, w in ratios) / sum(w for _, w in ratios)
         means.append(mean)
-        spreads.append(math.sqrt(sum((x - mean) ** 2 for x in flat) / len(flat)))
-    return Model(ratios, means, spreads)
+        spreads.append(math.sqrt(sum((x - mean) ** 2 * w for x, w in ratios) / sum(w for _, w in ratios)))
+    return Model([x for row in plain for x in row], letters, means, spreads)
 
 
 def _literal(numbers: list[float]) -> Column:
@@ -193,18 +187,19 @@ def excess(token: Column, model: Model) -> Column:
     kind = _class_of(token)
     n = F.greatest(F.length(token) - 1, F.lit(1))
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    steps = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: a * _N + b)
-    start = F.struct((kind * _N * _N).alias("at"), F.lit(0.0).alias("sum"))
-    mean = F.aggregate(steps, start, lambda t, x: F.struct(
-        t["at"].alias("at"), (t["sum"] + F.get(_literal(model.ratios), t["at"] + x)).alias("sum")), lambda t: t["sum"]) / n
+    steps = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n),
+                       lambda a, b: F.struct((a * _N + b).alias("pair"), b.alias("b")))
+    start = F.struct((kind * _N).alias("at"), F.lit(0.0).alias("sum"))
+    mean = F.aggregate(steps, start, lambda t, x: F.struct(t["at"].alias("at"), (
+        t["sum"] + F.get(_literal(model.letters), t["at"] + x["b"]) - F.get(_literal(model.ordinary), x["pair"])
+    ).alias("sum")), lambda t: t["sum"]) / n
     usual = F.get(_literal(model.means), kind) - F.get(_literal(model.spreads), kind) * BELOW_MEAN / F.sqrt(n)
     return mean - F.greatest(usual, F.lit(LEAST_MARGIN))
 
 
 def _is_random(token: Column, model: Model) -> Column:
-    parts = F.regexp_extract_all(token, F.lit(PART), F.lit(0))
-    return F.coalesce(excess(token, model) >= 0, F.lit(False)) | F.exists(
-        parts, lambda p: F.coalesce(excess(p, model) >= 0, F.lit(False)))
+    parts = F.concat(F.array(token), F.regexp_extract_all(token, F.lit(PART), F.lit(0)))
+    return F.exists(parts, lambda p: F.coalesce(excess(p, model) >= 0, F.lit(False)))
 
 
 def scan(docs: DataFrame, table: Model) -> DataFrame:
