@@ -31,6 +31,8 @@ STARS = 4
 FRAGMENT = np.uint64(2**64 // 4)
 #: Ranges of the hash by which the sets of a pair are compared; a power of two.
 RANGES = 8
+#: Pairs whose fragments one task compares. The tasks follow the pairs, not the session's shuffle partitions.
+TASK_PAIRS = 2000
 #: Texts with more copies than one in so many rows are told by a broadcast table, which has no more rows than that.
 HOT_TEXTS = 10_000
 #: Centres with more pairs than one in so many are compared in several tasks, their set copied to each.
@@ -115,14 +117,37 @@ def _needed(n_a: Column, n_b: Column, threshold: float) -> Column:
     return F.ceil((n_a + n_b) * F.lit(t) / F.lit(t + whole) - F.lit(1e-9))
 
 
-def _fragments(texts: DataFrame, size: int) -> DataFrame:
-    """(doc_id, tag, part, grams): the n-grams of each text by range of the hash. Ranges without any have no row."""
+def _marked(ids: DataFrame) -> np.ndarray:
+    """Bits of a fixed table, set where the hash of an id falls; an id whose bit is not set is not among `ids`."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        table = np.zeros(COUNTERS, np.uint8)
+        for batch in batches:
+            table[_bit(batch.column("doc_id"))] = 1
+        return table
+
+    return np.packbits(sum_tables(ids, mark, (COUNTERS,), "uint8") > 0)
+
+
+def _bit(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _fragments(texts: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """(doc_id, tag, part, grams): the n-grams of the asked texts by range of the hash. Ranges without any have no row.
+
+    Which texts are asked for is told by bits, so the others are neither shuffled nor cut; a few more than asked may come.
+    """
     shift = np.uint64(64 - (RANGES - 1).bit_length())
+    marked = texts.sparkSession.sparkContext.broadcast(_marked(asked))  # COUNTERS bits
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        bits = marked.value
         for block in blocks(batches):
+            at = _bit(block.column("doc_id"))
+            block = block.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0))
             for doc, s in zip(block.column("doc_id").to_pylist(), shingle_sets(block.column("text"), size)):
                 if not len(s):
                     continue
@@ -135,8 +160,7 @@ def _fragments(texts: DataFrame, size: int) -> DataFrame:
                     [pa.array([doc] * len(starts), pa.int64()), pa.array([tag] * len(starts), pa.int32()),
                      pa.array(part[starts].astype(np.int32)), grams], ["doc_id", "tag", "part", "grams"])
 
-    cuts = texts.select("doc_id", "text").mapInArrow(cut, "doc_id long, tag int, part int, grams array<long>")
-    return cuts.groupBy("doc_id", "tag", "part").agg(F.first("grams").alias("grams"))  # repeated rows have the same
+    return texts.select("doc_id", "text").mapInArrow(cut, "doc_id long, tag int, part int, grams array<long>")
 
 
 def verify(
@@ -159,19 +183,23 @@ def verify(
     likely = scratch.store(pairs.join(left.hint("merge"), ["a", "tag_a"]).join(right.hint("merge"), ["b", "tag_b"]).where(
         F.size(F.array_intersect("sketch_a", "sketch_b")) + alike + most
         >= _needed(F.col("n_a"), F.col("n_b"), threshold)).select(*pairs.columns, "n_a", "n_b"), "pairs")
-    asked = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    cut = _fragments(docs.join(asked.hint("merge"), "doc_id", "left_semi"), size)
-    limit = likely.count() // HOT_CENTRES + 1
-    hot = F.broadcast(likely.groupBy("a", "tag_a").agg(F.count("*").alias("m")).where(F.col("m") > limit).select(
-        "a", "tag_a", F.ceil(F.col("m") / limit).cast("int").alias("tasks")))  # at most HOT_CENTRES rows
+    asked = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    total = likely.count()
+    count, limit = total // TASK_PAIRS + 1, total // HOT_CENTRES + 1
+    cut = _fragments(docs, asked, size).repartition(count, "doc_id", "tag", "part").groupBy("doc_id", "tag", "part").agg(
+        F.first("grams").alias("grams"))  # repeated rows have the same
+    hot = F.broadcast(likely.repartition(count, "a", "tag_a").groupBy("a", "tag_a").agg(F.count("*").alias("m")).where(
+        F.col("m") > limit).select("a", "tag_a", F.ceil(F.col("m") / limit).cast("int").alias("tasks")))  # HOT_CENTRES rows
     tasks = F.coalesce("tasks", F.lit(1))
     spread = likely.join(hot, ["a", "tag_a"], "left").withColumn("salt", F.pmod(F.xxhash64("b"), tasks).cast("int")).drop(
         "tasks").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))))
     first = named(cut, "a", ["tag", "grams"], "part").join(hot, ["a", "tag_a"], "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("tasks")
-    met = spread.join(first.hint("merge"), ["a", "tag_a", "part", "salt"]).join(
-        named(cut, "b", ["tag", "grams"], "part").hint("merge"), ["b", "tag_b", "part"])
-    shared = met.groupBy(likely.columns).agg(F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("shared"))
+    one, two = ["a", "tag_a", "part", "salt"], ["b", "tag_b", "part"]
+    met = spread.repartition(count, *one).join(first.repartition(count, *one).hint("merge"), one).repartition(
+        count, *two).join(named(cut, "b", ["tag", "grams"], "part").repartition(count, *two).hint("merge"), two)
+    shared = met.select(*likely.columns, F.size(F.array_intersect("grams_a", "grams_b")).alias("n")).repartition(
+        count, "a", "b").groupBy(likely.columns).agg(F.sum("n").alias("shared"))
     return shared.where(F.col("shared") * whole >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * t).select(
         pairs.columns)
 
