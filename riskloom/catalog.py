@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom import domain as d
@@ -502,12 +502,14 @@ def model_lr_gradient(spark, sf):
 
 @query
 def model_gbt_compare(spark, sf):
-    return models.compare_strategies(_matrix(spark, sf), models.BASE_PARAMS)[1]
+    return _once("compare", spark, sf, lambda: tables.settle(
+        models.compare_strategies(_matrix(spark, sf), models.BASE_PARAMS)[1], "strategies"))
 
 
 @query
 def model_cv(spark, sf):
-    return models.cv_summary(models.cross_validate(_matrix(spark, sf), models.BASE_PARAMS, parallelism=models.FOLD_FITS))
+    return _once("folds-auc", spark, sf, lambda: tables.settle(models.cv_summary(models.cross_validate(
+        _matrix(spark, sf), models.BASE_PARAMS, parallelism=models.FOLD_FITS)), "folds-auc"))
 
 
 def given_fold(folded: DataFrame, params, strategy: str, fold: int) -> DataFrame:
@@ -557,3 +559,68 @@ def shap_local(spark, sf):
 @query
 def explain_batch(spark, sf):
     return explanations.explain_scores(_shap(spark, sf), _trained(spark, sf).features)
+
+
+# ---- properties that every right fit has ---------------------------------------------------------
+
+@query
+def score_checks(spark, sf):
+    """Scores of all applications: every id once, probabilities in range, score and band as the probability says."""
+    p = F.col("default_probability")
+    scored = score_batch(spark, sf)
+    return scored.agg(
+        F.count("*").alias("n_rows"), F.sum(d.ID).cast("double").alias("id_sum"), F.count_distinct(d.ID).alias("n_ids"),
+        F.count_if(p.isNull() | ~p.between(0, 1)).alias("out_of_range"),
+        F.count_if(F.abs(F.col("risk_score") - p * 1000) > 1.001).alias("wrong_score"),
+        F.count_if((p < 0.1999) & (F.col("risk_band") != "Low Risk") | (p > 0.5001) & (F.col("risk_band") != "High Risk")
+                   ).alias("wrong_band"))
+
+
+@query
+def explain_checks(spark, sf):
+    """Explanations of all applications: every id once, values that add up to the probability, few drivers of one sign."""
+    total = F.aggregate("shap_values", F.lit(0.0), lambda a, v: a + v)
+    added = _shap(spark, sf).agg(F.count_if(F.abs(F.col("expected_value") + total - F.col("probability_1")) > 1e-9).alias("not_additive"))
+    return explain_batch(spark, sf).agg(
+        F.count("*").alias("n_rows"), F.sum(d.ID).cast("double").alias("id_sum"),
+        F.count_if((F.size("positive_risk_drivers") > 5) | (F.size("negative_risk_drivers") > 5)).alias("too_many_drivers"),
+        F.count_if(F.exists("positive_risk_drivers", lambda x: x["impact"] < 0)
+                   | F.exists("negative_risk_drivers", lambda x: x["impact"] > 0)).alias("wrong_sign"),
+        F.count_if(F.coalesce(F.length("business_narrative"), F.lit(0)) == 0).alias("no_narrative"),
+    ).crossJoin(F.broadcast(added))  # one row each
+
+
+@query
+def background_checks(spark, sf):
+    """The background: so many different training rows, none of the test rows, all features, no gaps."""
+    p, t = _prepared(spark, sf), _trained(spark, sf)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(t.background)], "i int, x array<double>")
+    known = models.assemble(p.train, t.features).select(vector_to_array("features").alias("x")).distinct()
+    return rows.join(known, "x", "left_semi").agg(
+        F.count("*").alias("n_rows"), F.max(F.size("x")).alias("n_features"),
+        F.count_if(F.exists("x", lambda v: v.isNull() | F.isnan(v))).alias("gaps"))
+
+
+@query
+def fit_checks(spark, sf):
+    """Both imbalance arms and all folds: one selected arm with the greater AUC, and folds whose mean is the one given."""
+    arms = model_gbt_compare(spark, sf).agg(
+        F.count("*").alias("arms"), F.count_if("selected").alias("n_selected"),
+        (F.max_by("selected", "roc_auc") & (F.min("roc_auc") > 0.5)).alias("best_selected"))
+    folds = model_cv(spark, sf).select(
+        F.col("n_folds"), (F.abs(F.aggregate("fold_scores", F.lit(0.0), lambda a, v: a + v) / F.size("fold_scores")
+                                 - F.col("mean_roc_auc")) < 1e-6).alias("mean_agrees"),
+        F.forall("fold_scores", lambda v: v.between(0.5, 1)).alias("folds_in_range"))
+    return arms.crossJoin(F.broadcast(folds))  # one row each
+
+
+@query
+def importance_checks(spark, sf):
+    """Importances of the fitted model: ranked, falling, shares of the whole that add up."""
+    table = correlation.importance_table(models.feature_importance(
+        spark, _trained(spark, sf).model, _trained(spark, sf).features))
+    before = F.lag("importance").over(Window.orderBy("rank"))  # a row for each feature
+    return table.withColumn("rises", F.coalesce(F.col("importance") > before, F.lit(False))).agg(
+        F.count("*").alias("n_features"), F.max("rank").alias("last_rank"), F.count_if("rises").alias("rising"),
+        (F.abs(F.sum("share_pct") - 100) < 0.3).alias("shares_add_up"),
+        (F.abs(F.max("cumulative_pct") - 100) < 0.01).alias("ends_at_100"))

