@@ -188,8 +188,9 @@ def verify(
     count, limit = total // TASK_PAIRS + 1, total // HOT_CENTRES + 1
     cut = _fragments(docs, asked, size).repartition(count, "doc_id", "tag", "part").groupBy("doc_id", "tag", "part").agg(
         F.first("grams").alias("grams"))  # repeated rows have the same
-    hot = F.broadcast(likely.repartition(count, "a", "tag_a").groupBy("a", "tag_a").agg(F.count("*").alias("m")).where(
-        F.col("m") > limit).select("a", "tag_a", F.ceil(F.col("m") / limit).cast("int").alias("tasks")))  # HOT_CENTRES rows
+    # counted before the shuffle, as one centre may have most pairs; at most HOT_CENTRES rows are left
+    hot = F.broadcast(likely.groupBy("a", "tag_a").agg(F.count("*").alias("m")).where(F.col("m") > limit).select(
+        "a", "tag_a", F.ceil(F.col("m") / limit).cast("int").alias("tasks")))
     tasks = F.coalesce("tasks", F.lit(1))
     spread = likely.join(hot, ["a", "tag_a"], "left").withColumn("salt", F.pmod(F.xxhash64("b"), tasks).cast("int")).drop(
         "tasks").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))))
