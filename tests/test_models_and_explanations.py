@@ -107,6 +107,23 @@ def test_many_leaves_in_small_blocks(monkeypatch):
     assert shapley.Explainer(leaves, background).block == 32
 
 
+def test_scales_of_many_rows_are_few_factors_and_exact(toy):
+    r = np.random.default_rng(3)
+    leaves = [shapley.Leaf(np.array([f]), np.array([c]), np.array([np.inf]), float(r.normal() / 8))
+              for f in range(K) for c in r.normal(size=12)]
+    e = shapley.Explainer(leaves, r.normal(size=(200, K)))
+    m = np.concatenate([e.margins[:50], e.margins[:50] + 3e-8, e._margins([g.codes(toy[1]) for g in e.groups], 300)])
+    left, right = e._factors(m)
+    assert left.shape[1] < 20  # the work for a row no longer grows with the background
+    p, q = 1 / (1 + np.exp(-m))[:, None], 1 / (1 + np.exp(-e.margins))
+    gap = m[:, None] - e.margins
+    far = np.abs(gap) > 0.1
+    np.testing.assert_allclose((left @ right * 200)[far], ((p - q) / np.where(far, gap, 1))[far], atol=1e-13)
+    # a quotient of differences has eight right digits at a gap of 3e-8; the slope midway has sixteen
+    middle = 1 / (1 + np.exp(-(m[50:100] + e.margins[:50]) / 2))
+    np.testing.assert_allclose(np.diag(left[50:100] @ right[:, :50]) * 200, middle * (1 - middle), atol=1e-13)
+
+
 def test_background_is_bounded_filled_and_not_empty(spark, toy):
     df = toy[0].withColumn("f_0", F.lit(None).cast("double"))
     b = shapley.background_rows(df, NAMES, 50)
