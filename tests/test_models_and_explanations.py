@@ -1,5 +1,6 @@
 from itertools import combinations
 from math import factorial
+from threading import Barrier
 
 import numpy as np
 import pytest
@@ -212,6 +213,34 @@ def test_watched_rows_stop_a_fit(spark, toy):
     assert models.train_boosted(rows, {**params, "n_estimators": 6}, watched=0).getNumTrees == 6
 
 
+def test_fits_scan_equal_parts(spark, toy, monkeypatch):
+    """A table that lies in one file is dealt out before the fit, repeated and missing ids included."""
+    rows = models.assemble(toy[0].withColumn("SK_ID_CURR", F.expr("CASE WHEN SK_ID_CURR > 9 THEN 3 END")), NAMES).coalesce(1)
+    parts = []
+
+    def fit(self, given):
+        parts.append([len(p) for p in given.rdd.glom().collect()])
+
+    monkeypatch.setattr(models.GBTClassifier, "fit", fit)
+    models.train_boosted(rows, {"n_estimators": 2, "num_leaves": 4})
+    assert sum(parts[0]) == 300 and len(parts[0]) >= spark.sparkContext.defaultParallelism
+    assert max(parts[0]) - min(parts[0]) <= 1
+
+
+def test_both_arms_are_fitted_side_by_side(spark, toy, monkeypatch):
+    both, plain = Barrier(2, timeout=60), models.train_boosted
+
+    def fit(*args):
+        both.wait()
+        return plain(*args)
+
+    monkeypatch.setattr(models, "train_boosted", fit)
+    winner, table = models.compare_strategies(
+        models.assemble(toy[0], NAMES), {"n_estimators": 2, "num_leaves": 4, "min_child_samples": 5})
+    rows = {r.strategy: r for r in table.collect()}
+    assert set(rows) == {models.WEIGHTED, models.UNWEIGHTED} and [s for s in rows if rows[s].selected] == [winner]
+
+
 def test_parameter_mapping():
     g = models.boosted_trees({"n_estimators": 7, "num_leaves": 31, "max_depth": -1, "colsample_bytree": 0.8, "min_child_samples": 9})
     assert (g.getMaxIter(), g.getMaxDepth(), g.getFeatureSubsetStrategy(), g.getMinInstancesPerNode()) == (7, 5, "0.8", 9)
