@@ -223,8 +223,13 @@ def test_fits_scan_equal_parts(spark, toy, monkeypatch):
 
     monkeypatch.setattr(models.GBTClassifier, "fit", fit)
     models.train_boosted(rows, {"n_estimators": 2, "num_leaves": 4})
-    assert sum(parts[0]) == 300 and len(parts[0]) >= spark.sparkContext.defaultParallelism
-    assert max(parts[0]) - min(parts[0]) <= 1
+    assert parts == [[300]]  # too few to be worth it
+    monkeypatch.setattr(models, "DEAL_ROWS", 100)
+    models.train_boosted(rows, {"n_estimators": 2, "num_leaves": 4})
+    assert sum(parts[1]) == 300 and len(parts[1]) >= spark.sparkContext.defaultParallelism
+    assert max(parts[1]) - min(parts[1]) <= 1
+    models.train_boosted(rows.where("false"), {"n_estimators": 2, "num_leaves": 4})
+    assert sum(parts[2]) == 0
 
 
 def test_both_arms_are_fitted_side_by_side(spark, toy, monkeypatch):
