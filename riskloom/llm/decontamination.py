@@ -39,6 +39,8 @@ ANSWER_WORDS = 5
 BLOCK_ITEMS, BLOCK_PASSAGES = 500, 512
 #: Bytes of the latent spaces that are broadcast together; a larger benchmark takes another scan of the documents.
 HELD_BYTES = 128 << 20
+#: Bytes of text whose terms are sorted and counted at a time: their arrays stay in a core's cache.
+TEXT_BYTES = 512 << 10
 #: Words of a document whose similarities are held at a time.
 PIECE = 64 * STRIDE
 SEED = 5
@@ -57,7 +59,7 @@ def term_weights(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         table = np.zeros(TERMS + 1, np.int32)
-        for block in blocks(batches):
+        for block in blocks(batches, size=TEXT_BYTES):
             hashes, at = _terms(block.column("text"))
             doc = np.repeat(np.arange(block.num_rows), np.diff(at))
             pairs = np.unique(doc * TERMS + _column(hashes))
@@ -290,7 +292,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             indexes, weights = held.value
-            for part in blocks(batches):
+            for part in blocks(batches, size=TEXT_BYTES):
                 hashes, at = _terms(part.column("text"))
                 got = [(doc, index.ids[i], c, s)
                        for doc, a, b in zip(part.column("doc_id").to_pylist(), at, at[1:]) if b > a

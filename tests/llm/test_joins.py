@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from riskloom.llm import decontamination, ngram_join
+from riskloom.llm.common import blocks
 from riskloom.llm.components import components
 from tests.llm.conftest import prose
 
@@ -113,6 +115,14 @@ def test_many_items_take_one_scan(spark, texts, monkeypatch):
     assert {(x["doc_id"], x["item_id"]) for x in again.collect()} == want
 
 
+def test_blocks_of_a_given_size_keep_every_text_whole():
+    given = [None, "a" * 30, "", "b" * 99, "c", "d" * 12, None, "e" * 40, "f" * 500]
+    parts = list(blocks(iter([pa.RecordBatch.from_pydict({"text": pa.array(given, pa.string())})] * 2), size=50))
+    assert [x for p in parts for x in p.column("text").to_pylist()] == given * 2
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column("text").to_pylist()[1:]) <= 50 for p in parts)
+    assert decontamination.TEXT_BYTES < 1 << 20  # the arrays of a block stay in a core's cache
+
+
 def test_repeated_items(spark, texts):
     docs = texts({1: prose(1, 50) + " " + prose(2, 30), 2: prose(3, 60)})
     bench = spark.createDataFrame([(7, prose(2, 30)), (7, prose(2, 30)), (7, prose(4, 30))], "item_id long, text string")
