@@ -39,6 +39,8 @@ ANSWER_WORDS = 5
 BLOCK_ITEMS, BLOCK_PASSAGES = 500, 512
 #: Bytes of the latent spaces that are broadcast together; a larger benchmark takes another scan of the documents.
 HELD_BYTES = 128 << 20
+#: So many items are sorted by one task and read in one job; more are sorted by range and read in a job for each range.
+SORTED_ITEMS = 10_000
 #: Bytes of text whose terms are sorted and counted at a time: their arrays stay in a core's cache.
 TEXT_BYTES = 512 << 10
 #: Words of a document whose similarities are held at a time.
@@ -279,11 +281,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    items = iter(benchmark.select(F.col("item_id").cast("long").alias("i"), text_of().alias("t"), answer.alias("a"))
-                 .orderBy("i", "t").toLocalIterator())
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), text_of().alias("t"), answer.alias("a"))
+    few = items.count() <= SORTED_ITEMS
+    items = items.coalesce(1).sortWithinPartitions("i", "t") if few else items.orderBy("i", "t")
     kinds = "doc_id long, item_id long, cosine double, subsequence double"
     out, weights = spark.createDataFrame([], kinds), None
-    for group in _groups(_item_blocks(map(tuple, items))):
+    for group in _groups(_item_blocks(map(tuple, items.toLocalIterator()))):
         weights = term_weights(rows) if weights is None else weights
         indexes = build_indexes(group, spark, weights)
         if not indexes:

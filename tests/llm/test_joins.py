@@ -3,6 +3,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from riskloom.llm import components as stars
 from riskloom.llm import decontamination, ngram_join
 from riskloom.llm.common import blocks
 from riskloom.llm.components import components
@@ -75,6 +76,59 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {500 + i: 500 for i in range(30)}
 
 
+def _jobs(spark, group, run):
+    """What `run` returns, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+@pytest.mark.parametrize("most", [0, 40, 200_000])
+def test_components_by_rounds_and_in_one_task_are_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(stars, "TASK_EDGES", most or 7)
+    rng = random.Random(most)
+    edges = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(120)] + [(5, 5), (None, 3), (9, 10), (10, 9)]
+    known = {x: x for a, b in edges if a is not None and a != b for x in (a, b)}
+    for _ in known:
+        for a, b in edges:
+            if a in known and b in known:
+                known[a] = known[b] = min(known[a], known[b])
+    assert dict(components(spark.createDataFrame(edges, "a long, b long")).collect()) == known
+    assert components(spark.createDataFrame([(4, 4)], "a long, b long")).collect() == []
+
+
+def test_a_long_chain_of_few_edges_takes_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    got, jobs = _jobs(spark, "chain", lambda: components(edges).collect())
+    assert {r["component"] for r in got} == {0} and len(got) == 301
+    assert jobs <= 6  # rounds took several each
+
+
+def test_a_job_does_not_come_with_every_part_of_few_items(spark, texts):
+    items = spark.createDataFrame([(i, prose(700 + i, 40)) for i in range(60)], "item_id long, text string")
+    docs = texts({i: prose(700 + i, 90) for i in range(0, 60, 3)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found, jobs = _jobs(spark, "items", lambda: decontamination.find(docs, items.repartition(8)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert jobs < 20
+    assert {r["item_id"] for r in found.collect()} == set(range(0, 60, 3))
+
+
+@pytest.mark.parametrize("few", [5, 10_000])
+def test_items_in_parts_and_in_one_give_the_same(spark, texts, monkeypatch, few):
+    monkeypatch.setattr(decontamination, "SORTED_ITEMS", few)
+    items = spark.createDataFrame([(i % 20, prose(700 + i, 40)) for i in range(25)] + [(None, "one two")], "item_id long, text string")
+    found = decontamination.find(texts({i: prose(700 + i, 90) for i in range(25)}), items.repartition(5)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i % 20) for i in range(25)}
+
+
 def test_leaks_are_found(spark, texts, odd, none):
     items = {k: prose(1000 + k, 15 + 3 * k) for k in range(12)}
     r = random.Random(5)
