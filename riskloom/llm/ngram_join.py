@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Scratch, blocks, discard, mix, shingle_sets, store, sum_tables, text_of
+from riskloom.llm.common import Scratch, blocks, discard, high_bits, mix, shingle_sets, store, text_of
 from riskloom.llm.components import components
 
 #: Counters of the frequency sketch; it costs each task so many bytes, and the driver one bit each.
@@ -68,9 +68,7 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
             add()
         return table
 
-    high = sum_tables(docs.select("text"), count, (COUNTERS,), "uint8")
-    mean = int(high.sum(dtype=np.int64)) / COUNTERS
-    return np.packbits(high > mean + max(FREQUENT, 8 * math.sqrt(mean)))
+    return high_bits(docs.select("text"), count, COUNTERS, "uint8", lambda mean: mean + max(FREQUENT, 8 * math.sqrt(mean)))
 
 
 def _tag(digest: bytes) -> int:
@@ -126,7 +124,7 @@ def _marked(ids: DataFrame) -> np.ndarray:
             table[_bit(batch.column("doc_id"))] = 1
         return table
 
-    return np.packbits(sum_tables(ids, mark, (COUNTERS,), "uint8") > 0)
+    return high_bits(ids, mark, COUNTERS, "uint8", lambda mean: 0)
 
 
 def _bit(ids: pa.Array) -> np.ndarray:

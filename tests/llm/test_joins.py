@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from riskloom.llm import components as stars
 from riskloom.llm import decontamination, ngram_join
-from riskloom.llm.common import blocks
+from riskloom.llm.common import blocks, high_bits, sum_tables
 from riskloom.llm.components import components
 from tests.llm.conftest import prose
 
@@ -129,6 +130,29 @@ def test_items_in_parts_and_in_one_give_the_same(spark, texts, monkeypatch, few)
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i % 20) for i in range(25)}
 
 
+def test_bits_of_sums_equal_the_sums_above_the_limit(spark):
+    def count(batches):
+        table = np.zeros(1000, np.uint8)
+        for batch in batches:
+            np.add.at(table, batch.column("at").to_numpy(), 1)
+        return table
+
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(min(int(rng.expovariate(0.01)), 799),) for _ in range(2000)], "at int").repartition(3)
+    sums = sum_tables(rows, count, (1000,), "uint8", chunk=64)
+    for limit in (lambda mean: 0, lambda mean: mean + 2):
+        want = np.packbits(sums > limit(float(sums.mean())))
+        assert want.any() and (high_bits(rows, count, 1000, "uint8", limit, chunk=64) == want).all()
+    assert not high_bits(rows.where("at < 0"), count, 1000, "uint8", lambda mean: mean, chunk=64).any()
+
+
+def test_the_driver_gets_no_table_of_counters(texts, monkeypatch):
+    got, plain = [], np.frombuffer
+    monkeypatch.setattr(np, "frombuffer", lambda x, *a, **b: got.append(len(x)) or plain(x, *a, **b))
+    bits = ngram_join._frequent(texts({i: prose(i) for i in range(30)}), 5)
+    assert len(bits) == ngram_join.COUNTERS // 8 and sum(got) <= len(bits)  # counters took four bytes each
+
+
 def test_leaks_are_found(spark, texts, odd, none):
     items = {k: prose(1000 + k, 15 + 3 * k) for k in range(12)}
     r = random.Random(5)
