@@ -1,8 +1,10 @@
 import collections
 import math
+import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 
 from riskloom.llm import quality_rank, quality_rules
@@ -113,3 +115,38 @@ def test_distances_and_verdicts_equal_a_plain_version(spark):
             assert got == pytest.approx(want, abs=1e-9), r["doc_id"]
         far = (len(text) >= 300 and near[0] > 0.3) or (r["n_words"] >= 200 and near[1] > 0.25)
         assert r["kept"] == (not r["base_failed"] and not far)
+
+
+def _made_labels(n):
+    """Texts whose quality is a noisy matter of their features, repeated ids and labels included."""
+    r = random.Random(5)
+    rows = []
+    for i in range(n):
+        words = prose(i % 97, 5 + i % 60).split()
+        words = [w.upper() if r.random() < (i % 10) / 12 else w for w in words] + ["7!"] * (i % 4)
+        rows.append((i - i % 7 % 2, " ".join(words), int(r.random() < 0.2 + 0.6 * (i % 10 < 5))))
+    return rows
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_all_labels_and_all_pairs_count(spark, monkeypatch, few):
+    """The weights are the optimum over every pair of a good and a bad labelled row, none of which is left out or drawn."""
+    monkeypatch.setattr(quality_rank, "FEW_ROWS", few)
+    monkeypatch.setattr(quality_rank, "PAIRS", 500)
+    monkeypatch.setattr(quality_rank, "SORTED_ROWS", 60)
+    made = _made_labels(400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, _, q in made], "doc_id long, quality int")
+    model = quality_rank.learn(docs, labels)
+    rows = docs.join(labels, "doc_id").toArrow()
+    z = np.clip((quality_rank.features(rows.column("text").combine_chunks()) - model.mean) / model.scale, -8, 8)
+    good = rows.column("quality").to_numpy() == 1
+    d = z[good][:, None, :] - z[~good][None, :, :]
+    pairs = d.shape[0] * d.shape[1]
+    assert pairs > 20_000
+    gradient = model.weights - 500 / pairs * np.tensordot(1 / (1 + np.exp(d @ model.weights)), d, 2)
+    assert np.abs(gradient).max() < 1e-4
+    assert (model.level, model.threshold) == pytest.approx(quality_rank._level(z @ model.weights, good), abs=1e-12)
+    seen = {r["doc_id"]: r["score"] for r in quality_rank.score(docs, model).collect()}
+    again = quality_rank.classify(docs, labels).collect()
+    assert len(again) == docs.count() and {r["doc_id"] for r in again} == set(seen)
